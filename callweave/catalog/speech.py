@@ -47,7 +47,7 @@ NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER
 
 @register("a4_speech_regions", with_ctes(REGIONS, NUMBERED) + "SELECT call_id, region_idx, start_ms, end_ms FROM numbered")
 def a4(spark, sf):
-    return _regions(spark, sf).select("call_id", *_n("region_idx", "start_ms", "end_ms"))
+    return signal.number_regions(_regions(spark, sf)).select("call_id", *_n("region_idx", "start_ms", "end_ms"))
 
 
 @register(

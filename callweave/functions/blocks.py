@@ -25,47 +25,59 @@ def with_block(df: DataFrame, order: str, size: float) -> DataFrame:
     return df.withColumn(BLOCK, F.floor(F.col(order) / F.lit(size)).cast("bigint"))
 
 
-def running_sums(
+def ordered_pass(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     size: float,
-    values: dict[str, Column],
+    sums: dict[str, Column] | None = None,
+    previous: dict[str, Column] | None = None,
     inclusive: bool = False,
 ) -> DataFrame:
-    """Prefix sums per key in the order of `order` (exclusive unless asked), one column per entry."""
-    names = list(values)
-    blocked = with_block(df, order[0], size).withColumns({f"_v_{n}": v for n, v in values.items()})
+    """Prefix sums and values of the row before, per key in the order of `order`.
+
+    Each entry of `sums` adds a prefix sum (exclusive unless asked), each entry of
+    `previous` the value the expression has in the row before (NULL for the first).
+    """
+    sums, previous = sums or {}, previous or {}
+    inputs = {f"_v_{n}": v for n, v in sums.items()} | {f"_s_{n}": v for n, v in previous.items()}
+    blocked = with_block(df, order[0], size).withColumns(inputs)
     ordered = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     frame = ordered.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    local = blocked.withColumns({f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(frame), F.lit(0)) for n in names})
+    local = blocked.withColumns(
+        {f"_l_{n}": F.coalesce(F.sum(f"_v_{n}").over(frame), F.lit(0)) for n in sums}
+        | {f"_p_{n}": F.lag(f"_s_{n}").over(ordered) for n in previous}
+        | ({"_first": F.row_number().over(ordered) == 1} if previous else {})
+    )
 
-    by_block = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    position = F.struct(*order)
+    by_block = Window.partitionBy(*keys).orderBy(BLOCK)
+    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         blocked.groupBy(*keys, BLOCK)
-        .agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names], F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_rows_before", F.sum("_rows").over(by_block))
-        .withColumns({f"_c_{n}": F.sum(f"_t_{n}").over(by_block) for n in names})
+        .agg(
+            F.count(F.lit(1)).alias("_rows"),
+            *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums],
+            *[F.max_by(f"_s_{n}", position).alias(f"_t_{n}") for n in previous],
+        )
+        .withColumns(
+            {"_rows_before": F.sum("_rows").over(before)}
+            | {f"_c_{n}": F.sum(f"_t_{n}").over(before) for n in sums}
+            | {f"_c_{n}": F.lag(f"_t_{n}").over(by_block) for n in previous}
+        )
         .filter(F.col("_rows_before") > 0)
-        .select(*keys, BLOCK, *[f"_c_{n}" for n in names])
-    )
-    return (
-        local.join(carry, [*keys, BLOCK], "left")
-        .withColumns({n: F.col(f"_l_{n}") + F.coalesce(f"_c_{n}", F.lit(0)) for n in names})
-        .drop(BLOCK, *[f"_{k}_{n}" for k in "vlc" for n in names])
+        .select(*keys, BLOCK, *[f"_c_{n}" for n in [*sums, *previous]])
     )
+    added = {n: F.col(f"_l_{n}") + F.coalesce(f"_c_{n}", F.lit(0)) for n in sums} | {
+        n: F.when(F.col("_first"), F.col(f"_c_{n}")).otherwise(F.col(f"_p_{n}")) for n in previous
+    }
+    return local.join(carry, [*keys, BLOCK], "left").select(*df.columns, *[v.alias(n) for n, v in added.items()])
 
 
 def running_sum(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    size: float,
-    value: Column,
-    out: str,
-    inclusive: bool = False,
+    df: DataFrame, keys: list[str], order: list[str], size: float, value: Column, out: str, inclusive: bool = False
 ) -> DataFrame:
-    return running_sums(df, keys, order, size, {out: value}, inclusive)
+    return ordered_pass(df, keys, order, size, sums={out: value}, inclusive=inclusive)
 
 
 def dense_index(df: DataFrame, keys: list[str], order: list[str], size: float, out: str) -> DataFrame:
@@ -77,24 +89,7 @@ def previous_row(
     df: DataFrame, keys: list[str], order: list[str], size: float, state: Column, out: str
 ) -> DataFrame:
     """`lag(state)` per key: the state of the row before this one, NULL for the first."""
-    blocked = with_block(df, order[0], size).withColumn("_s", state)
-    ordered = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    position = F.struct(*order)
-    by_block = Window.partitionBy(*keys).orderBy(BLOCK)
-    carry = (
-        blocked.groupBy(*keys, BLOCK)
-        .agg(F.max_by("_s", position).alias("_last"))
-        .withColumn("_before", F.lag("_last").over(by_block))
-        .filter(F.col("_before").isNotNull())
-        .select(*keys, BLOCK, "_before")
-    )
-    return (
-        blocked.withColumn("_prev", F.lag("_s").over(ordered))
-        .withColumn("_first", F.row_number().over(ordered) == 1)
-        .join(carry, [*keys, BLOCK], "left")
-        .withColumn(out, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_prev")))
-        .drop(BLOCK, "_s", "_prev", "_first", "_before")
-    )
+    return ordered_pass(df, keys, order, size, previous={out: state})
 
 
 def island_ids(
@@ -116,7 +111,7 @@ def island_ids(
     blocked = with_block(df, order[0], size).withColumn("_s", state)
     ordered = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     local = blocked.withColumn("_p", F.lag("_s").over(ordered)).withColumn(
-        "_run",
+        "_run_no",
         F.sum(F.when(F.col("_p").isNotNull() & breaks(F.col("_p"), F.col("_s")), 1).otherwise(0)).over(
             ordered.rowsBetween(Window.unboundedPreceding, 0)
         ),
@@ -130,7 +125,7 @@ def island_ids(
         .agg(
             F.min_by("_s", position).alias("_head"),
             F.max_by("_s", position).alias("_tail"),
-            F.max("_run").alias("_n"),
+            F.max("_run_no").alias("_n"),
         )
         .withColumn("_before", F.lag("_tail").over(by_block))
         .withColumn(
@@ -146,11 +141,11 @@ def island_ids(
         .filter("_joins")
         .select(*keys, BLOCK, "_from")
     )
-    own = F.struct(F.col(BLOCK).alias("blk"), F.col("_run").alias("run"))
+    own = F.struct(F.col(BLOCK).alias("blk"), F.col("_run_no").alias("run"))
     return (
         local.join(carry, [*keys, BLOCK], "left")
-        .withColumn(out, F.when((F.col("_run") == 0) & F.col("_from").isNotNull(), F.col("_from")).otherwise(own))
-        .drop(BLOCK, "_s", "_p", "_run", "_from")
+        .withColumn(out, F.when((F.col("_run_no") == 0) & F.col("_from").isNotNull(), F.col("_from")).otherwise(own))
+        .drop(BLOCK, "_s", "_p", "_run_no", "_from")
     )
 
 

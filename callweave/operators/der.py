@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callweave.functions import blocks
 from callweave.operators import align
@@ -24,11 +25,10 @@ def _speaker_time(segments: DataFrame) -> DataFrame:
         .groupBy("call_id", "speaker", "t")
         .agg(F.sum("d").alias("d"))
     )
-    active = blocks.running_sum(edges, ["call_id", "speaker"], ["t"], blocks.TIME_BLOCK_MS, F.col("d"), "before")
-    stretches = blocks.previous_row(
-        active, ["call_id", "speaker"], ["t"], blocks.TIME_BLOCK_MS, F.col("t"), "start_ms"
+    stretches = blocks.ordered_pass(
+        edges, ["call_id", "speaker"], ["t"], blocks.TIME_BLOCK_MS, {"active": F.col("d")}, {"start_ms": F.col("t")}
     )
-    return stretches.filter(F.col("before") > 0).select(
+    return stretches.filter(F.col("active") > 0).select(
         "call_id", "speaker", "start_ms", F.col("t").alias("end_ms")
     )
 
@@ -91,8 +91,8 @@ def _assignment_by_potentials(gain: np.ndarray) -> float:
     return float(sum(gain[i, j] for i, j in taken))
 
 
-@F.pandas_udf("double")
 def _mapped_time(cells: pd.Series) -> pd.Series:
+    """Time of the best speaker mapping per call, from its (ref, hyp, ms) cells."""
     out = []
     for call in cells:
         triples = [(c["ref"], c["hyp"], c["ms"]) for c in call]
@@ -126,10 +126,14 @@ def der(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
         .groupBy("call_id", "t")
         .agg(F.sum("dr").alias("dr"), F.sum("dh").alias("dh"))
     )
-    counted = blocks.running_sums(
-        changes, ["call_id"], ["t"], blocks.TIME_BLOCK_MS, {"nr": F.col("dr"), "nh": F.col("dh")}
+    stretches = blocks.ordered_pass(
+        changes,
+        ["call_id"],
+        ["t"],
+        blocks.TIME_BLOCK_MS,
+        {"nr": F.col("dr"), "nh": F.col("dh")},
+        {"prev": F.col("t")},
     )
-    stretches = blocks.previous_row(counted, ["call_id"], ["t"], blocks.TIME_BLOCK_MS, F.col("t"), "prev")
     length = F.col("t") - F.col("prev")
     sums = stretches.filter(F.col("prev").isNotNull()).groupBy("call_id").agg(
         F.sum(length * F.col("nr")).alias("total_ms"),
@@ -149,7 +153,7 @@ def der(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
         .agg(F.sum("overlap_ms").cast("double").alias("ms"))
         .groupBy("call_id")
         .agg(F.collect_list(F.struct("ref", "hyp", "ms")).alias("cells"))
-        .select("call_id", _mapped_time("cells").alias("correct_ms"))
+        .select("call_id", F.pandas_udf(_mapped_time, T.DoubleType())("cells").alias("correct_ms"))
     )
     joined = sums.join(together, "call_id", "left").withColumn(
         "correct_ms", F.coalesce("correct_ms", F.lit(0.0)).cast("bigint")

@@ -136,7 +136,7 @@ def binary_metrics(
             F.max(prob).alias("prob"),
         )
     )
-    cum = blocks.running_sums(
+    cum = blocks.ordered_pass(
         per_p, keys, ["q"], 1.0 / buckets, {"pos_above": F.col("pos"), "neg_above": F.col("neg")}
     )
     yes = F.col("prob") >= threshold

@@ -6,11 +6,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callweave.functions import blocks
 from callweave.functions import text as tx
 
-_COUNTS = "substitutions int, deletions int, insertions int, hits int"
+_COUNTS = T.StructType(
+    [T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions", "hits")]
+)
 
 
 def join_segments(segments: DataFrame, size: int = blocks.TURN_BLOCK) -> DataFrame:
@@ -72,7 +75,6 @@ def _edit_counts(ref: np.ndarray, hyp: np.ndarray) -> tuple[int, int, int, int]:
     return substituted, deleted, inserted, len(ref) - substituted - deleted
 
 
-@F.pandas_udf(_COUNTS)
 def _word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     rows = []
     for ref, hyp in zip(reference, hypothesis):
@@ -89,7 +91,7 @@ def call_wer(pairs: DataFrame) -> DataFrame:
     counted = (
         pairs.withColumn("_r", tx.normal_words(F.coalesce("reference", F.lit(""))))
         .withColumn("_h", tx.normal_words(F.coalesce("hypothesis", F.lit(""))))
-        .withColumn("_e", _word_edits("_r", "_h"))
+        .withColumn("_e", F.pandas_udf(_word_edits, _COUNTS)("_r", "_h"))
         .withColumn("reference_words", F.size("_r").cast("bigint"))
     )
     names = ("substitutions", "deletions", "insertions", "hits")
