@@ -6,7 +6,7 @@ from callweave.catalog import base
 
 
 def _load() -> None:
-    from callweave.catalog import calls, speech  # noqa: F401
+    from callweave.catalog import calls, data, speech, text  # noqa: F401
 
 
 def queries():

@@ -20,15 +20,19 @@ def load_turns(spark: SparkSession, path: str) -> DataFrame:
     """Conversation files, one call each: an object with `conversation` or a bare array.
 
     The position in the array becomes `turn_idx`; it decides what the first and
-    the last turn are.
+    the last turn are. The call id is the file name, or the `call=` folder of a
+    file written per call.
     """
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(path, r"/call=([^/]+)/[^/]*$", 1)
+    call_id = F.when(folder != "", folder).otherwise(tx.call_id_of(path))
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     body = F.when(
         F.ltrim(F.col("value")).startswith("["),
         F.from_json("value", schema.CONVERSATION_JSON.fields[0].dataType),
     ).otherwise(F.from_json("value", schema.CONVERSATION_JSON)["conversation"])
     return (
-        raw.select(tx.call_id_of(F.col("_metadata.file_path")).alias("call_id"), body.alias("turns"))
+        raw.select(call_id.alias("call_id"), body.alias("turns"))
         .select("call_id", F.posexplode("turns").alias("turn_idx", "t"))
         .select(
             "call_id",
