@@ -8,7 +8,7 @@ from callweave.catalog.calls import _n, _r
 from callweave.config import AudioConfig
 from callweave.operators import evaluate, features, learn, quality, rules, sampling
 from callweave.plans import jobs
-from callweave.session import scratch_path
+from callweave.session import scratch_path, settle
 from callweave.sources import files
 from callweave.sources import tables as T
 
@@ -384,8 +384,8 @@ def g16(spark, sf):
     """WITH s AS (SELECT quality AS y, (doc_id % 101) / 100.0::DOUBLE AS p FROM labels),
 t AS (SELECT sum(y) AS pos, sum(1 - y) AS neg FROM s),
 ranked AS (SELECT y, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM s),
-at AS (SELECT p, sum(y) AS dp, count(*) AS dn FROM s GROUP BY 1),
-cum AS (SELECT p, dp, sum(dp) OVER w AS tp, sum(dn) OVER w AS n FROM at WINDOW w AS (ORDER BY p DESC)),
+per_p AS (SELECT p, sum(y) AS dp, count(*) AS dn FROM s GROUP BY 1),
+cum AS (SELECT p, dp, sum(dp) OVER w AS tp, sum(dn) OVER w AS n FROM per_p WINDOW w AS (ORDER BY p DESC)),
 ap AS (SELECT sum(dp * tp / n) / (SELECT pos FROM t) AS ap FROM cum),
 auc AS (SELECT (sum(r) FILTER (WHERE y = 1) - (SELECT pos * (pos + 1) / 2 FROM t)) / (SELECT pos * neg FROM t) AS auc FROM ranked),
 c AS (SELECT count(*) FILTER (WHERE p >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE p >= 0.5) AS np, sum(y) AS nt, avg((p - y) * (p - y)) AS brier FROM s)
@@ -415,7 +415,7 @@ def t4(spark, sf):
 
 def _labelled_docs(spark, sf):
     rows = files.load_labelled(T.doc_labels(spark, sf), "text", "quality", ["poor", "good"])
-    return learn.prepare_dataset(rows.select("doc_id", "text", "label"), ["doc_id"])
+    return settle(learn.prepare_dataset(rows.select("doc_id", "text", "label"), ["doc_id"]))
 
 
 @register("m1_m3_text_baseline_scores")
@@ -454,14 +454,14 @@ def _call_features(spark, sf):
 @register("m5_resolution_scores")
 def m5(spark, sf):
     """Twenty trees keep the check short; the default is two hundred."""
-    rows = sampling.holdout_split(_call_features(spark, sf), ["call_id"], {"test": 0.2}).persist()
+    rows = settle(sampling.holdout_split(settle(_call_features(spark, sf)), ["call_id"], {"test": 0.2}))
     model = learn.train_resolution(rows.filter("split = 'train'"), trees=20)
     return learn.score(model, rows.filter("split = 'test'")).select("call_id", "resolution", "predicted", "confidence")
 
 
 @register("m6_escalation_scores")
 def m6(spark, sf):
-    rows = sampling.holdout_split(_call_features(spark, sf), ["call_id"], {"test": 0.2}).persist()
+    rows = settle(sampling.holdout_split(settle(_call_features(spark, sf)), ["call_id"], {"test": 0.2}))
     model = learn.train_escalation(rows.filter("split = 'train'"), trees=20)
     scored = learn.escalation_probability(model, rows.filter("split = 'test'"))
     return scored.select("call_id", "escalation", "probability", rules.risk_tier(F.col("probability")).alias("risk_tier"))
@@ -469,7 +469,7 @@ def m6(spark, sf):
 
 @register("m7_importances")
 def m7(spark, sf):
-    model = learn.train_escalation(_call_features(spark, sf).persist(), trees=20)
+    model = learn.train_escalation(settle(_call_features(spark, sf)), trees=20)
     return learn.importances(model, spark)
 
 
@@ -494,7 +494,7 @@ def _conversation_rows(spark, sf):
 
 @register("m4_conversation_baseline_metrics")
 def m4(spark, sf):
-    rows = _conversation_rows(spark, sf).persist()
+    rows = settle(_conversation_rows(spark, sf))
     models = learn.train_conversation_baseline(rows, CONVERSATION_TASKS)
     predicted = learn.predict_tasks(models, rows)
     long = None
@@ -509,17 +509,16 @@ def m4(spark, sf):
 
 @register("c12_predict_conversations")
 def c12(spark, sf):
-    rows = _conversation_rows(spark, sf).persist()
+    rows = settle(_conversation_rows(spark, sf))
     models = learn.train_conversation_baseline(rows, CONVERSATION_TASKS)
     return jobs.predict_conversations(T.scored_turns(spark, sf), T.outcomes(spark, sf), models)
 
 
 def _models(spark, sf):
-    rows = (
+    rows = settle(
         features.business_features(T.scored_turns(spark, sf))
         .join(features.first_customer_intent(T.scored_turns(spark, sf)), "call_id")
         .join(rules.outcome_labels(T.outcomes(spark, sf)), "call_id")
-        .persist()
     )
     return learn.train_resolution(rows, trees=20), learn.train_escalation(rows, trees=20)
 
@@ -534,7 +533,7 @@ def c5(spark, sf):
 @register("c6_agent_report")
 def c6(spark, sf):
     resolution, escalation = _models(spark, sf)
-    satisfaction = learn.train_conversation_baseline(_conversation_rows(spark, sf).persist(), ["satisfaction"])
+    satisfaction = learn.train_conversation_baseline(settle(_conversation_rows(spark, sf)), ["satisfaction"])
     report = jobs.agent_report(
         T.scored_turns(spark, sf), T.agents_of_calls(spark, sf), resolution, escalation, satisfaction["satisfaction"]
     )

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import blocks
+from callweave.session import settle
 
 GROUP_LIMIT = 4000  # clusters of one call that one task compares
 PAIR_BLOCK = 1000
@@ -167,15 +168,15 @@ def _shrink(clusters: DataFrame, k: int, limit: int) -> tuple[DataFrame, DataFra
         busy = clusters.groupBy("call_id").count().filter(F.col("count") > limit).select("call_id")
         if busy.isEmpty():
             return clusters, members
-        moves = _round(clusters.join(busy, "call_id", "left_semi"), k).checkpoint()
-        members = (
-            members.join(moves, ["call_id", "cid"], "left")
-            .select("call_id", "seg_idx", F.coalesce("into", "cid").alias("cid"))
-            .checkpoint()
+        moves = settle(_round(clusters.join(busy, "call_id", "left_semi"), k))
+        members = settle(
+            members.join(moves, ["call_id", "cid"], "left").select(
+                "call_id", "seg_idx", F.coalesce("into", "cid").alias("cid")
+            )
         )
         # Both sides of a merge come as one row each; sums of vectors add up by position.
         moved = clusters.join(moves, ["call_id", "cid"], "left").withColumn("cid", F.coalesce("into", "cid"))
-        clusters = (
+        clusters = settle(
             moved.groupBy("call_id", "cid")
             .agg(F.collect_list("vec").alias("_vs"), F.sum("n").alias("n"))
             .select(
@@ -186,7 +187,6 @@ def _shrink(clusters: DataFrame, k: int, limit: int) -> tuple[DataFrame, DataFra
                 ).alias("vec"),
                 "n",
             )
-            .checkpoint()
         )
 
 

@@ -33,6 +33,15 @@ from callweave.operators import evaluate, sampling
 SEED = 42
 
 
+def _fit(stages: list, df: DataFrame, label: str) -> PipelineModel:
+    """Fits stages on weighted rows; every stage reads the rows again, so they are kept."""
+    rows = evaluate.with_class_weights(df, label).persist()
+    try:
+        return Pipeline(stages=stages).fit(rows)
+    finally:
+        rows.unpersist()
+
+
 def _indexed_label(label: str) -> StringIndexer:
     # alphabetical, so that the class order is the sorted one
     return StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep")
@@ -54,7 +63,7 @@ def train_text_baseline(df: DataFrame, text: str = "text", label: str = "label",
         _indexed_label(label),
         LogisticRegression(featuresCol="features", labelCol="_y", weightCol="weight", maxIter=100, regParam=1e-3),
     ]
-    return Pipeline(stages=stages).fit(evaluate.with_class_weights(df, label))
+    return _fit(stages, df, label)
 
 
 def _labels_of(model: PipelineModel) -> list[str]:
@@ -167,7 +176,7 @@ def _fit_forest(df: DataFrame, label: str, with_intent: bool, depth: int, trees:
         featuresCol="features", labelCol="_y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED
     )
     stages = [*_numeric_and_intent(C.BUSINESS_FEATURES, with_intent), _indexed_label(label), forest]
-    return Pipeline(stages=stages).fit(evaluate.with_class_weights(df, label))
+    return _fit(stages, df, label)
 
 
 def train_resolution(df: DataFrame, label: str = "resolution", trees: int = 200, depth: int = 8) -> PipelineModel:
@@ -193,12 +202,14 @@ def train_conversation_baseline(df: DataFrame, tasks: Sequence[str]) -> dict[str
     prepared = features.transform(df)
     models = {}
     for task in tasks:
-        fitted = Pipeline(
-            stages=[
+        fitted = _fit(
+            [
                 _indexed_label(task),
                 LogisticRegression(featuresCol="features", labelCol="_y", weightCol="weight", maxIter=100),
-            ]
-        ).fit(evaluate.with_class_weights(prepared, task))
+            ],
+            prepared,
+            task,
+        )
         models[task] = PipelineModel([*features.stages, *fitted.stages])
     return models
 

@@ -96,7 +96,7 @@ def duration_histogram(df: DataFrame, column: str, max_bins: int = 20) -> DataFr
             F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
             F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
             bins.alias("bins"),
-        )
+        ).alias("_s")
     )
     s = F.col("_s")
     width = (s["hi"] - s["lo"]) / s["bins"]
@@ -106,8 +106,7 @@ def duration_histogram(df: DataFrame, column: str, max_bins: int = 20) -> DataFr
         .select(F.least(F.floor((value - s["lo"]) / width).cast("int"), s["bins"] - 1).alias("bin"))
     )
     counts = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    frame = one.select(F.col(one.columns[0]).alias("_s")).filter(s["bins"] > 0)
-    grid = frame.select(
+    grid = one.filter(s["bins"] > 0).select(
         F.posexplode(F.sequence(F.lit(0), s["bins"] - 1)).alias("bin", "_x"), s["lo"].alias("lo"), width.alias("w")
     )
     return grid.join(counts, "bin", "left").select(

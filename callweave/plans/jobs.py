@@ -27,6 +27,7 @@ from callweave.operators import (
     signal,
     wer,
 )
+from callweave.session import settle
 
 
 def attribute_speakers(
@@ -197,7 +198,9 @@ def diarize(
 
     `embeddings`: call_id, seg_idx, embedding.
     """
-    segments = signal.diarization_segments(signal.speech_regions(speech_frames, totals, vad), cfg)
+    # Regions are few beside frames and several passes read them: computed once.
+    regions = settle(signal.speech_regions(speech_frames, totals, vad))
+    segments = settle(signal.diarization_segments(regions, cfg))
     labels = cluster.cluster_speakers(segments.select("call_id", "seg_idx").join(embeddings, ["call_id", "seg_idx"]), speakers)
     return segments.join(cluster.relabel_first_seen(labels), ["call_id", "seg_idx"]).select(
         "call_id", F.col("seg_idx").alias("spk_idx"), "speaker", "start_ms", "end_ms"
@@ -238,7 +241,7 @@ def prepare_signal(
     durations = mono.groupBy("call_id").agg(((F.max("idx") + 1) * 1000.0 / sample_rate).alias("duration_ms"))
     totals = signal.frame_totals(frames).join(durations, "call_id")
     speech = frames.filter(F.col("db") > vad.silence_threshold_db)
-    regions = signal.speech_regions(speech, totals, vad)
+    regions = settle(signal.speech_regions(speech, totals, vad))
     return {
         "samples": level,
         "regions": regions,

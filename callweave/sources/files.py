@@ -23,13 +23,13 @@ def load_turns(spark: SparkSession, path: str) -> DataFrame:
     the last turn are. The call id is the file name, or the `call=` folder of a
     file written per call.
     """
-    path = F.col("_metadata.file_path")
-    folder = F.regexp_extract(path, r"/call=([^/]+)/[^/]*$", 1)
-    call_id = F.when(folder != "", folder).otherwise(tx.call_id_of(path))
+    file_path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(file_path, r"/call=([^/]+)/[^/]*$", 1)
+    call_id = F.when(folder != "", folder).otherwise(tx.call_id_of(file_path))
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     body = F.when(
-        F.ltrim(F.col("value")).startswith("["),
-        F.from_json("value", schema.CONVERSATION_JSON.fields[0].dataType),
+        F.startswith(F.ltrim(F.col("value")), F.lit("[")),
+        F.from_json("value", schema.CONVERSATION_JSON["conversation"].dataType),
     ).otherwise(F.from_json("value", schema.CONVERSATION_JSON)["conversation"])
     return (
         raw.select(call_id.alias("call_id"), body.alias("turns"))
