@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 BLOCK = "_blk"
 TURN_BLOCK = 4096
+TEXT_BLOCK = 1024  # turns whose texts may be joined in one cell
 FRAME_BLOCK = 1 << 16
 TIME_BLOCK_MS = 1 << 22  # a little over an hour
 
@@ -175,7 +176,7 @@ def join_key_stats(df: DataFrame, stats: DataFrame, key: str, index: str, size:
 
 
 def text_parts(
-    df: DataFrame, keys: list[str], index: str, text: str, out: str, size: int = TURN_BLOCK, sep: str = " "
+    df: DataFrame, keys: list[str], index: str, text: str, out: str, size: int = TEXT_BLOCK, sep: str = " "
 ) -> DataFrame:
     """Joins texts per key in order, in parts of at most `size` positions.
 

@@ -50,15 +50,19 @@ def sha256_hex(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def keyword_flags(turns: DataFrame, size: int = blocks.TURN_BLOCK) -> DataFrame:
+def keyword_flags(
+    turns: DataFrame, size: int = blocks.TURN_BLOCK, keep: dict[str, Column] | None = None
+) -> DataFrame:
     """Per turn: does a supervisor / transfer phrase end in it?
 
     The phrases are looked for in the turns of a call joined by one space, so a
     phrase may begin in an earlier turn. A phrase has at most 17 characters, so
     besides the turn itself only the 18 characters before it matter. Those come
     from at most 18 turns back, which a halo of 18 rows provides; only these
-    short pieces are shuffled, never the texts.
+    short pieces are shuffled, never the texts. `keep` adds further short columns
+    that a caller computes in the same scan.
     """
+    keep = keep or {}
     reach = C.KEYWORD_MAX_CHARS + 1
     body = F.coalesce(F.col("text"), F.lit(""))
     # A cut piece gets a letter at the cut, so that the cut is no word boundary.
@@ -70,6 +74,7 @@ def keyword_flags(turns: DataFrame, size: int = blocks.TURN_BLOCK) -> DataFrame:
         body.rlike(C.TRANSFER_PATTERN).alias("_tra"),
         head.alias("_head"),
         F.right(body, F.lit(reach)).alias("_tail"),
+        *[v.alias(k) for k, v in keep.items()],
     )
     back = Window.partitionBy("call_id", blocks.BLOCK).orderBy("turn_idx").rowsBetween(-reach, -1)
     before = F.array_join(F.collect_list("_tail").over(back), " ")
@@ -83,5 +88,6 @@ def keyword_flags(turns: DataFrame, size: int = blocks.TURN_BLOCK) -> DataFrame:
             "turn_idx",
             (F.col("_sup") | F.col("_joined").rlike(C.SUPERVISOR_PATTERN)).alias("supervisor_phrase"),
             (F.col("_tra") | F.col("_joined").rlike(C.TRANSFER_PATTERN)).alias("transfer_phrase"),
+            *keep,
         )
     )

@@ -237,7 +237,7 @@ def slice_text(entities: DataFrame, docs: DataFrame, key: str = "doc_id", text:
 _CUT_REACH = 40  # characters before a cut that could belong to a match across it
 
 
-def call_text(turns: DataFrame, size: int = blocks.TURN_BLOCK) -> DataFrame:
+def call_text(turns: DataFrame, size: int = blocks.TEXT_BLOCK) -> DataFrame:
     """The turns of a call joined by a space, as one or more parts.
 
     Calls of up to `size` turns are one part. Longer ones are cut near every

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.functions import blocks
 from callweave.operators import entities as E
+from callweave.session import join_counted
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -27,58 +28,71 @@ def pair_counts(preds: DataFrame, keys: Sequence[str] = (), true: str = "y_true"
     )
 
 
-def confusion(preds: DataFrame, labels: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Counts for every cell of labels x labels, 0 where no row falls."""
-    counts = pair_counts(preds, keys)
-    names = F.array(*[F.lit(x) for x in labels])
-    # Each cell of the fixed grid gets a zero row; the sum with the real counts fills it.
-    grid = (
-        (counts.select(*keys).distinct() if keys else counts.limit(1).select())
-        .withColumn("y_true", F.explode(names))
-        .withColumn("y_pred", F.explode(names))
-        .withColumn("n", F.lit(0).cast("bigint"))
-    )
-    inside = counts.filter(F.col("y_true").isin(list(labels)) & F.col("y_pred").isin(list(labels)))
-    return grid.unionByName(inside).groupBy(*keys, "y_true", "y_pred").agg(F.sum("n").alias("n"))
+def _names(labels: Sequence[str]) -> Column:
+    return F.array(*[F.lit(x) for x in labels])
 
 
-def class_metrics(preds: DataFrame, labels: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Precision, recall, F1 and support per class.
+def confusion(preds: DataFrame, labels: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Counts for every cell of labels x labels, 0 where no row falls.
 
-    Without a label list the union of true and predicted labels is used.
+    Each row of the small pair table also brings a zero for every cell of the
+    grid, so the table is computed and read once.
     """
-    counts = pair_counts(preds, keys)
-    zero = F.lit(0).cast("bigint")
+    names, zero = _names(labels), F.lit(0).cast("bigint")
+
+    def cell(true: Column, pred: Column, n: Column) -> Column:
+        return F.struct(true.alias("y_true"), pred.alias("y_pred"), n.alias("n"))
+
+    grid = F.flatten(F.transform(names, lambda t: F.transform(names, lambda p: cell(t, p, zero))))
+    own = F.array(cell(F.col("y_true"), F.col("y_pred"), F.col("n")))
+    cells = pair_counts(preds, keys).select(*keys, F.explode(F.concat(own, grid)).alias("c")).select(*keys, "c.*")
+    inside = cells.filter(F.col("y_true").isin(list(labels)) & F.col("y_pred").isin(list(labels)))
+    return inside.groupBy(*keys, "y_true", "y_pred").agg(F.sum("n").alias("n"))
+
+
+def _class_totals(preds: DataFrame, labels: Sequence[str] | None, keys: Sequence[str]) -> DataFrame:
+    """Hits, support and predictions per class; the row without a label counts all pairs."""
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
     hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(zero)
-    rows = counts.select(
-        *keys, F.col("y_true").alias("label"), hit.alias("tp"), F.col("n").alias("support"), zero.alias("predicted")
-    ).unionByName(
-        counts.select(
-            *keys, F.col("y_pred").alias("label"), zero.alias("tp"), zero.alias("support"), F.col("n").alias("predicted")
+
+    def row(label: Column, tp: Column, support: Column, predicted: Column) -> Column:
+        return F.struct(
+            label.alias("label"), tp.alias("tp"), support.alias("support"), predicted.alias("predicted")
         )
+
+    rows = F.array(
+        row(F.col("y_true").cast("string"), hit, F.col("n"), zero),
+        row(F.col("y_pred").cast("string"), zero, zero, F.col("n")),
+        row(none, hit, F.col("n"), zero),
     )
     if labels is not None:
-        base = counts.select(*keys).distinct() if keys else counts.limit(1).select()
-        names = F.array(*[F.lit(x) for x in labels])
-        rows = rows.filter(F.col("label").isin(list(labels))).unionByName(
-            base.select(
-                *keys, F.explode(names).alias("label"), zero.alias("tp"), zero.alias("support"), zero.alias("predicted")
-            )
-        )
-    totals = rows.groupBy(*keys, "label").agg(
-        F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted")
-    )
-    precision, recall = ratio(F.col("tp"), F.col("predicted")), ratio(F.col("tp"), F.col("support"))
-    return totals.select(
-        *keys,
-        "label",
-        precision.alias("precision"),
-        recall.alias("recall"),
-        ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"),
-        "support",
+        rows = F.concat(rows, F.transform(_names(labels), lambda x: row(x, zero, zero, zero)))
+    out = pair_counts(preds, keys).select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
+    if labels is not None:
+        out = out.filter(F.col("label").isNull() | F.col("label").isin(list(labels)))
+    return out.groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
+
+
+def _with_scores(totals: DataFrame) -> DataFrame:
+    tp, predicted, support = F.col("tp"), F.col("predicted"), F.col("support")
+    return totals.withColumns(
+        {
+            "precision": ratio(tp, predicted),
+            "recall": ratio(tp, support),
+            "f1": ratio(2 * tp, predicted + support),
+        }
     )
 
 
+def class_metrics(preds: DataFrame, labels: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Precision, recall, F1 and support per class.
+
+    Without a label list the union of true and predicted labels is used.
+    """
+    totals = _class_totals(preds, labels, keys).filter(F.col("label").isNotNull())
+    return _with_scores(totals).select(*keys, "label", "precision", "recall", "f1", "support")
+
+
 def accuracy(preds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     hit = F.when(F.col("y_true") == F.col("y_pred"), 1).otherwise(0)
     agg = [F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n")]
@@ -86,28 +100,14 @@ def accuracy(preds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def macro_metrics(preds: DataFrame, labels: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Accuracy and unweighted means over the classes.
-
-    Accuracy comes from the pair counts too, as one extra row per key.
-    """
-    per_class = class_metrics(preds, labels, keys).select(
-        *keys, "precision", "recall", "f1", F.lit(None).cast("bigint").alias("hits"),
-        F.lit(None).cast("bigint").alias("n"),
-    )
-    counts = pair_counts(preds, keys).select(
-        *keys,
-        *[F.lit(None).cast("double").alias(c) for c in ("precision", "recall", "f1")],
-        F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("hits"),
-        "n",
-    )
-    rows = per_class.unionByName(counts)
+    """Accuracy and unweighted means over the classes, from one pass over the rows."""
+    scored = _with_scores(_class_totals(preds, labels, keys))
+    is_class = F.col("label").isNotNull()
     agg = [
-        (F.sum("hits") / F.sum("n")).alias("accuracy"),
-        F.avg("precision").alias("precision_macro"),
-        F.avg("recall").alias("recall_macro"),
-        F.avg("f1").alias("f1_macro"),
+        F.max(F.when(~is_class, F.col("tp") / F.col("support"))).alias("accuracy"),
+        *[F.avg(F.when(is_class, F.col(c))).alias(f"{c}_macro") for c in ("precision", "recall", "f1")],
     ]
-    return rows.groupBy(*keys).agg(*agg) if keys else rows.agg(*agg)
+    return scored.groupBy(*keys).agg(*agg) if keys else scored.agg(*agg)
 
 
 def multi_task_metrics(preds: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
@@ -165,17 +165,13 @@ def binary_metrics(
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Inverse-frequency weight per class: n / (classes * count)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    stats = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).select(F.struct("total", "k"))
-    return (
-        counts.withColumn("_s", stats.scalar())
-        .withColumn("weight", F.col("_s.total") / (F.col("_s.k") * F.col("n")))
-        .drop("_s")
-    )
+    every = Window.partitionBy()
+    return counts.withColumn("weight", F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n")))
 
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """Adds the class weight to every row, as a training weight."""
-    return df.join(class_weights(df, label).select(label, F.col("weight").alias(out)), label)
+    return join_counted(df, class_weights(df, label).select(label, F.col("weight").alias(out)), [label])
 
 
 # --- entity level ----------------------------------------------------------------

@@ -58,45 +58,50 @@ def conversation_features(scored: DataFrame, entity_counts: DataFrame) -> DataFr
     )
 
 
-def business_features(scored: DataFrame, flags: DataFrame | None = None) -> DataFrame:
+def business_features(scored: DataFrame, size: int = blocks.TURN_BLOCK) -> DataFrame:
     """The seventeen business features, one row per call.
 
-    One aggregation by call does all of them but the two phrase flags, which
-    come from `keyword_flags` and are reduced per call before they are joined.
+    The texts are read once. What a turn contributes is reduced to numbers, flags
+    and short text ends where it is scanned; those are placed by (call, block) for
+    the phrases that cross turns and then aggregated by call.
     """
-    cust = _is(C.CUSTOMER)
-    score = sentiment_score(F.col("sentiment"))
-    turn_if_cust = F.when(cust, F.col("turn_idx"))
-    if flags is None:
-        flags = tx.keyword_flags(scored)
-    phrases = flags.groupBy("call_id").agg(
-        F.bool_or("supervisor_phrase").alias("_sup"), F.bool_or("transfer_phrase").alias("_tra")
+    turns = tx.keyword_flags(
+        scored,
+        size,
+        keep={
+            "_cust": F.coalesce(_is(C.CUSTOMER), F.lit(False)),
+            "_agent": F.coalesce(_is(C.AGENT), F.lit(False)),
+            "start_ms": F.col("start_ms"),
+            "end_ms": F.col("end_ms"),
+            "_words": F.when(_is(C.CUSTOMER), tx.word_count(F.col("text"))),
+            "_score": F.when(_is(C.CUSTOMER), sentiment_score(F.col("sentiment"))),
+            "_bad": _is(C.CUSTOMER) & F.col("emotion").isin(C.NEGATIVE_EMOTIONS),
+            "_angry": _is(C.CUSTOMER) & (F.col("emotion") == "anger"),
+        },
     )
-    base = scored.groupBy("call_id").agg(
+    turn_if_cust = F.when(F.col("_cust"), F.col("turn_idx"))
+    base = turns.groupBy("call_id").agg(
         F.count(F.lit(1)).alias("num_turns"),
-        F.count_if(cust).alias("num_customer_turns"),
-        F.count_if(_is(C.AGENT)).alias("num_agent_turns"),
+        F.count_if("_cust").alias("num_customer_turns"),
+        F.count_if("_agent").alias("num_agent_turns"),
         ((F.max("end_ms") - F.min("start_ms")) / 1000.0).alias("conversation_duration_seconds"),
-        F.coalesce(F.avg(F.when(cust, tx.word_count(F.col("text")))), F.lit(0.0)).alias(
-            "avg_customer_utterance_length"
-        ),
-        F.coalesce(F.min_by(score, turn_if_cust), F.lit(0)).alias("first_customer_sentiment_score"),
-        F.coalesce(F.max_by(score, turn_if_cust), F.lit(0)).alias("last_customer_sentiment_score"),
-        F.coalesce(F.avg(F.when(cust, score)), F.lit(0.0)).alias("mean_customer_sentiment_score"),
-        F.count_if(cust & (score < 0)).alias("negative_sentiment_turn_count"),
-        F.count_if(cust & F.col("emotion").isin(C.NEGATIVE_EMOTIONS)).alias("negative_emotion_count"),
-        F.max(F.when(cust & (F.col("emotion") == "anger"), 1).otherwise(0)).alias("anger_or_frustration_present"),
+        F.coalesce(F.avg("_words"), F.lit(0.0)).alias("avg_customer_utterance_length"),
+        F.coalesce(F.min_by("_score", turn_if_cust), F.lit(0)).alias("first_customer_sentiment_score"),
+        F.coalesce(F.max_by("_score", turn_if_cust), F.lit(0)).alias("last_customer_sentiment_score"),
+        F.coalesce(F.avg("_score"), F.lit(0.0)).alias("mean_customer_sentiment_score"),
+        F.count_if(F.col("_score") < 0).alias("negative_sentiment_turn_count"),
+        F.count_if("_bad").alias("negative_emotion_count"),
+        F.coalesce(F.bool_or("_angry"), F.lit(False)).cast("int").alias("anger_or_frustration_present"),
+        F.bool_or("supervisor_phrase").cast("int").alias("supervisor_request_mentioned"),
+        F.bool_or("transfer_phrase").cast("int").alias("transfer_mentioned"),
     )
     negatives, customers = F.col("negative_sentiment_turn_count"), F.col("num_customer_turns")
     first, last = F.col("first_customer_sentiment_score"), F.col("last_customer_sentiment_score")
     return (
-        base.join(phrases, "call_id", "left")
-        .withColumns(
+        base.withColumns(
             {
                 "sentiment_trend": F.when(customers >= 2, last - first).otherwise(0),
                 "negative_sentiment_fraction": F.when(customers > 0, negatives / customers).otherwise(0.0),
-                "supervisor_request_mentioned": F.coalesce(F.col("_sup"), F.lit(False)).cast("int"),
-                "transfer_mentioned": F.coalesce(F.col("_tra"), F.lit(False)).cast("int"),
                 "repeated_complaint_signal": (negatives >= 2).cast("int"),
                 "ends_on_negative_sentiment": ((customers > 0) & (last < 0)).cast("int"),
             }

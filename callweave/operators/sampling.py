@@ -4,7 +4,7 @@ Rows are ordered by the MD5 of id and seed. To take the first k rows of a class
 nothing is sorted as a whole: counts per hash prefix tell in which prefix the
 k-th row lies, only that prefix is ranked, and its k-th hash becomes a threshold
 that every row is compared with. The exact first k rows come out, and only the
-rows of one prefix in 65536 per class are shuffled.
+rows of one prefix in 4096 per class are shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX = 4  # hex digits
+from callweave.session import join_counted
+
+PREFIX = 3  # hex digits
 
 
 def sample_hash(ids: Sequence[str], seed: int) -> Column:
@@ -25,51 +27,58 @@ def union_tagged(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     return real.withColumn("source", F.lit("real")).unionByName(synthetic.withColumn("source", F.lit("synthetic")))
 
 
-def _thresholds(hashed: DataFrame, keys: list[str], ranks: DataFrame) -> DataFrame:
-    """The hash at each wanted rank. ranks: keys, cut (name), rank (1-based)."""
+def _thresholds(hashed: DataFrame, keys: list[str], cuts: dict[str, Column]) -> DataFrame:
+    """The hash at each cut, one row per (keys, cut).
+
+    Each cut is a column over `n` (rows of the class) and `total` (all rows),
+    telling how many rows lie at or below it. The table of prefix counts has at
+    most 4096 rows per class.
+    """
     per_prefix = hashed.groupBy(*keys, F.substring("_h", 1, PREFIX).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    up_to = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    spans = per_prefix.withColumn("_before", F.coalesce(F.sum("_n").over(up_to), F.lit(0)))
+    of_class = Window.partitionBy(*keys)
+    spans = per_prefix.withColumns(
+        {
+            "_before": F.coalesce(
+                F.sum("_n").over(of_class.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            ),
+            "n": F.sum("_n").over(of_class),
+            "total": F.sum("_n").over(Window.partitionBy()),
+        }
+    )
+    wanted = F.array(*[F.struct(F.lit(k).alias("cut"), v.cast("bigint").alias("rank")) for k, v in cuts.items()])
     located = (
-        spans.join(ranks, keys)
-        .filter((F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_before") + F.col("_n")))
-        .select(*keys, "_p", "cut", (F.col("rank") - F.col("_before")).alias("_within"))
+        spans.withColumn("_c", F.explode(wanted))
+        .filter((F.col("_before") < F.col("_c.rank")) & (F.col("_c.rank") <= F.col("_before") + F.col("_n")))
+        .select(*keys, "_p", "_c.cut", (F.col("_c.rank") - F.col("_before")).alias("_within"))
     )
     order = Window.partitionBy(*keys, "_p", "cut").orderBy("_h")
     return (
-        hashed.select(*keys, "_h", F.substring("_h", 1, PREFIX).alias("_p"))
-        .join(located, [*keys, "_p"])
+        join_counted(hashed.select(*keys, "_h", F.substring("_h", 1, PREFIX).alias("_p")), located, [*keys, "_p"])
         .withColumn("_r", F.row_number().over(order))
         .filter(F.col("_r") == F.col("_within"))
         .select(*keys, "cut", "_h")
     )
 
 
-def _with_cuts(df: DataFrame, keys: list[str], ids: Sequence[str], seed: int, cuts: dict[str, Column]) -> DataFrame:
+def _with_cuts(df: DataFrame, label: str, ids: Sequence[str], seed: int, cuts: dict[str, Column]) -> DataFrame:
     """Adds `_h` and one threshold column per cut; a cut of 0 rows gives NULL.
 
-    Each cut is a column over `n` (rows of the class) and `total` (rows in all),
-    telling how many rows lie at or below it.
+    The thresholds are one row per class, so the rows themselves stay where they
+    are scanned.
     """
     hashed = df.withColumn("_h", sample_hash(ids, seed))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    ranks = (
-        counts.withColumn("total", total)
-        .select(*keys, F.explode(F.create_map(*[x for k, v in cuts.items() for x in (F.lit(k), v.cast("bigint"))])).alias("cut", "rank"))
-    )
-    limits = _thresholds(hashed.select(*keys, "_h"), keys, ranks)
-    wide = limits.groupBy(*keys).agg(
+    limits = _thresholds(hashed.select(label, "_h"), [label], cuts)
+    wide = limits.groupBy(label).agg(
         *[F.max(F.when(F.col("cut") == name, F.col("_h"))).alias(f"_cut_{name}") for name in cuts]
     )
-    return hashed.join(wide, keys, "left")
+    return join_counted(hashed, wide, [label], "left")
 
 
 def stratified_subsample(df: DataFrame, label: str, ids: Sequence[str], max_total: int, seed: int = 42) -> DataFrame:
     """About `max_total` rows with the class shares kept, at least one row per class."""
     keep = F.greatest(F.lit(1), F.bround(F.col("n") / F.col("total") * max_total))
     keep = F.least(keep, F.col("n"))
-    cut = _with_cuts(df, [label], ids, seed, {"keep": keep})
+    cut = _with_cuts(df, label, ids, seed, {"keep": keep})
     return cut.filter(F.col("_h") <= F.col("_cut_keep")).drop("_h", "_cut_keep")
 
 
@@ -80,7 +89,7 @@ def stratified_split(
     n = F.col("n")
     n_test = F.when(n >= 3, F.greatest(F.lit(1), F.floor(n * test_frac))).otherwise(0)
     n_val = F.when(n >= 3, F.greatest(F.lit(1), F.floor(n * val_frac))).otherwise(0)
-    cut = _with_cuts(df, [label], ids, seed, {"test": n_test, "val": n_test + n_val})
+    cut = _with_cuts(df, label, ids, seed, {"test": n_test, "val": n_test + n_val})
     split = (
         F.when(F.col("_h") <= F.col("_cut_test"), "test").when(F.col("_h") <= F.col("_cut_val"), "val").otherwise("train")
     )
@@ -96,36 +105,13 @@ def holdout_split(
     subqueries.
     """
     hashed = df.withColumn("_h", sample_hash(ids, seed))
-    n = F.col("_total")
     cuts, taken = {}, F.lit(0).cast("bigint")
     for name, frac in fracs.items():
-        taken = taken + F.greatest(F.lit(at_least), F.floor(n * frac))
+        taken = taken + F.greatest(F.lit(at_least), F.floor(F.col("n") * frac))
         cuts[name] = taken
-    per_prefix = hashed.groupBy(F.substring("_h", 1, PREFIX).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    up_to = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    spans = per_prefix.withColumns(
-        {
-            "_before": F.coalesce(F.sum("_n").over(up_to), F.lit(0)),
-            "_total": F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        }
-    )
-    located = (
-        spans.withColumn(
-            "_c", F.explode(F.array(*[F.struct(F.lit(k).alias("cut"), v.alias("rank")) for k, v in cuts.items()]))
-        )
-        .filter((F.col("_before") < F.col("_c.rank")) & (F.col("_c.rank") <= F.col("_before") + F.col("_n")))
-        .select("_p", F.col("_c.cut").alias("cut"), (F.col("_c.rank") - F.col("_before")).alias("_within"))
-    )
-    order = Window.partitionBy("_p", "cut").orderBy("_h")
-    limits = (
-        hashed.select("_h", F.substring("_h", 1, PREFIX).alias("_p"))
-        .join(located, "_p")
-        .withColumn("_r", F.row_number().over(order))
-        .filter(F.col("_r") == F.col("_within"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("cut", "_h"))))
-    )
-    limit = F.col("_limits")
+    limits = _thresholds(hashed.select("_h"), [], cuts)
+    by_name = limits.agg(F.map_from_entries(F.collect_list(F.struct("cut", "_h")))).scalar()
     split = F.lit("train")
     for name in reversed(list(fracs)):
-        split = F.when(F.col("_h") <= F.element_at(limit, name), name).otherwise(split)
-    return hashed.withColumn("_limits", limits.scalar()).withColumn("split", split).drop("_h", "_limits")
+        split = F.when(F.col("_h") <= F.element_at("_limits", F.lit(name)), name).otherwise(split)
+    return hashed.withColumn("_limits", by_name).withColumn("split", split).drop("_h", "_limits")

@@ -88,12 +88,12 @@ def timeline_lines(timeline: DataFrame) -> DataFrame:
     return timeline.select("call_id", "entry_idx", line.alias("line"))
 
 
-def timeline_text(timeline: DataFrame, size: int = blocks.TURN_BLOCK) -> DataFrame:
+def timeline_text(timeline: DataFrame, size: int = blocks.TEXT_BLOCK) -> DataFrame:
     """The lines of a call joined by newlines, in parts of bounded length."""
     return blocks.text_parts(timeline_lines(timeline), ["call_id"], "entry_idx", "line", "timeline", size, "\n")
 
 
-def intent_text(turns: DataFrame, size: int = blocks.TURN_BLOCK) -> DataFrame:
+def intent_text(turns: DataFrame, size: int = blocks.TEXT_BLOCK) -> DataFrame:
     """Customer turns joined by a space, or all turns of calls without a customer."""
     has_customer = turns.groupBy("call_id").agg(F.bool_or(F.col("speaker") == C.CUSTOMER).alias("_has"))
     chosen = turns.join(has_customer, "call_id").filter((F.col("speaker") == C.CUSTOMER) | ~F.col("_has"))

@@ -16,7 +16,7 @@ _COUNTS = T.StructType(
 )
 
 
-def join_segments(segments: DataFrame, size: int = blocks.TURN_BLOCK) -> DataFrame:
+def join_segments(segments: DataFrame, size: int = blocks.TEXT_BLOCK) -> DataFrame:
     """The segments of a call joined by a space in order, in parts."""
     return blocks.text_parts(segments, ["call_id"], "seg_idx", "text", "hypothesis", size)
 

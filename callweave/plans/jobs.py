@@ -94,9 +94,8 @@ def analyze_calls(
     The turns are scored once, before this job; all branches read that table.
     """
     spark = scored.sparkSession
-    feats = features.business_features(scored)
-    intents = features.first_customer_intent(scored)
-    resolved = learn.score(resolution_model, feats.join(intents, "call_id")).select(
+    feats = settle(features.business_features(scored).join(features.first_customer_intent(scored), "call_id"))
+    resolved = learn.score(resolution_model, feats).select(
         "call_id",
         F.col("intent").alias("first_intent"),
         F.struct(F.col("predicted").alias("label"), "confidence", "probabilities").alias("resolution"),
@@ -145,9 +144,9 @@ def agent_report(
     satisfaction_model: PipelineModel,
 ) -> DataFrame:
     """Metrics and score per agent, with the three labels predicted by models."""
-    feats = features.business_features(scored)
     intents = features.first_customer_intent(scored)
-    resolution = learn.score(resolution_model, feats.join(intents, "call_id")).select(
+    feats = settle(features.business_features(scored).join(intents, "call_id"))
+    resolution = learn.score(resolution_model, feats).select(
         "call_id", F.col("predicted").alias("resolution")
     )
     risk = learn.escalation_probability(escalation_model, feats).select(

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime re-planning carries the joins of this library: it turns small sides
 # into broadcasts after measuring them and splits skewed join partitions.
@@ -62,3 +63,19 @@ def settle(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+BROADCAST_ROWS = 100_000
+
+
+def join_counted(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins a table that is expected to be short, such as one row per class.
+
+    The short side is computed and counted first. Up to `BROADCAST_ROWS` rows it
+    is broadcast, so the big side is not shuffled; beyond that the join is an
+    ordinary one.
+    """
+    short = settle(small)
+    if short.count() <= BROADCAST_ROWS:
+        short = F.broadcast(short)
+    return big.join(short, keys, how)
