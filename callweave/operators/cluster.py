@@ -160,7 +160,7 @@ def _shrink(clusters: DataFrame, k: int, limit: int) -> tuple[DataFrame, DataFra
     """Merges the clusters of large calls until each call has at most `limit`.
 
     Returns the remaining clusters and (call_id, seg_idx, cid). Every round is a
-    distributed job whose result is written to the checkpoint folder, so a lost
+    distributed job whose result is written to the shared folder, so a lost
     executor costs one round at most.
     """
     members = clusters.select("call_id", F.col("cid").alias("seg_idx"), "cid")

@@ -54,15 +54,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Computes a table once and cuts its lineage, in the shared checkpoint folder.
+    """Computes a table once, as files in the shared folder, and reads it back.
 
     Used between the steps of a job that read an intermediate table several
-    times. A lost executor then costs the current step only.
+    times. A lost executor then costs the current step only, and the planner
+    knows the size of the table.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 BROADCAST_ROWS = 100_000

@@ -202,11 +202,11 @@ def linkage_by_definition(vecs, k):
     return {frozenset(g) for g in groups}
 
 
-@pytest.mark.parametrize("k, limit", [(2, 4000), (2, 6), (3, 6), (4, 10)])
+@pytest.mark.parametrize("k, limit", [(2, 4000), (2, 7), (3, 9)])
 def test_cluster_speakers(spark, k, limit):
     rnd = random.Random(8)
     centers = [np.array([rnd.gauss(0, 1) for _ in range(16)]) for _ in range(3)]
-    calls = {c: vectors(rnd, n, centers)[1] for c, n in (("one", 1), ("two", 2), ("many", 45), ("few", 9))}
+    calls = {c: vectors(rnd, n, centers)[1] for c, n in (("one", 1), ("two", 2), ("many", 16), ("few", 6))}
     rows = [(c, i, v) for c, vs in calls.items() for i, v in enumerate(vs)]
     df = spark.createDataFrame(rows, "call_id string, seg_idx bigint, embedding array<double>")
     got = {}
