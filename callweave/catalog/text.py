@@ -166,7 +166,7 @@ def n3(spark, sf):
 def n3_docs(spark, sf):
     """E-mails of whole documents; the hash stands for the text."""
     text = F.col("text")
-    found = spans.find_all(text, C.EMAIL_PATTERN, "EMAIL", "@")
+    found = spans.find_all(text, C.EMAIL_PATTERN, "EMAIL")
     return T.read(spark, sf, "documents").select("doc_id", F.sha2(spans.mask(text, found), 256).alias("masked_sha"))
 
 

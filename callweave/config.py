@@ -124,13 +124,14 @@ BARE_NUMBER_PATTERN = r"(?U)\b\d{4,8}\b"
 ORDER_WINDOW_CHARS = 30
 
 # priority order: a later match never displaces an earlier one.
-# third field: a literal every match contains, tested first because it is cheap
+# third field: what every match contains, tested first because it is cheap
+FOUR_DIGITS = r"(?U)\d{4}"
 ENTITY_PATTERNS = [
     ("EMAIL", EMAIL_PATTERN, "@"),
-    ("INVOICE_ID", INVOICE_PATTERN, "-"),
-    ("ACCOUNT_ID", ACCOUNT_PATTERN, None),
-    ("ORDER_ID", ORDER_PATTERN, "-"),
-    ("PHONE", PHONE_PATTERN, None),
+    ("INVOICE_ID", INVOICE_PATTERN, FOUR_DIGITS),
+    ("ACCOUNT_ID", ACCOUNT_PATTERN, FOUR_DIGITS),
+    ("ORDER_ID", ORDER_PATTERN, FOUR_DIGITS),
+    ("PHONE", PHONE_PATTERN, FOUR_DIGITS),
     ("MONEY", MONEY_PATTERN, "$"),
 ]
 

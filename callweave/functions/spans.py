@@ -7,7 +7,7 @@ shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,15 +25,23 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (a["end"] > b["start"])
 
 
-def find_all(text: Column, pattern: str, label: str, must_contain: str | None = None) -> Column:
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def may_match(text: Column, need: str) -> Column:
+    """The cheap test before a pattern: a run of four digits, or a literal."""
+    return text.rlike(need) if need == C.FOUR_DIGITS else F.contains(text, F.lit(need))
+
+
+def find_all(text: Column, pattern: str, label: str) -> Column:
     """All matches of a pattern with their offsets.
 
     The text between matches comes from `split`, the matches from
-    `regexp_extract_all`; the running length of both gives the offsets. The
-    split is only evaluated where there is a match, and neither where a literal
-    that every match needs is absent.
+    `regexp_extract_all`; the running length of both gives the offsets. Both are
+    evaluated only where there is a match.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def located(matches: Column) -> Column:
         between = F.split(text, pattern, -1)
@@ -53,10 +61,8 @@ def find_all(text: Column, pattern: str, label: str, must_contain: str | None =
 
         return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
 
-    spans = F.when(F.regexp_count(text, F.lit(pattern)) > 0, located(found)).otherwise(no_spans())
-    if must_contain is not None:
-        spans = F.when(F.contains(text, F.lit(must_contain)), spans).otherwise(no_spans())
-    return spans
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(pattern), bind(found, located)).otherwise(no_spans())
 
 
 def _accept(accepted: Column, candidates: Column) -> Column:
@@ -97,21 +103,28 @@ def order_numbers_near_keyword(text: Column, claimed: Column) -> Column:
     ).cast(SPAN_TYPE)
 
 
-def rule_spans(text: Column, patterns: Sequence[tuple[str, str, str | None]] = tuple(C.ENTITY_PATTERNS)) -> Column:
-    """Entities found by pattern, by priority, none overlapping, sorted by start."""
-    candidates = F.concat(*[find_all(text, p, label, lit) for label, p, lit in patterns])
-    claimed = F.when(F.size(candidates) > 0, _accept(no_spans(), candidates)).otherwise(no_spans())
-    # Bind the accepted list once: a single-element transform serves as a local variable.
-    bound = F.transform(
-        F.array(claimed),
-        lambda got: F.concat(
-            got,
-            F.when(
-                F.regexp_count(text, F.lit(C.ORDER_KEYWORD_PATTERN)) > 0, order_numbers_near_keyword(text, got)
-            ).otherwise(no_spans()),
+def rule_spans(text: Column, patterns: Sequence[tuple[str, str, str]] = tuple(C.ENTITY_PATTERNS)) -> Column:
+    """Entities found by pattern, by priority, none overlapping, sorted by start.
+
+    Neighbouring patterns with the same cheap test share it; most prose has no run
+    of four digits and none of the literals and is done after those tests.
+    """
+    groups: list[tuple[str, list[Column]]] = []
+    for label, pattern, need in patterns:
+        if not groups or groups[-1][0] != need:
+            groups.append((need, []))
+        groups[-1][1].append(find_all(text, pattern, label))
+    candidates = F.concat(
+        *[F.when(may_match(text, need), F.concat(*found)).otherwise(no_spans()) for need, found in groups]
+    )
+    claimed = bind(candidates, lambda c: F.when(F.size(c) > 1, _accept(no_spans(), c)).otherwise(c))
+    has_order = may_match(text, C.FOUR_DIGITS) & text.rlike(C.ORDER_KEYWORD_PATTERN)
+    return bind(
+        claimed,
+        lambda got: sort_spans(
+            F.when(has_order, F.concat(got, order_numbers_near_keyword(text, got))).otherwise(got)
         ),
     )
-    return sort_spans(F.element_at(bound, 1))
 
 
 def sort_spans(spans: Column) -> Column:
@@ -175,14 +188,16 @@ def mask(text: Column, spans: Column, types: Sequence[str] = tuple(C.PII_TYPES))
             s["label"].alias("label"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end")
         ),
     ).cast(SPAN_TYPE)
-    by_length = F.array_sort(
-        wanted,
-        lambda a, b: F.when(
-            (b["end"] - b["start"]) != (a["end"] - a["start"]),
-            (b["end"] - b["start"]) - (a["end"] - a["start"]),
-        ).otherwise(a["start"] - b["start"]),
-    )
-    disjoint = sort_spans(_accept(no_spans(), by_length))
+
+    def by_length(found: Column) -> Column:
+        return F.array_sort(
+            found,
+            lambda a, b: F.when(
+                (b["end"] - b["start"]) != (a["end"] - a["start"]),
+                (b["end"] - b["start"]) - (a["end"] - a["start"]),
+            ).otherwise(a["start"] - b["start"]),
+        )
+
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("pos"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -191,10 +206,13 @@ def mask(text: Column, spans: Column, types: Sequence[str] = tuple(C.PII_TYPES))
             F.concat(acc["done"], gap, F.lit("["), s["label"], F.lit("]")).alias("done"), s["end"].alias("pos")
         )
 
-    masked = F.aggregate(
-        disjoint, start, step, lambda acc: F.concat(acc["done"], text.substr(acc["pos"] + 1, F.length(text)))
-    )
-    return F.when(F.size(wanted) > 0, masked).otherwise(text)
+    def replaced(found: Column) -> Column:
+        disjoint = sort_spans(_accept(no_spans(), by_length(found)))
+        return F.aggregate(
+            disjoint, start, step, lambda acc: F.concat(acc["done"], text.substr(acc["pos"] + 1, F.length(text)))
+        )
+
+    return bind(wanted, lambda found: F.when(F.size(found) > 0, replaced(found)).otherwise(text))
 
 
 def first_text(spans: Column, label: str) -> Column:
@@ -205,13 +223,16 @@ def first_text(spans: Column, label: str) -> Column:
 
 def structured_fields(spans: Column) -> Column:
     """The six call fields; `issue` is never derived from entities."""
-    return F.struct(
-        first_text(spans, "PERSON").alias("customer"),
-        first_text(spans, "ORDER_ID").alias("order_id"),
-        first_text(spans, "PRODUCT").alias("product"),
-        F.lit(None).cast("string").alias("issue"),
-        first_text(spans, "DATE").alias("date"),
-        first_text(spans, "MONEY").alias("amount"),
+    return bind(
+        spans,
+        lambda found: F.struct(
+            first_text(found, "PERSON").alias("customer"),
+            first_text(found, "ORDER_ID").alias("order_id"),
+            first_text(found, "PRODUCT").alias("product"),
+            F.lit(None).cast("string").alias("issue"),
+            first_text(found, "DATE").alias("date"),
+            first_text(found, "MONEY").alias("amount"),
+        ),
     )
 
 

@@ -22,8 +22,9 @@ def rule_entities(docs: DataFrame, keys: Sequence[str], text: str = "text") -> D
 
 def pattern_entities(docs: DataFrame, keys: Sequence[str], label: str, text: str = "text") -> DataFrame:
     """All matches of one of the patterns, before any priority."""
-    _, pattern, literal = next(p for p in C.ENTITY_PATTERNS if p[0] == label)
-    found = docs.select(*keys, F.explode(spans.find_all(F.col(text), pattern, label, literal)).alias("e"))
+    _, pattern, need = next(p for p in C.ENTITY_PATTERNS if p[0] == label)
+    likely = docs.filter(spans.may_match(F.col(text), need))
+    found = likely.select(*keys, F.explode(spans.find_all(F.col(text), pattern, label)).alias("e"))
     return found.select(*keys, "e.label", "e.text", "e.start", "e.end")
 
 

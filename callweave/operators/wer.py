@@ -35,52 +35,83 @@ def whole_hypothesis(segments: DataFrame) -> DataFrame:
     )
 
 
-def _edit_counts(ref: np.ndarray, hyp: np.ndarray) -> tuple[int, int, int, int]:
-    """(S, D, I, H) of a minimal alignment of two word lists.
+CELLS = 1 << 21  # table cells one batch of alignments may keep
+
+
+def _trimmed(ref: np.ndarray, hyp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the equal words at both ends, which always match."""
+    top = min(len(ref), len(hyp))
+    differs = np.flatnonzero(ref[:top] != hyp[:top])
+    low = int(differs[0]) if len(differs) else top
+    ref, hyp = ref[low:], hyp[low:]
+    top = min(len(ref), len(hyp))
+    differs = np.flatnonzero(ref[::-1][:top] != hyp[::-1][:top])
+    cut = int(differs[0]) if len(differs) else top
+    return ref[: len(ref) - cut], hyp[: len(hyp) - cut]
+
+
+def _batch_edits(refs: list[np.ndarray], hyps: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(S, D, I) of minimal alignments of many pairs, longest reference first.
 
     The distance is unique, its split is not. Read from the end, a deletion is
     taken where one is minimal, then an insertion where the cell to the left is
-    below the diagonal one, otherwise the diagonal. Rows of the distance table are
-    computed as arrays; only the number of insertions is carried along, the other
-    counts follow from it.
+    below the diagonal one, otherwise the diagonal. One row of the distance tables
+    of all pairs is computed at a time; only the number of insertions is carried
+    along, the other counts follow from it.
     """
-    # equal beginnings and ends are matches and need no table
-    low = 0
-    top = min(len(ref), len(hyp))
-    while low < top and ref[low] == hyp[low]:
-        low += 1
-    cut = 0
-    while cut < top - low and ref[len(ref) - 1 - cut] == hyp[len(hyp) - 1 - cut]:
-        cut += 1
-    a, b = ref[low : len(ref) - cut], hyp[low : len(hyp) - cut]
-    n, m = len(a), len(b)
-    steps = np.arange(m + 1)
-    dist, ins = steps.copy(), steps.copy()
-    for i in range(n):
-        best = dist + 1
-        best[1:] = np.minimum(best[1:], dist[:-1] + (b != a[i]))
-        new = np.minimum.accumulate(best - steps) + steps
-        deletion = new == dist + 1
-        insertion = np.zeros(m + 1, bool)
-        insertion[1:] = ~deletion[1:] & (new[:-1] < dist[:-1])
-        carried = np.empty(m + 1, ins.dtype)
-        carried[0] = ins[0]
-        carried[1:] = np.where(deletion[1:], ins[1:], ins[:-1])
-        source = np.maximum.accumulate(np.where(insertion, 0, steps))
-        ins = carried[source] + (steps - source)
-        dist = new
-    inserted = int(ins[m])
-    deleted = inserted + n - m
-    substituted = int(dist[m]) - inserted - deleted
-    return substituted, deleted, inserted, len(ref) - substituted - deleted
+    width = max(len(h) for h in hyps)
+    steps = np.arange(width + 1, dtype=np.int32)
+    hyp = np.full((len(hyps), width), -2, np.int32)
+    ref = np.full((len(refs), max(len(refs[0]), 1)), -1, np.int32)
+    for k, (r, h) in enumerate(zip(refs, hyps)):
+        ref[k, : len(r)], hyp[k, : len(h)] = r, h
+    sizes = np.array([len(r) for r in refs])
+    dist = np.tile(steps, (len(refs), 1))
+    ins = dist.copy()
+    for i in range(len(refs[0])):
+        k = int(np.searchsorted(-sizes, -i, side="left"))  # pairs with more than i words
+        old, had = dist[:k], ins[:k]
+        best = old + 1
+        np.minimum(best[:, 1:], old[:, :-1] + (hyp[:k] != ref[:k, i, None]), out=best[:, 1:])
+        new = np.minimum.accumulate(best - steps, axis=1) + steps
+        deletion = new == old + 1
+        insertion = np.zeros_like(deletion)
+        insertion[:, 1:] = ~deletion[:, 1:] & (new[:, :-1] < old[:, :-1])
+        carried = had.copy()
+        carried[:, 1:] = np.where(deletion[:, 1:], had[:, 1:], had[:, :-1])
+        source = np.maximum.accumulate(np.where(insertion, 0, steps), axis=1)
+        ins[:k] = np.take_along_axis(carried, source, axis=1) + (steps - source)
+        dist[:k] = new
+    out = []
+    for k, (r, h) in enumerate(zip(refs, hyps)):
+        inserted, total = int(ins[k, len(h)]), int(dist[k, len(h)])
+        deleted = inserted + len(r) - len(h)
+        out.append((total - inserted - deleted, deleted, inserted))
+    return out
 
 
 def _word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    rows = []
+    pairs = []
     for ref, hyp in zip(reference, hypothesis):
-        codes, _ = pd.factorize(np.concatenate([ref, hyp])) if len(ref) + len(hyp) else (np.zeros(0, int), None)
-        rows.append(_edit_counts(codes[: len(ref)], codes[len(ref) :]))
-    return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions", "hits"])
+        codes = pd.factorize(np.concatenate([ref, hyp]))[0] if len(ref) + len(hyp) else np.zeros(0, int)
+        pairs.append(_trimmed(codes[: len(ref)], codes[len(ref) :]))
+    order = sorted(range(len(pairs)), key=lambda k: -len(pairs[k][0]))
+    edits: list[tuple[int, int, int]] = [(0, 0, 0)] * len(pairs)
+    at = 0
+    while at < len(order):
+        width, stop = 0, at
+        while stop < len(order):
+            width = max(width, len(pairs[order[stop]][1]) + 1)
+            if stop > at and (stop - at + 1) * width > CELLS:
+                break
+            stop += 1
+        batch = order[at:stop]
+        for k, e in zip(batch, _batch_edits([pairs[k][0] for k in batch], [pairs[k][1] for k in batch])):
+            edits[k] = e
+        at = stop
+    frame = pd.DataFrame(edits, columns=["substitutions", "deletions", "insertions"])
+    frame["hits"] = reference.str.len().to_numpy() - frame["substitutions"] - frame["deletions"]
+    return frame
 
 
 def call_wer(pairs: DataFrame) -> DataFrame:
