@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from callweave import config as C
 
+_MARK = "\u0001"
+_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u202f\u3000"
 SPAN_TYPE = "array<struct<label:string,text:string,start:int,end:int>>"
 
 
@@ -40,11 +42,14 @@ def find_all(text: Column, pattern: str, label: str) -> Column:
 
     The text between matches comes from `split`, the matches from
     `regexp_extract_all`; the running length of both gives the offsets. Both are
-    evaluated only where there is a match.
+    evaluated only where there is a match. `split` compiles its pattern for every
+    row, `regexp_replace` once, so the matches become a mark first and the split
+    is by that single character (unless the text has it already).
     """
 
     def located(matches: Column) -> Column:
-        between = F.split(text, pattern, -1)
+        marked = F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1)
+        between = F.when(F.contains(text, F.lit(_MARK)), F.split(text, pattern, -1)).otherwise(marked)
         pairs = F.arrays_zip(matches.alias("m"), F.slice(between, 1, F.size(matches)).alias("b"))
         start = F.struct(F.lit(0).alias("pos"), no_spans().alias("spans"))
 
@@ -53,7 +58,7 @@ def find_all(text: Column, pattern: str, label: str) -> Column:
             end = at + F.length(pair["m"])
             span = F.struct(
                 F.lit(label).alias("label"),
-                F.regexp_replace(pair["m"], r"(?U)^\s+|\s+$", "").alias("text"),
+                F.trim(pair["m"], F.lit(_BLANKS)).alias("text"),
                 at.alias("start"),
                 end.alias("end"),
             )

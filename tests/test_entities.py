@@ -34,6 +34,7 @@ def found(spark, text):
         ("order xxxxxxxxxxxxxxxxxxxxxxxx 12345678", [("ORDER_ID", "1234", 31, 35)]),
         ("né 😀 order 12345 über (415) 555-0199",
          [("ORDER_ID", "12345", 11, 16), ("PHONE", "(415) 555-0199", 22, 36)]),
+        ("a\u0001b x@y.zz \u0001 order 12345", [("EMAIL", "x@y.zz", 4, 10), ("ORDER_ID", "12345", 19, 24)]),
         ("", []),
     ],
 )
