@@ -153,6 +153,16 @@ def s1(spark, sf):
     return files.load_turns(spark, path).withColumn("call_id", F.col("call_id").cast("bigint"))
 
 
+@register("w7_turn_order", "SELECT conv_id AS call_id, turn AS turn_idx, role AS speaker, text FROM conversations")
+def w7(spark, sf):
+    """Turns kept as an array per call and numbered again by their place in it."""
+    rows = T.read(spark, sf, "conversations")
+    nested = rows.groupBy(F.col("conv_id").alias("call_id")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("speaker"), "text"))).alias("conversation")
+    )
+    return files.explode_turns(nested).select("call_id", "turn_idx", "t.speaker", "t.text")
+
+
 MANIFEST_JSON = """SELECT doc_id::VARCHAR AS call_id, 'audio/' || doc_id::VARCHAR || '.flac' AS audio_path, text AS reference_transcript,
   round(n_chars / 16.0, 3) AS duration_seconds, 16000 AS sample_rate FROM documents"""
 
@@ -473,6 +483,15 @@ def m7(spark, sf):
     return learn.importances(model, spark)
 
 
+@register("m8_saved_model_scores")
+def m8(spark, sf):
+    """Scores of a model that was saved and loaded again."""
+    rows = settle(_call_features(spark, sf))
+    path = scratch_path(spark, "model")
+    learn.save(learn.train_escalation(rows, trees=20), path)
+    return learn.escalation_probability(learn.load(path), rows).select("call_id", "probability")
+
+
 @register("m12_feature_vectors")
 def m12(spark, sf):
     rows = features.business_features(T.scored_turns(spark, sf))

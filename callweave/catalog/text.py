@@ -36,9 +36,25 @@ def n2a(spark, sf):
     )
 
 
-@register("n2b_phone_entities_documents")
+# Word boundaries around phone numbers as neighbouring characters that are no word characters.
+PHONE_CORE = r"(?:\+?\d{1,2}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"
+PHONE_PADDED = rf"(?:^|[^{W}])({PHONE_CORE})(?:$|[^{W}])"
+PHONE_DOCS = f"""doc_phones AS (
+  SELECT doc_id, 'PHONE' AS label, trim(g[i]) AS text, (list_sum(list_transform(p[1:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + strpos(m[i], g[i]) - 1)::BIGINT AS "start" FROM (
+    SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, '{PHONE_PADDED}') AS m, regexp_extract_all(text, '{PHONE_PADDED}', 1) AS g,
+        regexp_split_to_array(text, '{PHONE_PADDED}') AS p FROM documents)))"""
+
+
+@register(
+    "n2b_phone_entities_documents",
+    with_ctes(PHONE_DOCS) + """SELECT doc_id, label, text, "start", "start" + length(text) AS "end" FROM doc_phones""",
+)
 def n2b_docs(spark, sf):
-    return entities.pattern_entities(T.read(spark, sf, "documents"), ["doc_id"], "PHONE")
+    return entities.pattern_entities(T.read(spark, sf, "documents"), ["doc_id"], "PHONE").select(
+        "doc_id", "label", "text", *_n("start", "end")
+    )
 
 
 SENTENCES = SUPPORT + ",\nsentences AS (SELECT order_key AS doc_id, text FROM support)"
@@ -130,9 +146,33 @@ def n2f(spark, sf):
     )
 
 
-@register("n2f_rule_entities_documents")
+# The same on whole documents, by priority: a span that meets one of a higher rank goes.
+DOC_RULES = (
+    PHONE_DOCS,
+    offsets_sql("documents", "doc_id", EMAIL_SQL, "EMAIL", "d1"),
+    offsets_sql("documents", "doc_id", r"(?i)\bINV-\d{4}-\d{3,6}\b", "INVOICE_ID", "d2"),
+    offsets_sql("documents", "doc_id", r"(?i)\b(?:ACC\d{5,8}|A-\d{4,8})\b", "ACCOUNT_ID", "d3"),
+    offsets_sql("documents", "doc_id", r"(?i)\bORD-\d{5,8}\b", "ORDER_ID", "d4"),
+    offsets_sql("documents", "doc_id", MONEY_SQL, "MONEY", "d6"),
+    offsets_sql("documents", "doc_id", r"(?i)\border\b", "KEYWORD", "words_order"),
+    NEAR.replace("JOIN sentences s", "JOIN documents s").replace("AND lead NOT LIKE '%-'", ""),
+    """ranked AS (
+  SELECT *, "start" + length(text) AS "end" FROM (
+    SELECT *, 1 AS rank FROM d1 UNION ALL SELECT *, 2 FROM d2 UNION ALL SELECT *, 3 FROM d3 UNION ALL SELECT *, 4 FROM d4
+    UNION ALL SELECT *, 5 FROM doc_phones UNION ALL SELECT *, 6 FROM d6 UNION ALL SELECT DISTINCT *, 7 FROM near))""",
+)
+
+
+@register(
+    "n2f_rule_entities_documents",
+    with_ctes(*DOC_RULES)
+    + """SELECT doc_id, label, text, "start", "end" FROM ranked a WHERE NOT EXISTS (
+  SELECT 1 FROM ranked b WHERE b.doc_id = a.doc_id AND b.rank < a.rank AND b."start" < a."end" AND b."end" > a."start")""",
+)
 def n2f_docs(spark, sf):
-    return entities.rule_entities(T.read(spark, sf, "documents"), ["doc_id"])
+    return entities.rule_entities(T.read(spark, sf, "documents"), ["doc_id"]).select(
+        "doc_id", "label", "text", *_n("start", "end")
+    )
 
 
 @register(

@@ -42,7 +42,7 @@ def _thresholds(hashed: DataFrame, keys: list[str], cuts: dict[str, Column]) ->
                 F.sum("_n").over(of_class.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
             ),
             "n": F.sum("_n").over(of_class),
-            "total": F.sum("_n").over(Window.partitionBy()),
+            "total": per_prefix.agg(F.sum("_n")).scalar(),
         }
     )
     wanted = F.array(*[F.struct(F.lit(k).alias("cut"), v.cast("bigint").alias("rank")) for k, v in cuts.items()])

@@ -16,6 +16,13 @@ def _ms(seconds: Column) -> Column:
     return F.round(seconds * 1000).cast("bigint")
 
 
+def explode_turns(calls: DataFrame, column: str = "conversation") -> DataFrame:
+    """One row per turn of an array; its place in the array becomes `turn_idx`."""
+    return calls.select("call_id", F.posexplode(column).alias("i", "t")).select(
+        "call_id", F.col("i").cast("bigint").alias("turn_idx"), "t"
+    )
+
+
 def load_turns(spark: SparkSession, path: str) -> DataFrame:
     """Conversation files, one call each: an object with `conversation` or a bare array.
 
@@ -33,10 +40,10 @@ def load_turns(spark: SparkSession, path: str) -> DataFrame:
     ).otherwise(F.from_json("value", schema.CONVERSATION_JSON)["conversation"])
     return (
         raw.select(call_id.alias("call_id"), body.alias("turns"))
-        .select("call_id", F.posexplode("turns").alias("turn_idx", "t"))
+        .transform(explode_turns, "turns")
         .select(
             "call_id",
-            F.col("turn_idx").cast("bigint").alias("turn_idx"),
+            "turn_idx",
             "t.speaker",
             _ms(F.col("t.start")).alias("start_ms"),
             _ms(F.col("t.end")).alias("end_ms"),

@@ -107,7 +107,7 @@ def support_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly energy per user in cents; a call is a user, a frame an hour."""
-    hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3600000000)
+    hour = F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts"))
     return (
         read(spark, sf, "events")
         .select(
