@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import mixing, sharding
+from callweave.llm import bpe, mixing, sharding
 from callweave.llm.common import documents_as_calls
 from callweave.session import settle
 
@@ -18,6 +19,25 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bpe_digests(spark: SparkSession, calls: DataFrame) -> DataFrame:
+    """Encodes the texts, decodes the ids again and reduces both to digests."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_transcripts(calls, ranks, public_tokenizers.PATTERN)
+    kept = ("call_id", "token_ids", "n_covered")
+    covered = encoded.withColumn("n_covered", F.coalesce(F.get("token_ends", F.size("token_ends") - 1), F.lit(0)))
+    return bpe.decode_tokens(covered, ranks, keep=kept).select(
+        F.col("call_id").alias("doc_id"),
+        F.size("token_ids").cast("bigint").alias("n_tokens"),
+        bpe.ids_digest(F.col("token_ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("n_covered").cast("bigint").alias("n_chars_covered"),
+    )
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(spark, documents_as_calls(spark, sf_dir))
+
+
 def op10_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.interleave_shards(documents_as_calls(spark, sf_dir))
     return shards.select(
@@ -28,6 +48,7 @@ def op10_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
+    "op5_byte_bpe": op5_byte_bpe,
     "op10_interleave_shards": op10_interleave_shards,
 }
 
