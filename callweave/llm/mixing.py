@@ -51,7 +51,7 @@ def mixing_rules(
     size: str = "size",
     source: str = "source",
     priority: str | None = None,
-    rows_per_block: int = 20_000,
+    rows_per_block: int = 5_000,
 ) -> DataFrame:
     """One row per source that says which of its rows the mix takes, and how often.
 

@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, mixing, sharding
+from callweave.llm import bpe, mixing, quality, sharding
 from callweave.llm.common import documents_as_calls
 from callweave.session import settle
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess_quality(documents_as_calls(spark, sf_dir)).withColumnRenamed("call_id", "doc_id")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = settle(documents_as_calls(spark, sf_dir).select("call_id", "source", mixing.word_count("text").alias("size")))
     mixed = mixing.mix_sources(sized, mixing.mixing_rules(sized))
@@ -47,6 +51,7 @@ def op10_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op5_byte_bpe": op5_byte_bpe,
     "op10_interleave_shards": op10_interleave_shards,
@@ -54,7 +59,40 @@ QUERIES = {
 
 DRAWN = "('0x' || substr(md5('0:' || doc_id::VARCHAR), 1, 13))::BIGINT"
 
+def _coverage(n: int) -> str:
+    """Whether each word lies in an n-gram that its text holds twice or more."""
+    return f"""
+d{n} AS (
+  SELECT doc_id, i, max(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}
+  FROM (SELECT doc_id, i, CASE WHEN i + {n} <= n AND count(*) OVER (PARTITION BY doc_id, i + {n} <= n,
+    array_to_string(list_slice(ws, i + 1, i + {n}), ' ')) > 1 THEN 1 ELSE 0 END AS twice FROM w))"""
+
+
 ORACLES = {
+    "op2_quality_rules": rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, ws, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM t),
+{",".join(_coverage(n) for n in (3, 5, 7, 10))},
+covered AS (
+  SELECT doc_id, sum(length(word))::BIGINT AS word_chars, sum(c3)::BIGINT AS n_repeat_words,
+    {", ".join(f"sum(CASE WHEN c{n} = 1 THEN length(word) ELSE 0 END)::BIGINT AS dup_chars_{n}" for n in (5, 7, 10))}
+  FROM w JOIN d3 USING (doc_id, i) JOIN d5 USING (doc_id, i) JOIN d7 USING (doc_id, i) JOIN d10 USING (doc_id, i) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)),
+dup AS (
+  SELECT doc_id, sum(k - 1)::BIGINT AS n_dup_lines, sum((k - 1) * chars)::BIGINT AS dup_line_chars
+  FROM (SELECT doc_id, chars, count(*) AS k FROM lines WHERE chars > 0 GROUP BY doc_id, line, chars) GROUP BY doc_id),
+counts AS (
+  SELECT t.doc_id, len(ws)::BIGINT AS n_words, coalesce(word_chars, 0) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(dup_line_chars, 0) AS dup_line_chars,
+    {", ".join(f"coalesce(dup_chars_{n}, 0) AS dup_chars_{n}" for n in (5, 7, 10))}
+  FROM t LEFT JOIN covered USING (doc_id) LEFT JOIN dup USING (doc_id))
+SELECT *, base_failed IS FALSE AND 100 * dup_line_chars <= 30 * word_chars AND 100 * n_symbols <= 10 * n_words
+  AND 100 * dup_chars_5 <= 30 * word_chars AND 100 * dup_chars_7 <= 28 * word_chars AND 100 * dup_chars_10 <= 25 * word_chars AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)""",
     "op4_mix_sources": rf"""
 WITH base AS (
   SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS no_s,

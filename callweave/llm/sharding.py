@@ -16,7 +16,7 @@ def interleave_shards(
     key: str = "call_id",
     text: str = "text",
     source: str = "source",
-    rows_per_block: int = 20_000,
+    rows_per_block: int = 5_000,
 ) -> DataFrame:
     """Deals transcripts into shards that all have the mixture of the whole.
 
