@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, mixing, quality, sharding
+from callweave.llm import bpe, language, mixing, quality, sharding
 from callweave.llm.common import documents_as_calls
 from callweave.session import settle
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("call_id").cast("string").cast("binary")) % n
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = documents_as_calls(spark, sf_dir)
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    model = language.fit_language_model(calls.where(~held_out))
+    return language.identify_language(calls, model).select(
+        F.col("call_id").alias("doc_id"), held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score"
+    )
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess_quality(documents_as_calls(spark, sf_dir)).withColumnRenamed("call_id", "doc_id")
 
@@ -51,6 +64,7 @@ def op10_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op5_byte_bpe": op5_byte_bpe,
