@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import cache
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -83,15 +82,7 @@ def decoded_text(decoded: Column) -> Column:
 
 def ids_digest(ids: Column) -> Column:
     """SHA-256 of the ids written in decimal and joined by single spaces; null for null."""
-    return F.arrow_udf(digests_of_ids, "string")(ids)
-
-
-def digests_of_ids(ids: pa.Array) -> pa.Array:
-    cuts, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-    names = np.array([str(i) for i in range(1 + int(flat.max(initial=0)))], dtype=object)
-    valid = ids.is_valid().to_numpy(zero_copy_only=False)
-    digests = [sha256(" ".join(names[flat[a:b]]).encode()).hexdigest() if ok else None for a, b, ok in zip(cuts[:-1], cuts[1:], valid)]
-    return pa.array(digests, pa.string())
+    return F.sha2(F.array_join(ids.cast("array<string>"), " "), 256)
 
 
 def slices(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
