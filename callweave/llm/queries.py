@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, language, mixing, quality, sharding
+from callweave.llm import bpe, language, mixing, quality, sharding, toxicity
 from callweave.llm.common import documents_as_calls
 from callweave.session import settle
 
@@ -55,6 +55,21 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(spark, documents_as_calls(spark, sf_dir))
 
 
+def toxicity_model(calls: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Learns from labels outside the held-out part only."""
+    named = labels.select(F.col("doc_id").alias("call_id"), "toxic")
+    return toxicity.fit_toxicity(calls, named.where(_remainder(4) != 2))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = documents_as_calls(spark, sf_dir)
+    model = toxicity_model(calls, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_toxicity(calls, model).select(
+        F.col("call_id").alias("doc_id"), F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"),
+        "score", "predicted", "n_hits", "n_quoted",
+    )
+
+
 def op10_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.interleave_shards(documents_as_calls(spark, sf_dir))
     return shards.select(
@@ -68,6 +83,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_toxicity": op7_toxicity,
     "op10_interleave_shards": op10_interleave_shards,
 }
 
