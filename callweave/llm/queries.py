@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, language, mixing, quality, sharding, toxicity
+from callweave.llm import bpe, html, language, mixing, quality, sharding, toxicity
 from callweave.llm.common import documents_as_calls
 from callweave.session import settle
 
@@ -55,6 +55,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(spark, documents_as_calls(spark, sf_dir))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html.extract_main_text(pages).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def toxicity_model(calls: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """Learns from labels outside the held-out part only."""
     named = labels.select(F.col("doc_id").alias("call_id"), "toxic")
@@ -83,6 +88,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_html_main_text": op6_html_main_text,
     "op7_toxicity": op7_toxicity,
     "op10_interleave_shards": op10_interleave_shards,
 }
