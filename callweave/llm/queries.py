@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, html, language, mixing, quality, sharding, toxicity
+from callweave.llm import bpe, html, language, mixing, quality, sharding, toxicity, warc
 from callweave.llm.common import documents_as_calls
 from callweave.session import settle
 
@@ -28,6 +28,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess_quality(documents_as_calls(spark, sf_dir)).withColumnRenamed("call_id", "doc_id")
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.deduplicated_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = settle(documents_as_calls(spark, sf_dir).select("call_id", "source", mixing.word_count("text").alias("size")))
     mixed = mixing.mix_sources(sized, mixing.mixing_rules(sized))
@@ -86,6 +90,7 @@ def op10_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
+    "op3_warc_revisits": op3_warc_revisits,
     "op4_mix_sources": op4_mix_sources,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_html_main_text": op6_html_main_text,
@@ -164,6 +169,15 @@ extra AS (
 SELECT doc_id, size, source_size, target,
   (whole + CASE WHEN odds > 0 AND (upto <= words_open OR (q = e.q AND doc_id = e.id)) THEN 1 ELSE 0 END) * size AS taken
 FROM extra""",
+    "op3_warc_revisits": """
+WITH records AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),
+sized AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, payload_digest FROM records),
+largest AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM sized)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < original THEN original END AS refers_to
+FROM largest""",
     "op10_interleave_shards": rf"""
 WITH powers AS (
   SELECT list_transform(range(256), lambda i: list_reduce(
