@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, html, jaccard, language, mixing, quality, sharding, toxicity, warc
+from callweave.llm import bpe, fingerprint, html, jaccard, language, mixing, quality, sharding, toxicity, warc
 from callweave.llm.common import documents_as_calls
 from callweave.session import settle
 
@@ -83,6 +83,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_near_copies(documents_as_calls(spark, sf_dir)).withColumnRenamed("call_id", "doc_id")
 
 
+def op9_weighted_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(documents_as_calls(spark, sf_dir)).withColumnRenamed("call_id", "doc_id")
+
+
 def op10_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.interleave_shards(documents_as_calls(spark, sf_dir))
     return shards.select(
@@ -100,6 +104,7 @@ QUERIES = {
     "op6_html_main_text": op6_html_main_text,
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_weighted_samples": op9_weighted_samples,
     "op10_interleave_shards": op10_interleave_shards,
 }
 
