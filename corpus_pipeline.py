@@ -1,17 +1,63 @@
-"""From raw documents to encoded training text."""
+"""From raw documents to encoded training text, in five stages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from callweave.llm import jaccard, mixing, quality, queries, toxicity
+from callweave.llm.common import as_calls
+from callweave.session import scratch_path, settle
 
-# Toxicity is a trained model, which SQL can't express.
+
+def keep_good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents that repeat themselves, are too short or full of symbols go."""
+    return quality.keep_good(docs)
+
+
+def keep_civil_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents predicted toxic go; learned from the labels of documents still there."""
+    model = queries.toxicity_model(as_calls(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_civil(docs, model)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: of each group of near copies, the document with the smallest id stays."""
+    linked = jaccard.link_near_copies(docs, key="doc_id")
+    others = settle(linked.where("component_id != doc_id").select("doc_id"))
+    return docs.join(others, "doc_id", "left_anti")
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: each document is there as often as the mix takes it."""
+    sized = settle(docs.select("doc_id", "source", mixing.word_count("text").alias("size")))
+    mixed = mixing.mix_sources(docs, mixing.mixing_rules(sized, key="doc_id"), key="doc_id")
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return mixed.where("copies > 0").select(*docs.columns, copies.alias("_copy")).drop("_copy")
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: token ids of every document, with their digest and that of the bytes decoded from them."""
+    return queries.bpe_digests(spark, as_calls(docs))
+
+
+STAGES = [
+    ("quality rules", keep_good_texts),
+    ("toxicity", keep_civil_texts),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("mixing sources to target weights", mix_to_weights),
+    ("byte-level BPE", encode_texts),
+]
+
+# The toxicity stage is a trained model, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the documents; each is written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        path = scratch_path(spark, f"stage{i}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
