@@ -110,7 +110,7 @@ def w2(spark, sf):
 @register(
     "w3_timeline_text",
     with_ctes(SCORED, TIMELINE, LINES)
-    + "SELECT call_id, 0::BIGINT AS part, string_agg(line, chr(10) ORDER BY entry_idx) AS timeline FROM lines GROUP BY 1",
+    + "SELECT call_id, string_agg(line, chr(10) ORDER BY entry_idx) AS timeline FROM lines GROUP BY 1",
 )
 def w3(spark, sf):
     return sentiment.timeline_text(sentiment.emotion_timeline(T.scored_turns(spark, sf)))
@@ -119,7 +119,7 @@ def w3(spark, sf):
 @register(
     "n9_intent_text",
     with_ctes(BARE)
-    + """SELECT call_id, 0::BIGINT AS part, coalesce(string_agg(text, ' ' ORDER BY turn_idx) FILTER (WHERE speaker = 'CUSTOMER'),
+    + """SELECT call_id, coalesce(string_agg(text, ' ' ORDER BY turn_idx) FILTER (WHERE speaker = 'CUSTOMER'),
   string_agg(text, ' ' ORDER BY turn_idx)) AS intent_text FROM bare GROUP BY 1""",
 )
 def n9(spark, sf):
@@ -488,7 +488,7 @@ def s10(spark, sf):
 @register(
     "c2_conversation_nlp",
     with_ctes(SCORED, VOTES)
-    + """SELECT a.call_id, 0::BIGINT AS part, intent_text, c.label AS customer_label, b.label AS conversation_label,
+    + """SELECT a.call_id, intent_text, c.label AS customer_label, b.label AS conversation_label,
   round(s, 6) AS conversation_score, n_entries
 FROM (SELECT call_id, avg(s) AS s, count(*) AS n_entries, coalesce(string_agg(text, ' ' ORDER BY turn_idx) FILTER (WHERE speaker = 'CUSTOMER'),
     string_agg(text, ' ' ORDER BY turn_idx)) AS intent_text FROM scored_s GROUP BY 1) a
@@ -499,5 +499,5 @@ def c2(spark, sf):
     entries = result["emotion_timeline"].groupBy("call_id").agg(F.count(F.lit(1)).alias("n_entries"))
     return (
         result["intent_text"].join(result["sentiment"], "call_id").join(entries, "call_id")
-        .select("call_id", "part", "intent_text", "customer_label", "conversation_label", *_r("conversation_score"), "n_entries")
+        .select("call_id", "intent_text", "customer_label", "conversation_label", *_r("conversation_score"), "n_entries")
     )

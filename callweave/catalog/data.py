@@ -463,33 +463,37 @@ def _call_features(spark, sf):
 
 @register("m5_resolution_scores")
 def m5(spark, sf):
-    """Twenty trees keep the check short; the default is two hundred."""
     rows = settle(sampling.holdout_split(settle(_call_features(spark, sf)), ["call_id"], {"test": 0.2}))
-    model = learn.train_resolution(rows.filter("split = 'train'"), trees=20)
+    model = learn.train_resolution(rows.filter("split = 'train'"))
     return learn.score(model, rows.filter("split = 'test'")).select("call_id", "resolution", "predicted", "confidence")
 
 
 @register("m6_escalation_scores")
 def m6(spark, sf):
     rows = settle(sampling.holdout_split(settle(_call_features(spark, sf)), ["call_id"], {"test": 0.2}))
-    model = learn.train_escalation(rows.filter("split = 'train'"), trees=20)
+    model = learn.train_escalation(rows.filter("split = 'train'"))
     scored = learn.escalation_probability(model, rows.filter("split = 'test'"))
     return scored.select("call_id", "escalation", "probability", rules.risk_tier(F.col("probability")).alias("risk_tier"))
 
 
 @register("m7_importances")
 def m7(spark, sf):
-    model = learn.train_escalation(settle(_call_features(spark, sf)), trees=20)
+    model = learn.train_escalation(settle(_call_features(spark, sf)))
     return learn.importances(model, spark)
 
 
-@register("m8_saved_model_scores")
+@register("m8_saved_model_scores", "SELECT count(DISTINCT o_custkey) AS n_calls, 0::BIGINT AS n_different FROM orders JOIN customer ON o_custkey = c_custkey")
 def m8(spark, sf):
-    """Scores of a model that was saved and loaded again."""
+    """Scores before a model is saved against those after it is loaded again."""
     rows = settle(_call_features(spark, sf))
     path = scratch_path(spark, "model")
-    learn.save(learn.train_escalation(rows, trees=20), path)
-    return learn.escalation_probability(learn.load(path), rows).select("call_id", "probability")
+    model = learn.train_escalation(rows)
+    learn.save(model, path)
+    before = learn.escalation_probability(model, rows).select("call_id", F.col("probability").alias("before"))
+    after = learn.escalation_probability(learn.load(path), rows).select("call_id", "probability")
+    return before.join(after, "call_id", "full").agg(
+        F.count(F.lit(1)).alias("n_calls"), F.count_if(~F.col("before").eqNullSafe(F.col("probability"))).alias("n_different")
+    )
 
 
 @register("m12_feature_vectors")
@@ -513,9 +517,9 @@ def _conversation_rows(spark, sf):
 
 @register("m4_conversation_baseline_metrics")
 def m4(spark, sf):
-    rows = settle(_conversation_rows(spark, sf))
-    models = learn.train_conversation_baseline(rows, CONVERSATION_TASKS)
-    predicted = learn.predict_tasks(models, rows)
+    rows = settle(sampling.holdout_split(settle(_conversation_rows(spark, sf)), ["call_id"], {"test": 0.2}))
+    models = learn.train_conversation_baseline(rows.filter("split = 'train'"), CONVERSATION_TASKS)
+    predicted = learn.predict_tasks(models, rows.filter("split = 'test'"))
     long = None
     for task in CONVERSATION_TASKS:
         part = predicted.select(
@@ -528,9 +532,11 @@ def m4(spark, sf):
 
 @register("c12_predict_conversations")
 def c12(spark, sf):
-    rows = settle(_conversation_rows(spark, sf))
-    models = learn.train_conversation_baseline(rows, CONVERSATION_TASKS)
-    return jobs.predict_conversations(T.scored_turns(spark, sf), T.outcomes(spark, sf), models)
+    """Models of the train part on all calls; `split` tells which calls they had seen."""
+    rows = settle(sampling.holdout_split(settle(_conversation_rows(spark, sf)), ["call_id"], {"test": 0.2}))
+    models = learn.train_conversation_baseline(rows.filter("split = 'train'"), CONVERSATION_TASKS)
+    predicted = jobs.predict_conversations(T.scored_turns(spark, sf), T.outcomes(spark, sf), models)
+    return predicted.join(rows.select("call_id", "split"), "call_id", "left")
 
 
 def _models(spark, sf):
@@ -539,7 +545,7 @@ def _models(spark, sf):
         .join(features.first_customer_intent(T.scored_turns(spark, sf)), "call_id")
         .join(rules.outcome_labels(T.outcomes(spark, sf)), "call_id")
     )
-    return learn.train_resolution(rows, trees=20), learn.train_escalation(rows, trees=20)
+    return learn.train_resolution(rows), learn.train_escalation(rows)
 
 
 @register("c5_analyze_calls")

@@ -228,18 +228,18 @@ def c1(spark, sf):
 
 def _manifest(spark, sf):
     """A manifest row per conversation but every ninth; the reference is its text."""
-    whole = wer.whole_hypothesis(T.asr_segments(spark, sf))
+    whole = wer.join_segments(T.asr_segments(spark, sf))
     return whole.select("call_id", F.col("hypothesis").alias("reference_transcript"))
 
 
 def _heard(spark, sf):
-    """Segments as a recogniser might hear them; every ninth call is missing."""
+    """Segments as a recogniser might hear them."""
     heard = F.transform(
         F.split("text", " "),
         lambda w, i: F.when(i % 7 == 6, F.lit(None)).when(i % 5 == 2, F.lit("um")).otherwise(w),
     )
     return (
-        T.asr_segments(spark, sf).filter(F.col("call_id") % 9 != 0)
+        T.asr_segments(spark, sf)
         .withColumn("text", F.array_join(F.array_compact(heard), " "))
     )
 
@@ -247,7 +247,12 @@ def _heard(spark, sf):
 HEARD = """heard AS (
   SELECT call_id, seg_idx, array_to_string(list_filter(list_transform(string_split(text, ' '), lambda w, i:
     CASE WHEN (i - 1) % 7 = 6 THEN NULL WHEN (i - 1) % 5 = 2 THEN 'um' ELSE w END), lambda x: x IS NOT NULL), ' ') AS text
-  FROM asr WHERE call_id % 9 <> 0)"""
+  FROM asr)"""
+
+
+def _partly_heard(spark, sf):
+    """Every ninth call has no transcript: the case that pairing is about."""
+    return _heard(spark, sf).filter(F.col("call_id") % 9 != 0)
 
 
 @register(
@@ -256,7 +261,7 @@ HEARD = """heard AS (
     + """SELECT call_id, CASE WHEN call_id % 9 = 0 THEN 'missing' ELSE 'paired' END AS state FROM durations""",
 )
 def j4(spark, sf):
-    pairs, missing = align.pair_for_eval(_manifest(spark, sf), wer.whole_hypothesis(_heard(spark, sf)))
+    pairs, missing = align.pair_for_eval(_manifest(spark, sf), wer.join_segments(_partly_heard(spark, sf)))
     return pairs.select("call_id", F.lit("paired").alias("state")).unionByName(
         missing.select("call_id", F.lit("missing").alias("state"))
     )
@@ -265,7 +270,7 @@ def j4(spark, sf):
 @register(
     "g23_join_segments",
     with_ctes(ASR, HEARD)
-    + "SELECT call_id, 0::BIGINT AS part, string_agg(text, ' ' ORDER BY seg_idx) AS hypothesis FROM heard GROUP BY 1",
+    + "SELECT call_id, string_agg(text, ' ' ORDER BY seg_idx) AS hypothesis FROM heard GROUP BY 1",
 )
 def g23(spark, sf):
     return wer.join_segments(_heard(spark, sf))
@@ -293,7 +298,7 @@ def t1(spark, sf):
 
 @register("c7_evaluate_asr")
 def c7(spark, sf):
-    return jobs.evaluate_asr(_manifest(spark, sf), _heard(spark, sf))["corpus"]
+    return jobs.evaluate_asr(_manifest(spark, sf), _partly_heard(spark, sf))["corpus"]
 
 
 @register(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 BLOCK = "_blk"
 TURN_BLOCK = 4096
-TEXT_BLOCK = 1024  # turns whose texts may be joined in one cell
+TEXT_BLOCK = 1024  # texts that the first of two steps joins
 FRAME_BLOCK = 1 << 16
 TIME_BLOCK_MS = 1 << 22  # a little over an hour
 
@@ -175,17 +175,21 @@ def join_key_stats(df: DataFrame, stats: DataFrame, key: str, index: str, size:
     return with_block(df, index, size).join(repeated, [key, BLOCK]).drop(BLOCK)
 
 
-def text_parts(
-    df: DataFrame, keys: list[str], index: str, text: str, out: str, size: int = TEXT_BLOCK, sep: str = " "
+def joined_texts(
+    df: DataFrame, keys: list[str], index: str, text: str, out: str, sep: str = " ", size: int = TEXT_BLOCK
 ) -> DataFrame:
-    """Joins texts per key in order, in parts of at most `size` positions.
+    """The texts of a key joined in order, one row per key.
 
-    Most keys have one part (`part` 0) holding the whole text; the parts of a
-    longer one, joined by `sep` in order, give the same text.
+    Texts are joined per block of `size` positions first, so the second step
+    gathers one cell per block; the result does not depend on `size`. NULL texts are left out.
     """
-    return (
-        df.withColumn("part", F.floor(F.col(index) / F.lit(size)).cast("bigint"))
-        .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(text).alias("t")))).alias("_a"))
-        .select(*keys, "part", F.array_join(F.transform("_a", lambda x: x["t"]), sep).alias(out))
-    )
+
+    def texts(place: str, value: str) -> Column:
+        return F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(place).alias("i"), F.col(value).alias("t"))))
+
+    def ordered(place: str, value: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(texts(place, value)), lambda x: x["t"]), sep)
+
+    # a block without any text is NULL and adds no separator
+    block = F.when(F.count(text) > 0, ordered(index, text)).alias("_t")
+    return with_block(df, index, size).groupBy(*keys, BLOCK).agg(block).groupBy(*keys).agg(ordered(BLOCK, "_t").alias(out))

@@ -54,6 +54,8 @@ def agent_metrics(metrics: DataFrame, agents: DataFrame | None = None) -> DataFr
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("resolved").cast("int")).alias("resolved"),
         F.sum(F.col("escalated").cast("int")).alias("escalated"),
+        F.count("resolved").alias("resolved_n"),
+        F.count("escalated").alias("escalated_n"),
         F.sum("handling_time_seconds").alias("handling"),
         F.sum("sentiment_improvement").alias("improvement"),
         F.sum("talk_listen_ratio").alias("ratio"),
@@ -62,9 +64,9 @@ def agent_metrics(metrics: DataFrame, agents: DataFrame | None = None) -> DataFr
     n = F.sum("n")
     rolled = per_label.groupBy("agent_id").agg(
         n.alias("num_calls"),
-        (F.sum("resolved") / n).alias("resolution_rate"),
+        F.try_divide(F.sum("resolved"), F.sum("resolved_n")).alias("resolution_rate"),
         (F.sum("handling") / n).alias("avg_handling_time_seconds"),
-        (F.sum("escalated") / n).alias("escalation_rate"),
+        F.try_divide(F.sum("escalated"), F.sum("escalated_n")).alias("escalation_rate"),
         (F.sum("improvement") / n).alias("avg_sentiment_improvement"),
         F.when(F.sum("ratio_n") > 0, F.sum("ratio") / F.sum("ratio_n")).alias("avg_talk_listen_ratio"),
         F.map_from_entries(

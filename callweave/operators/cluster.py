@@ -19,17 +19,19 @@ from callweave.session import settle
 
 GROUP_LIMIT = 4000  # clusters of one call that one task compares
 PAIR_BLOCK = 1000
+DIGITS = 12  # of a distance; closer ones are ties, and the smaller numbers win
 SEGMENT_BLOCK = 1 << 16
 
 
 def _merge_down(sums: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     """Group number of every given cluster after merging down to k groups."""
-    n = len(sizes)
+    n, sums = len(sizes), sums.copy()
     group = np.arange(n)
     if n <= k:
         return group
     weight = sizes.astype(float)
-    dist = 1.0 - (sums @ sums.T) / np.outer(weight, weight)
+    # rounded as in the distributed rounds, so that ties are the same ties
+    dist = np.round(1.0 - (sums @ sums.T) / np.outer(weight, weight), DIGITS)
     np.fill_diagonal(dist, np.inf)
     near = dist.argmin(axis=1)
     best = dist[group, near]
@@ -37,9 +39,10 @@ def _merge_down(sums: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
         i = int(best.argmin())
         j = int(near[i])
         i, j = min(i, j), max(i, j)
-        row = (weight[i] * dist[i] + weight[j] * dist[j]) / (weight[i] + weight[j])
-        row[[i, j]] = np.inf
+        sums[i] += sums[j]
         weight[i] += weight[j]
+        row = np.where(np.isfinite(dist[i]), np.round(1.0 - (sums @ sums[i]) / (weight * weight[i]), DIGITS), np.inf)
+        row[[i, j]] = np.inf
         dist[i], dist[:, i] = row, row
         dist[j], dist[:, j] = np.inf, np.inf
         best[j] = np.inf
@@ -114,7 +117,7 @@ def _nearest(clusters: DataFrame) -> DataFrame:
                 a, b = np.asarray(row.ids), np.asarray(row.ids2)
                 u = np.asarray(row.vecs, float).reshape(len(a), -1)
                 v = np.asarray(row.vecs2, float).reshape(len(b), -1)
-                dist = np.round(1.0 - (u @ v.T) / np.outer(row.ns, row.ns2), 12)
+                dist = np.round(1.0 - (u @ v.T) / np.outer(row.ns, row.ns2), DIGITS)
                 dist[a[:, None] == b[None, :]] = np.inf
                 order = np.argsort(b)
                 at = order[dist[:, order].argmin(axis=1)]

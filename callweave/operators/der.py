@@ -34,29 +34,10 @@ def _speaker_time(segments: DataFrame) -> DataFrame:
 
 
 def _best_total(matrix: np.ndarray) -> float:
-    """Largest total of a one-to-one assignment of rows to columns.
-
-    Subsets of the shorter side are built up one speaker at a time; beyond 14
-    speakers on that side the potentials method is used.
-    """
-    if matrix.shape[0] < matrix.shape[1]:
+    """Largest total of a one-to-one assignment of rows to columns."""
+    if matrix.shape[0] > matrix.shape[1]:
         matrix = matrix.T
-    rows, cols = matrix.shape
-    if cols == 0:
-        return 0.0
-    if cols <= 14:
-        best = {0: 0.0}
-        for r in range(rows):
-            new = dict(best)
-            for mask, value in best.items():
-                for c in range(cols):
-                    if not mask >> c & 1:
-                        key = mask | 1 << c
-                        if value + matrix[r, c] > new.get(key, -1.0):
-                            new[key] = value + matrix[r, c]
-            best = new
-        return max(best.values())
-    return _assignment_by_potentials(matrix.T)
+    return _assignment_by_potentials(matrix) if matrix.size else 0.0
 
 
 def _assignment_by_potentials(gain: np.ndarray) -> float:

@@ -235,56 +235,13 @@ def slice_text(entities: DataFrame, docs: DataFrame, key: str = "doc_id", text:
 
 # --- call-level text ------------------------------------------------------------
 
-_CUT_REACH = 40  # characters before a cut that could belong to a match across it
+def call_text(turns: DataFrame) -> DataFrame:
+    """The turns of a call joined by a space, one row per call."""
+    return blocks.joined_texts(turns, ["call_id"], "turn_idx", "text", "text")
 
 
-def call_text(turns: DataFrame, size: int = blocks.TEXT_BLOCK) -> DataFrame:
-    """The turns of a call joined by a space, as one or more parts.
-
-    Calls of up to `size` turns are one part. Longer ones are cut near every
-    `size` turns, only where no entity can cross the cut: the text before it ends
-    neither in a digit, `)` or `$` nor within reach of the word "order". So
-    entities found in the parts are those of the whole text.
-    """
-    far = turns.filter(F.col("turn_idx") >= size - _CUT_REACH - 1).select(
-        "call_id", "turn_idx", F.right(F.coalesce("text", F.lit("")), F.lit(_CUT_REACH)).alias("_tail")
-    )
-    back = Window.partitionBy("call_id", blocks.BLOCK).orderBy("turn_idx").rowsBetween(-_CUT_REACH - 1, -1)
-    before = F.right(F.array_join(F.collect_list("_tail").over(back), " "), F.lit(_CUT_REACH))
-    starts = (
-        blocks.with_halo(far, "turn_idx", size, _CUT_REACH + 1)
-        .withColumn("_before", before)
-        .filter(~F.col("_halo") & (F.col(blocks.BLOCK) > 0))
-        .withColumn("_safe", ~F.col("_before").rlike(r"(?U)[\d)$]$") & ~F.col("_before").rlike(r"(?iU)order"))
-        .groupBy("call_id", blocks.BLOCK)
-        .agg(F.min(F.when(F.col("_safe"), F.col("turn_idx"))).alias("_from"))
-        .withColumn(
-            "_earlier",
-            F.last(F.when(F.col("_from").isNotNull(), F.col(blocks.BLOCK)), ignorenulls=True).over(
-                Window.partitionBy("call_id").orderBy(blocks.BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-    )
-    part = F.when(F.col("turn_idx") >= F.col("_from"), F.col(blocks.BLOCK)).otherwise(
-        F.coalesce("_earlier", F.lit(0).cast("bigint"))
-    )
-    return (
-        blocks.with_block(turns.select("call_id", "turn_idx", "text"), "turn_idx", size)
-        .join(starts, ["call_id", blocks.BLOCK], "left")
-        .withColumn("part", part)
-        .groupBy("call_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("turn_idx", "text"))).alias("_a"))
-        .select("call_id", "part", F.array_join(F.transform("_a", lambda x: x["text"]), " ").alias("text"))
-    )
-
-
-def call_fields(parts: DataFrame, spans_col: str = "spans") -> DataFrame:
-    """The six call-level fields from the spans of the text parts of each call."""
-    per_part = parts.select("call_id", "part", spans.structured_fields(F.col(spans_col)).alias("f"))
-
-    def first(name: str) -> Column:
-        return F.min_by(F.col(f"f.{name}"), F.when(F.col(f"f.{name}").isNotNull(), F.col("part"))).alias(name)
-
-    return per_part.groupBy("call_id").agg(
-        *[first(n) for n in ("customer", "order_id", "product", "issue", "date", "amount")]
+def call_fields(calls: DataFrame, spans_col: str = "spans") -> DataFrame:
+    """The six call-level fields from the spans of the text of each call."""
+    return calls.select("call_id", spans.structured_fields(F.col(spans_col)).alias("_f")).select(
+        "call_id", *[F.col(f"_f.{n}").alias(n) for n in ("customer", "order_id", "product", "issue", "date", "amount")]
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions import blocks
 from callweave.operators import entities as E
-from callweave.session import join_counted
+from callweave.session import join_short
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -171,7 +171,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """Adds the class weight to every row, as a training weight."""
-    return join_counted(df, class_weights(df, label).select(label, F.col("weight").alias(out)), [label])
+    return join_short(df, class_weights(df, label).select(label, F.col("weight").alias(out)), [label])
 
 
 # --- entity level ----------------------------------------------------------------

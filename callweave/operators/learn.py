@@ -14,6 +14,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     IDF,
     CountVectorizer,
+    ElementwiseProduct,
     NGram,
     Normalizer,
     OneHotEncoder,
@@ -24,6 +25,7 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,17 +55,40 @@ def train_text_baseline(df: DataFrame, text: str = "text", label: str = "label",
     Words have two or more letters or digits; words and pairs share one
     vocabulary of the `vocab` most frequent terms found in two or more texts.
     """
-    stages = [
+    words = [
         RegexTokenizer(inputCol=text, outputCol="_w", gaps=False, pattern=r"(?U)\b\w\w+\b", toLowercase=True),
         NGram(n=2, inputCol="_w", outputCol="_b"),
         SQLTransformer(statement="SELECT *, concat(_w, _b) AS _terms FROM __THIS__"),
         CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=vocab, minDF=2),
         IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="features"),
-        _indexed_label(label),
-        LogisticRegression(featuresCol="features", labelCol="_y", weightCol="weight", maxIter=100, regParam=1e-3),
     ]
-    return _fit(stages, df, label)
+    rows = df.persist()
+    try:
+        counted = Pipeline(stages=words).fit(rows)
+        # a term of every text keeps the weight 1
+        weights = Vectors.dense(counted.stages[-1].idf.toArray() + 1.0)
+        head = PipelineModel(
+            [
+                *counted.stages[:-1],
+                ElementwiseProduct(inputCol="_tf", outputCol="_idf", scalingVec=weights),
+                Normalizer(inputCol="_idf", outputCol="features"),
+            ]
+        )
+        fitted = _fit([_indexed_label(label), _logistic(rows.count())], head.transform(rows), label)
+        return PipelineModel([*head.stages, *fitted.stages])
+    finally:
+        rows.unpersist()
+
+
+def _logistic(n_rows: int, c: float = 1.0) -> LogisticRegression:
+    """Logistic regression with the penalty 1 / (2 C) on the squared coefficients of the summed loss.
+
+    Spark divides the loss by the sum of the weights; balanced weights sum up to
+    the number of rows.
+    """
+    return LogisticRegression(
+        featuresCol="features", labelCol="_y", weightCol="weight", maxIter=1000, regParam=1.0 / (c * max(1, n_rows)), standardization=False
+    )
 
 
 def _labels_of(model: PipelineModel) -> list[str]:
@@ -173,7 +198,13 @@ def _numeric_and_intent(names: Sequence[str], with_intent: bool) -> list:
 
 def _fit_forest(df: DataFrame, label: str, with_intent: bool, depth: int, trees: int) -> PipelineModel:
     forest = RandomForestClassifier(
-        featuresCol="features", labelCol="_y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED
+        featuresCol="features",
+        labelCol="_y",
+        weightCol="weight",
+        numTrees=trees,
+        maxDepth=depth,
+        seed=SEED,
+        maxMemoryInMB=1024,  # nodes split in one pass over the rows
     )
     stages = [*_numeric_and_intent(C.BUSINESS_FEATURES, with_intent), _indexed_label(label), forest]
     return _fit(stages, df, label)
@@ -199,14 +230,11 @@ def escalation_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
 def train_conversation_baseline(df: DataFrame, tasks: Sequence[str]) -> dict[str, PipelineModel]:
     """One balanced logistic regression per task over the conversation features and the intent."""
     features = Pipeline(stages=_numeric_and_intent(C.CONVERSATION_FEATURES, True)).fit(df)
-    prepared = features.transform(df)
+    prepared, n_rows = features.transform(df), df.count()
     models = {}
     for task in tasks:
         fitted = _fit(
-            [
-                _indexed_label(task),
-                LogisticRegression(featuresCol="features", labelCol="_y", weightCol="weight", maxIter=100),
-            ],
+            [_indexed_label(task), _logistic(n_rows)],
             prepared,
             task,
         )

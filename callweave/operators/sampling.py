@@ -2,9 +2,9 @@
 
 Rows are ordered by the MD5 of id and seed. To take the first k rows of a class
 nothing is sorted as a whole: counts per hash prefix tell in which prefix the
-k-th row lies, only that prefix is ranked, and its k-th hash becomes a threshold
-that every row is compared with. The exact first k rows come out, and only the
-rows of one prefix in 4096 per class are shuffled.
+k-th row lies, counts per longer prefix tell the same inside it, only what is left
+is ranked, and its k-th hash becomes a threshold that every row is compared with.
+The exact first k rows come out; one row in 16 million of a class is ranked.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.session import join_counted
+from callweave.session import join_short
 
-PREFIX = 3  # hex digits
+PREFIX = 3  # hex digits per step
 
 
 def sample_hash(ids: Sequence[str], seed: int) -> Column:
@@ -34,32 +34,44 @@ def _thresholds(hashed: DataFrame, keys: list[str], cuts: dict[str, Column]) ->
     telling how many rows lie at or below it. The table of prefix counts has at
     most 4096 rows per class.
     """
-    per_prefix = hashed.groupBy(*keys, F.substring("_h", 1, PREFIX).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    first = F.substring("_h", 1, PREFIX).alias("_p")
+    per_prefix = hashed.groupBy(*keys, first).agg(F.count(F.lit(1)).alias("_n"))
     of_class = Window.partitionBy(*keys)
     spans = per_prefix.withColumns(
         {
-            "_before": F.coalesce(
-                F.sum("_n").over(of_class.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
+            "_before": _rows_before(keys, "_p"),
             "n": F.sum("_n").over(of_class),
             "total": per_prefix.agg(F.sum("_n")).scalar(),
         }
     )
     wanted = F.array(*[F.struct(F.lit(k).alias("cut"), v.cast("bigint").alias("rank")) for k, v in cuts.items()])
-    located = (
-        spans.withColumn("_c", F.explode(wanted))
-        .filter((F.col("_before") < F.col("_c.rank")) & (F.col("_c.rank") <= F.col("_before") + F.col("_n")))
-        .select(*keys, "_p", "_c.cut", (F.col("_c.rank") - F.col("_before")).alias("_within"))
-    )
-    order = Window.partitionBy(*keys, "_p", "cut").orderBy("_h")
+    located = _holding(spans.withColumn("_c", F.explode(wanted)), F.col("_c.rank")).select(*keys, "_p", "_c.cut", "_within")
+
+    inside = join_short(hashed.select(*keys, "_h", first), located, [*keys, "_p"]).withColumn("_q", F.substring("_h", PREFIX + 1, PREFIX))
+    groups = [*keys, "cut"]
+    per_prefix = inside.groupBy(*groups, "_within", "_q").agg(F.count(F.lit(1)).alias("_n"))
+    spans = per_prefix.withColumn("_before", _rows_before(groups, "_q")).withColumnRenamed("_within", "_rank")
+    located = _holding(spans, F.col("_rank")).select(*groups, "_q", "_within")
     return (
-        join_counted(hashed.select(*keys, "_h", F.substring("_h", 1, PREFIX).alias("_p")), located, [*keys, "_p"])
-        .withColumn("_r", F.row_number().over(order))
+        join_short(inside.drop("_within"), located, [*groups, "_q"])
+        .withColumn("_r", F.row_number().over(Window.partitionBy(*groups, "_q").orderBy("_h")))
         .filter(F.col("_r") == F.col("_within"))
         .select(*keys, "cut", "_h")
     )
 
 
+def _rows_before(keys: list[str], prefix: str) -> Column:
+    """Rows of the key in smaller prefixes; a key has at most 4096 of them."""
+    before = Window.partitionBy(*keys).orderBy(prefix).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_n").over(before), F.lit(0))
+
+
+def _holding(spans: DataFrame, rank: Column) -> DataFrame:
+    """The prefixes that hold the row of a rank, with its rank inside them."""
+    found = (F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_n"))
+    return spans.filter(found).withColumn("_within", rank - F.col("_before"))
+
+
 def _with_cuts(df: DataFrame, label: str, ids: Sequence[str], seed: int, cuts: dict[str, Column]) -> DataFrame:
     """Adds `_h` and one threshold column per cut; a cut of 0 rows gives NULL.
 
@@ -71,7 +83,7 @@ def _with_cuts(df: DataFrame, label: str, ids: Sequence[str], seed: int, cuts: d
     wide = limits.groupBy(label).agg(
         *[F.max(F.when(F.col("cut") == name, F.col("_h"))).alias(f"_cut_{name}") for name in cuts]
     )
-    return join_counted(hashed, wide, [label], "left")
+    return join_short(hashed, wide, [label], "left")
 
 
 def stratified_subsample(df: DataFrame, label: str, ids: Sequence[str], max_total: int, seed: int = 42) -> DataFrame:

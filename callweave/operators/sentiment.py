@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave import config as C
@@ -88,13 +88,29 @@ def timeline_lines(timeline: DataFrame) -> DataFrame:
     return timeline.select("call_id", "entry_idx", line.alias("line"))
 
 
-def timeline_text(timeline: DataFrame, size: int = blocks.TEXT_BLOCK) -> DataFrame:
-    """The lines of a call joined by newlines, in parts of bounded length."""
-    return blocks.text_parts(timeline_lines(timeline), ["call_id"], "entry_idx", "line", "timeline", size, "\n")
+def timeline_text(timeline: DataFrame) -> DataFrame:
+    """The lines of a call joined by newlines, one row per call; `timeline_lines` keeps them apart."""
+    return blocks.joined_texts(timeline_lines(timeline), ["call_id"], "entry_idx", "line", "timeline", "\n")
 
 
-def intent_text(turns: DataFrame, size: int = blocks.TEXT_BLOCK) -> DataFrame:
-    """Customer turns joined by a space, or all turns of calls without a customer."""
-    has_customer = turns.groupBy("call_id").agg(F.bool_or(F.col("speaker") == C.CUSTOMER).alias("_has"))
-    chosen = turns.join(has_customer, "call_id").filter((F.col("speaker") == C.CUSTOMER) | ~F.col("_has"))
-    return blocks.text_parts(chosen, ["call_id"], "turn_idx", "text", "intent_text", size)
+def intent_text(turns: DataFrame) -> DataFrame:
+    """Customer turns joined by a space, or all turns of calls without a customer, one row per call.
+
+    Both texts are gathered in one aggregation per block of turns, so a text is
+    shuffled once.
+    """
+    is_customer = F.coalesce(F.col("speaker") == C.CUSTOMER, F.lit(False))
+
+    def texts(place: str, value: str, keep: Column) -> Column:
+        entry = F.struct(F.col(place).alias("i"), F.col(value).alias("t"))
+        gathered = F.array_sort(F.collect_list(F.when(keep & F.col(value).isNotNull(), entry)))
+        return F.when(F.size(gathered) > 0, F.array_join(F.transform(gathered, lambda x: x["t"]), " "))
+
+    per_block = blocks.with_block(turns, "turn_idx", blocks.TEXT_BLOCK).groupBy("call_id", blocks.BLOCK).agg(
+        F.bool_or(is_customer).alias("_has"),
+        texts("turn_idx", "text", is_customer).alias("_customer"),
+        texts("turn_idx", "text", ~is_customer).alias("_others"),
+    )
+    # the turns of others matter only where no customer speaks, so they are all turns there
+    chosen = F.when(F.bool_or("_has"), texts(blocks.BLOCK, "_customer", F.lit(True))).otherwise(texts(blocks.BLOCK, "_others", F.lit(True)))
+    return per_block.groupBy("call_id").agg(F.coalesce(chosen, F.lit("")).alias("intent_text"))

@@ -16,23 +16,13 @@ _COUNTS = T.StructType(
 )
 
 
-def join_segments(segments: DataFrame, size: int = blocks.TEXT_BLOCK) -> DataFrame:
-    """The segments of a call joined by a space in order, in parts."""
-    return blocks.text_parts(segments, ["call_id"], "seg_idx", "text", "hypothesis", size)
+def join_segments(segments: DataFrame) -> DataFrame:
+    """One hypothesis per call: its segments joined by a space in order.
 
-
-def whole_hypothesis(segments: DataFrame) -> DataFrame:
-    """One hypothesis text per call, put together from its parts.
-
-    A pair of texts is aligned as a whole, so a call must fit one cell here, as
-    its reference does in the manifest.
+    A pair of texts is aligned as a whole, so a call must fit one cell, as its
+    reference does in the manifest.
     """
-    parts = join_segments(segments)
-    return parts.groupBy("call_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("part", "hypothesis"))), lambda x: x["hypothesis"]), " "
-        ).alias("hypothesis")
-    )
+    return blocks.joined_texts(segments, ["call_id"], "seg_idx", "text", "hypothesis")
 
 
 CELLS = 1 << 21  # table cells one batch of alignments may keep

@@ -73,10 +73,10 @@ def analyze_text(docs: DataFrame, text: str = "text", model_spans: str | None =
 
 def analyze_entities(turns: DataFrame) -> dict[str, DataFrame]:
     """Entities and masks per turn, and the fields of the joined text per call."""
-    parts = entities.call_text(turns).withColumn("spans", spans.rule_spans(F.col("text")))
+    texts = entities.call_text(turns).withColumn("spans", spans.rule_spans(F.col("text")))
     return {
         "turns": analyze_text(turns).drop("structured_fields"),
-        "calls": entities.call_fields(parts),
+        "calls": entities.call_fields(texts),
     }
 
 
@@ -163,7 +163,7 @@ def agent_report(
 def evaluate_asr(manifest: DataFrame, segments: DataFrame) -> dict[str, DataFrame]:
     """Word error rates of transcripts against a manifest."""
     pairs, missing = align.pair_for_eval(
-        manifest.select("call_id", F.col("reference_transcript").alias("reference")), wer.whole_hypothesis(segments)
+        manifest.select("call_id", F.col("reference_transcript").alias("reference")), wer.join_segments(segments)
     )
     scored = wer.call_wer(pairs)
     return {

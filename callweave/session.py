@@ -39,12 +39,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "cal
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
+    """The folder all executors can reach, as the cluster names it in spark.checkpoint.dir.
 
-    A fresh folder is chosen only where the session names none, as in tests.
+    Only a session inside one machine may do without: it gets a fresh folder of
+    its own. A cluster that names none is refused, since each executor would write
+    to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="callweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -67,17 +71,10 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 100_000
-
-
-def join_counted(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_short(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Joins a table that is expected to be short, such as one row per class.
 
-    The short side is computed and counted first. Up to `BROADCAST_ROWS` rows it
-    is broadcast, so the big side is not shuffled; beyond that the join is an
-    ordinary one.
+    The short side is computed first, so Spark knows its bytes and broadcasts it if
+    they allow; otherwise the join is an ordinary one.
     """
-    short = settle(small)
-    if short.count() <= BROADCAST_ROWS:
-        short = F.broadcast(short)
-    return big.join(short, keys, how)
+    return big.join(settle(small), keys, how)

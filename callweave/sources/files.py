@@ -138,8 +138,8 @@ def transcript_segments(transcripts: DataFrame) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A one-row report as a single JSON file."""
-    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """A report as a single JSON file, one line per row."""
+    df.coalesce(1).write.mode("overwrite").json(path)
 
 
 def load_labelled(df: DataFrame, text: str, label: str, names: Sequence[str] | None = None) -> DataFrame:

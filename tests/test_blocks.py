@@ -69,8 +69,10 @@ def test_join_key_stats_keeps_every_row(spark, rows):
     assert all(r.top == tops[r.k] for r in got)
 
 
-def test_text_parts_concatenate_to_the_whole(spark):
-    df = spark.createDataFrame([("c", i, f"w{i}") for i in range(11)], "call_id string, turn_idx bigint, text string")
-    parts = blocks.text_parts(df, ["call_id"], "turn_idx", "text", "t", size=4).orderBy("part").collect()
-    assert [p.part for p in parts] == [0, 1, 2]
-    assert " ".join(p.t for p in parts) == " ".join(f"w{i}" for i in range(11))
+def test_joined_texts_do_not_depend_on_the_block(spark):
+    rows = [("c", i, f"w{i}") for i in range(3000)] + [("d", 0, None), ("d", 5000, "x"), ("d", 9000, None), ("d", 9001, ""), ("e", 1, None)]
+    df = spark.createDataFrame(rows, "call_id string, turn_idx bigint, text string")
+    want = {"c": " ".join(f"w{i}" for i in range(3000)), "d": "x ", "e": ""}
+    for size in (4, 1024, 100_000):
+        got = blocks.joined_texts(df, ["call_id"], "turn_idx", "text", "t", size=size).collect()
+        assert {r.call_id: r.t for r in got} == want and len(got) == 3

@@ -149,19 +149,15 @@ def test_rules_win_over_model(spark):
     assert {(r.label, r.start) for r in inline} == {("ORDER_ID", 16), ("PERSON", 30)}
 
 
-def test_call_text_cuts_only_where_nothing_crosses(spark):
+def test_call_text_and_fields(spark):
     rnd = random.Random(5)
     bits = ["hello there", "my order", "is 12345", "call 415", "555 0199", "pay $", "5 now", "ok", "", "order number", "(415)",
             "something much longer than forty characters to reset it"]
     turns = [(c, i, rnd.choice(bits)) for c in range(6) for i in range(rnd.randint(1, 60))]
     df = spark.createDataFrame(turns, "call_id int, turn_idx bigint, text string")
     whole = {c: " ".join(t for k, _, t in turns if k == c) for c in range(6)}
-    parts = entities.call_text(df, size=44).orderBy("call_id", "part").collect()
-    joined = {}
-    for p in parts:
-        joined.setdefault(p.call_id, []).append(p.text)
-    assert {c: " ".join(v) for c, v in joined.items()} == whole
-    fields = entities.call_fields(entities.call_text(df, size=44).withColumn("spans", spans.rule_spans(F.col("text"))))
+    assert {r.call_id: r.text for r in entities.call_text(df).collect()} == whole
+    fields = entities.call_fields(entities.call_text(df).withColumn("spans", spans.rule_spans(F.col("text"))))
     for r in fields.collect():
         ents = reference_spans(whole[r.call_id])
         assert r.order_id == next((e[1] for e in ents if e[0] == "ORDER_ID"), None)
