@@ -6,6 +6,8 @@ a call may have any number of turns, so its turns stay rows.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -234,6 +236,8 @@ def prepare_signal(
     samples: call_id, channel, idx, v at one sample rate.
     """
     frame_len = max(1, int(sample_rate * vad.frame_ms / 1000))
+    # a frame is a whole number of samples, so it may be shorter than asked
+    vad = replace(vad, frame_ms=frame_len * 1000 / sample_rate)
     mono = signal.to_mono(samples)
     level = signal.normalize_peak(mono, audio.target_peak_dbfs)
     frames = signal.frame_rms_db(level, frame_len)
