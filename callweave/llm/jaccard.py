@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.session import settle
@@ -15,15 +15,19 @@ from callweave.session import settle
 SHINGLE_WORDS = 5
 # Percent of the union that two linked sets share at least.
 THRESHOLD = 80
-# Counters of the frequency sketch: 4 MB, whatever the size of the corpus.
+# Counters of the word sketch: 4 million, whatever the size of the corpus.
 SKETCH_BITS = 22
-# Shingles met between two emptyings of a task's counters, and the least count that is passed on.
-SKETCH_CHUNK, SKETCH_LEAST = 4_000_000, 8
+# Texts that a task counts before it passes its counters on, and the least count that it does pass on.
+SKETCH_TEXTS, SKETCH_LEAST = 60_000, 2
 # Most pairs whose keys are sent to all executors; more are joined by a shuffle.
 BROADCAST_PAIRS = 3_000_000
 # Rows that share one left side of a product in a task.
-CHUNK_ROWS = 2000
-MEMO_WORDS = 400_000
+CHUNK_ROWS = 500
+# Sets of a block, and columns of a dense product.
+BLOCK_ROWS = 256
+PRODUCT_COLUMNS = 4096
+MEMO_WORDS = 200_000
+ROWS_PER_BATCH = 1000
 
 
 def link_near_copies(calls: DataFrame, key: str = "call_id", text: str = "text") -> DataFrame:
@@ -32,19 +36,21 @@ def link_near_copies(calls: DataFrame, key: str = "call_id", text: str = "text")
     Words are lower-cased (A-Z) and separated by ASCII white space; a text with
     fewer than five words is one shingle. The links are exact:
 
-    1. Equal sets become one node. Shingles have a fixed order, those that a sketch
-       of all texts counts as frequent last. Two sets of sizes m and n that are
+    1. Equal sets become one node. Shingles have a fixed order by the number of texts
+       that hold their rarest word, counted over all texts. Two sets of sizes m and n that are
        linked share a shingle among their first n - ceil(0.8 n) + 1.
     2. The product of the incidence matrix over these columns with its transpose is
        summed up in blocks of columns. First every node is only multiplied with the
        smallest node of each column (a star), entries too small for the sizes are
        dropped, the rest is completed over all columns, and linked nodes are merged.
-    3. What is left are columns with nodes of several components. All pairs across
-       components are multiplied there, dropped by the same bound, completed, merged.
+    3. What is left are columns with nodes of several components. Components that
+       could be linked by the same bound form clusters, and inside each cluster the
+       full product is made block by block (see `cross_links`).
 
-    So a group of near copies costs a few products per copy, not one per pair, and
-    no link between different components is missed. A passage that many texts share
-    is last in their order and gives no column.
+    So a group of near copies costs a product per copy and not one per pair, each
+    set travels once per block instead of once per pair, and no link between
+    different components is missed. A passage that many texts share is last in
+    their order and gives no column.
 
     Returns `key`, n_shingles and component_id, the smallest key that links reach.
     Null and empty texts have no shingle and are their own component, as are rows
@@ -53,7 +59,7 @@ def link_near_copies(calls: DataFrame, key: str = "call_id", text: str = "text")
     """
     spark = calls.sparkSession
     texts = calls.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
-    features = settle(_features(texts, frequent_shingles(texts)))
+    features = settle(_features(texts, word_levels(texts)))
     described = features.where("_key IS NOT NULL AND _n > 0")
     copies = settle(
         described.groupBy("_set", "_n").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"), F.count("*").alias("_copies")).where("_copies > 1")
@@ -68,22 +74,7 @@ def link_near_copies(calls: DataFrame, key: str = "call_id", text: str = "text")
     tested = settle(possible(products, sizes).select("_a", "_b"))
     labels = components(settle(linked(texts, tested, sizes)), None)
 
-    labelled = shared.join(labels, shared["_node"] == labels["_member"], "left").select(
-        "_shingle", "_node", F.coalesce("_label", "_node").alias("_label")
-    )
-    labelled = settle(labelled)
-    mixed = (
-        labelled.groupBy("_shingle").agg(F.min("_label").alias("_low"), F.max("_label").alias("_high")).where("_low < _high").select("_shingle")
-    )
-    open_ = settle(labelled.join(mixed, "_shingle"))
-    parts = open_.select("_shingle", "_label").distinct()
-    across = parts.join(parts.withColumnRenamed("_label", "_to"), "_shingle").where("_label < _to")
-    left = open_.join(across, ["_shingle", "_label"]).select("_shingle", "_to", F.col("_node").alias("_a"))
-    right = open_.select("_shingle", F.col("_label").alias("_to"), F.col("_node").alias("_b"))
-    products = left.join(right, ["_shingle", "_to"]).groupBy("_a", "_b").agg(F.count("*").alias("_c"))
-    known = tested.unionByName(tested.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-    rest = settle(possible(products, sizes).select("_a", "_b").join(known, ["_a", "_b"], "left_anti"))
-    labels = components(settle(linked(texts, rest, sizes)), labels)
+    labels = components(settle(cross_links(texts, shared, labels, sizes)), labels)
 
     # the smallest key of a node is its own, since copies are named by their first
     found = features.select("_key", "_n", "_set").join(copies.select("_set", "_n", "_first"), ["_set", "_n"], "left")
@@ -130,9 +121,9 @@ def linked(texts: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            found = [np.unique(hashes.shingles(t)).view(np.int64) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], as_lists(found)], names=["_a", "_chunk", "_b", "_set"])
+        for part in parts(batches):
+            found = [np.unique(shingles(hashes.words(t))).view(np.int64) for t in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], as_lists(found)], names=["_a", "_chunk", "_b", "_set"])
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, whose = None, None
@@ -155,6 +146,115 @@ def linked(texts: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(products, "_a bigint, _b bigint")
 
 
+def cross_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs of components with a linked pair of members, for all components that `labels` leaves apart.
+
+    Two components that have a link have as many common rare columns as two of
+    their members need at least. Components with enough of them are put into
+    clusters. The nodes of a cluster are cut into blocks; a large component has blocks of
+    its own, which need no product among themselves. Each pair of blocks is one
+    task's dense product over all columns that two of its sets share.
+    """
+    named = shared.join(labels, shared["_node"] == labels["_member"], "left").select("_shingle", "_node", F.coalesce("_label", "_node").alias("_label"))
+    named = settle(named)
+    members = settle(named.select("_node", "_label").distinct().join(sizes.withColumnRenamed("_key", "_node"), "_node"))
+    ranges = settle(members.groupBy("_label").agg(F.min("_n").alias("_low"), F.max("_n").alias("_high"), F.count("*").alias("_members")))
+    mixed = named.groupBy("_shingle").agg(F.min("_label").alias("_first"), F.max("_label").alias("_last")).where("_first < _last").select("_shingle")
+    held = named.join(mixed, "_shingle").select("_shingle", "_label").distinct().join(ranges.drop("_members"), "_label")
+    held = settle(held)
+    one = held.select("_shingle", F.col("_label").alias("_a"), F.col("_low").alias("_al"), F.col("_high").alias("_ah"))
+    other = held.select("_shingle", F.col("_label").alias("_b"), F.col("_low").alias("_bl"), F.col("_high").alias("_bh"))
+    part = THRESHOLD / 100
+    alike = (F.col("_ah") >= part * F.col("_bl")) & (F.col("_bh") >= part * F.col("_al"))
+    common = (
+        one.join(other, "_shingle")
+        .where((F.col("_a") < F.col("_b")) & alike)
+        .groupBy("_a", "_b")
+        .agg(F.count("*").alias("_c"), *(F.max(c).alias(c) for c in ("_al", "_ah", "_bl", "_bh")))
+    )
+
+    def least(low: str, small: str, large: str) -> Column:
+        """Common rare columns that a set of at least `low` and a smaller one need: t / (1 + t) (m + n) - t n."""
+        ratio = F.least(F.lit(1.0), F.greatest(F.lit(part), F.col(small) / F.col(large)))
+        return F.col(low) * (part / (1 + part) * (1 + ratio) - part)
+
+    enough = F.col("_c") + 1e-6 >= F.least(least("_bl", "_al", "_bh"), least("_al", "_bl", "_ah"))
+    clusters = components(settle(common.where(enough).select("_a", "_b")), None)
+
+    inside = members.join(clusters.select(F.col("_member").alias("_label"), F.col("_label").alias("_cluster")), "_label").join(
+        ranges.select("_label", "_members"), "_label"
+    )
+    large = F.col("_members") >= BLOCK_ROWS
+    packed = inside.where(~large).groupBy("_cluster").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_blocks"))
+    placed = inside.join(packed, "_cluster", "left").select(
+        "_cluster", "_node", "_label",
+        # blocks of a large component are named by its label, the others by none
+        F.when(large, F.col("_label")).alias("_own"),
+        F.when(large, F.pmod(F.hash("_node"), F.ceil(F.col("_members") / BLOCK_ROWS)))
+        .otherwise(F.pmod(F.hash("_label"), F.col("_blocks"))).alias("_block"),
+    )
+    placed = settle(placed)
+    blocks = settle(placed.select("_cluster", "_own", "_block").distinct())
+    left = blocks.select("_cluster", F.struct(F.coalesce("_own", F.lit(0)).alias("o"), F.col("_own").isNull().alias("s"), F.col("_block").alias("b")).alias("_x"))
+    right = left.withColumnRenamed("_x", "_y")
+    pairs = left.join(right, "_cluster").where("_x <= _y AND NOT (_x.o = _y.o AND NOT _x.s AND NOT _y.s)")
+    pairs = pairs.select("_cluster", "_x", "_y", F.xxhash64("_cluster", "_x", "_y").alias("_product"))
+    ends = pairs.select("_cluster", "_product", F.explode(F.array_distinct(F.array("_x", "_y"))).alias("_x"))
+    named_blocks = placed.select(
+        "_cluster", "_node", "_label", F.struct(F.coalesce("_own", F.lit(0)).alias("o"), F.col("_own").isNull().alias("s"), F.col("_block").alias("b")).alias("_x")
+    )
+    wanted = settle(named_blocks.join(ends, ["_cluster", "_x"]).select(F.col("_node").alias("_key"), "_product", "_label"))
+    if wanted.count() <= 2 * BROADCAST_PAIRS:
+        wanted = F.broadcast(wanted)
+    rows = texts.where(F.col("_text").isNotNull()).join(wanted, "_key").select("_product", "_label", "_key", "_text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part_ in parts(batches):
+            found = [np.unique(shingles(hashes.words(t))).view(np.int64) for t in part_.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part_.columns[:3], as_lists(found)], names=["_product", "_label", "_key", "_set"])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, names, held_sets = None, [], []
+
+        def links() -> pa.RecordBatch:
+            found = sorted(linked_labels(names, held_sets)) if held_sets else []
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["_a", "_b"])
+
+        for batch in batches:
+            for product, label, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), range(batch.num_rows)):
+                if product != current:
+                    yield links()
+                    current, names, held_sets = product, [], []
+                names.append(label)
+                held_sets.append(batch.column(3)[row].values.to_numpy())
+        yield links()
+
+    made = rows.mapInArrow(sets, "_product bigint, _label bigint, _key bigint, _set array<bigint>")
+    return made.repartition("_product").sortWithinPartitions("_product").mapInArrow(products, "_a bigint, _b bigint")
+
+
+def linked_labels(labels: list[int], sets: list[np.ndarray]) -> set[tuple[int, int]]:
+    """Pairs of different labels with linked sets, from the product of sets by shingles in blocks of columns."""
+    sizes = np.array([len(s) for s in sets])
+    _, column, met = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    # a shingle of one set adds nothing
+    row, column = row[met[column] > 1], column[met[column] > 1]
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, PRODUCT_COLUMNS):
+        start, stop = np.searchsorted(column, [first, first + PRODUCT_COLUMNS])
+        dense = np.zeros((len(sets), PRODUCT_COLUMNS), np.float32)
+        dense[row[start:stop], column[start:stop] - first] = 1
+        common += dense @ dense.T
+    union = sizes[:, None] + sizes[None, :] - common
+    i, j = np.nonzero(100 * common >= THRESHOLD * union)
+    return {(labels[x], labels[y]) for x, y in zip(i, j) if labels[x] < labels[y]}
+
+
 def components(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Smallest member of the component of each node with an edge; earlier labels are built upon.
 
@@ -184,41 +284,39 @@ def components(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
             return current
 
 
-def frequent_shingles(texts: DataFrame) -> np.ndarray:
-    """For each bucket of shingles the binary order of magnitude of its count, 0 for rare ones.
+def word_levels(texts: DataFrame) -> np.ndarray:
+    """For each bucket of words a level: four times the binary logarithm of the number of texts with it.
 
-    Every text is counted. Tasks pass on only the buckets that stand out among
-    theirs, so the driver sees at most one number per bucket. The result orders the
-    columns; any order gives the same links, this one keeps frequent columns unused.
+    Every text is counted. Tasks pass on the buckets they met twice or more, so the
+    driver sees at most one number per bucket. The levels only order the columns:
+    any order gives the same links, this one leaves columns of many texts unused.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, met = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int32), 0
+        hashes, counts, read = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint16), 0
         for batch in batches:
             for text in batch.column(0):
-                found = bucket(hashes.shingles(text.as_py()))
-                np.add.at(counts, found, 1)
-                met += len(found)
-                if met >= SKETCH_CHUNK:
-                    yield standing_out(counts, met)
-                    counts[:] = met = 0
-        yield standing_out(counts, met)
+                counts[bucket(hashes.words(text.as_py()))] += 1  # once per text, however often it holds the word
+                read += 1
+                if read == SKETCH_TEXTS:
+                    yield standing_out(counts)
+                    counts[:] = read = 0
+        yield standing_out(counts)
 
     seen = texts.where(F.col("_text").isNotNull()).select("_text").mapInArrow(count, "_bucket int, _n bigint")
-    totals = seen.groupBy("_bucket").agg(F.sum("_n").alias("_n")).toArrow()
+    sums = seen.groupBy("_bucket").agg(F.sum("_n").alias("_n")).toArrow()
     level = np.zeros(1 << SKETCH_BITS, np.uint8)
-    level[totals.column("_bucket").to_numpy()] = np.log2(totals.column("_n").to_numpy()).astype(np.uint8)
+    level[sums.column("_bucket").to_numpy()] = np.minimum(4 * np.log2(sums.column("_n").to_numpy()), 255).astype(np.uint8)
     return level
 
 
-def standing_out(counts: np.ndarray, met: int) -> pa.RecordBatch:
-    mean = met / len(counts)
-    high = np.flatnonzero(counts >= SKETCH_LEAST + mean + 4 * mean**0.5)
-    return pa.RecordBatch.from_arrays([pa.array(high.astype(np.int32)), pa.array(counts[high].astype(np.int64))], names=["_bucket", "_n"])
+def standing_out(counts: np.ndarray) -> pa.RecordBatch:
+    high = np.flatnonzero(counts >= SKETCH_LEAST).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(high), pa.array(counts[high].astype(np.int64))], names=["_bucket", "_n"])
 
 
-def bucket(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32)
 
 
 def _features(texts: DataFrame, level: np.ndarray) -> DataFrame:
@@ -227,15 +325,18 @@ def _features(texts: DataFrame, level: np.ndarray) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, levels = WordHashes(), shared.value
-        for batch in batches:
+        for batch in parts(batches):
             sizes, names, rare = [], [], []
             for text in batch.column(1):
-                found = np.unique(hashes.shingles(text.as_py() or b""))
+                words = hashes.words(text.as_py() or b"")
+                found, at = np.unique(shingles(words), return_index=True)
                 n = len(found)
                 sizes.append(n)
                 names.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
+                # a shingle is in no more texts than its rarest word
+                rarest = windows(levels[bucket(words)], np.minimum)[at] if n else at
                 first = n - (THRESHOLD * n + 99) // 100 + 1 if n else 0
-                rare.append(found[np.argsort(levels[bucket(found)], kind="stable")[:first]].view(np.int64))
+                rare.append(found[np.argsort(rarest, kind="stable")[:first]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), as_lists(rare)],
                 names=["_key", "_n", "_set", "_rare"],
@@ -244,6 +345,13 @@ def _features(texts: DataFrame, level: np.ndarray) -> DataFrame:
     return texts.mapInArrow(describe, "_key bigint, _n bigint, _set bigint, _rare array<bigint>")
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_PER_BATCH):
+            yield batch.slice(start, ROWS_PER_BATCH)
+
+
 def as_lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays], dtype=np.int64)]).astype(np.int32)
     values = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
@@ -253,30 +361,38 @@ def as_lists(arrays: list[np.ndarray]) -> pa.ListArray:
 class WordHashes(dict):
     """64-bit hashes of the words that a task has met lately."""
 
-    step = np.uint64(0x9E3779B97F4A7C15)
-
     def __missing__(self, word: bytes) -> int:
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def shingles(self, text: bytes) -> np.ndarray:
-        """Hashes of all shingles of a text, repeats included."""
+    def words(self, text: bytes) -> np.ndarray:
+        """Hashes of the words of a text in order."""
         if len(self) > MEMO_WORDS:
             self.clear()
         # on bytes, lower() and split() know ASCII only
         words = text.lower().split()
-        n = len(words)
-        if not n:
-            return np.empty(0, np.uint64)
-        one = np.fromiter(map(self.__getitem__, words), np.uint64, n)
-        width = min(n, SHINGLE_WORDS)
-        rolled = one[: n - width + 1].copy()
-        for k in range(1, width):
-            rolled *= self.step
-            rolled += one[k : n - width + 1 + k]
-        # a short text differs from a shingle of five words by its length
-        rolled += np.uint64(width)
-        rolled ^= rolled >> np.uint64(31)
-        rolled *= np.uint64(0xBF58476D1CE4E5B9)
-        rolled ^= rolled >> np.uint64(29)
-        return rolled
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def windows(values: np.ndarray, join) -> np.ndarray:
+    """Each window of five words joined into one value; all words of a shorter text make one window."""
+    width = min(len(values), SHINGLE_WORDS)
+    count = len(values) - width + 1 if width else 0
+    out = values[:count].copy()
+    for k in range(1, width):
+        out = join(out, values[k : count + k])
+    return out
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of all shingles in order, repeats included."""
+    rolled = windows(words, lambda before, word: before * _STEP + word)
+    # a short text differs from a shingle of five words by its length
+    rolled += np.uint64(min(len(words), SHINGLE_WORDS))
+    rolled ^= rolled >> np.uint64(31)
+    rolled *= np.uint64(0xBF58476D1CE4E5B9)
+    rolled ^= rolled >> np.uint64(29)
+    return rolled
