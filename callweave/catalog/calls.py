@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from callweave import config as C
 from callweave.catalog.base import BARE, SUPPORT, TURNS, WORDS, clock, register, scored, with_ctes
 from callweave.functions import text as tx
-from callweave.operators import agents, features, rules, sentiment
+from callweave.operators import agents, entities, features, rules, sentiment
 from callweave.plans import jobs
 from callweave.sources import tables as T
 
@@ -163,9 +163,16 @@ ENTITY_COUNT_SQL = r"""ents AS (
   FROM support GROUP BY 1)"""
 
 
-@register("g25_entity_count", with_ctes(SUPPORT, ENTITY_COUNT_SQL) + "SELECT call_id, num_entities FROM ents")
+@register(
+    "g25_entity_count",
+    with_ctes(SUPPORT, ENTITY_COUNT_SQL)
+    + "SELECT c_custkey AS call_id, coalesce(num_entities, 0) AS num_entities FROM customer LEFT JOIN ents ON call_id = c_custkey",
+)
 def g25(spark, sf):
-    return jobs.entity_counts(T.support_turns(spark, sf)).select("call_id", *_n("num_entities"))
+    """Every customer is a call; those without orders have no turns and no entities."""
+    found = entities.rule_entities(T.support_turns(spark, sf), ["call_id", "turn_idx"])
+    calls = T.read(spark, sf, "customer").select(F.col("c_custkey").alias("call_id"))
+    return entities.entity_count(found, calls).select("call_id", *_n("num_entities"))
 
 
 @register(

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from callweave import config as C
-from callweave.catalog.base import ASR, MANIFEST, PREDS, TURNS, literal_list, register, with_ctes
-from callweave.catalog.calls import _n, _r
+from callweave.catalog import text  # noqa: F401  its SQL is used here as well
+from callweave.catalog.base import ASR, MANIFEST, ORACLES, PREDS, TOKENS, TURNS, literal_list, register, with_ctes
+from callweave.catalog.calls import SCORED, VOTES, _n, _r
 from callweave.config import AudioConfig
-from callweave.operators import evaluate, features, learn, quality, rules, sampling
+from callweave.operators import evaluate, features, learn, quality, rules, sampling, sentiment
 from callweave.plans import jobs
 from callweave.session import scratch_path, settle
 from callweave.sources import files
@@ -548,13 +549,118 @@ def _models(spark, sf):
     return learn.train_resolution(rows), learn.train_escalation(rows)
 
 
+def _intent_of(texts):
+    """Stands for a trained intent model: label and confidence from the length of the text."""
+    size = F.length("intent_text")
+    return texts.select("call_id", T.pick(C.INTENTS, size % 11).alias("label"), ((50 + size % 50) / F.lit(100.0)).alias("confidence"))
+
+
 @register("c5_analyze_calls")
 def c5(spark, sf):
     """The nested rows as JSON."""
-    out = jobs.analyze_calls(T.scored_turns(spark, sf), *_models(spark, sf))
+    out = jobs.analyze_calls(T.scored_turns(spark, sf), _intent_of, *_models(spark, sf))
     return out["calls"].select("call_id", F.to_json(F.struct("*")).alias("analysis"))
 
 
+def _assembled(spark, sf, scored):
+    """The analysis from predictions that are tables, which SQL can follow."""
+    calls = scored.select("call_id").distinct()
+    p = (F.col("call_id") % 101) / 100.0
+    labels = ["Resolved", "Partially Resolved", "Unresolved"]
+    resolutions = calls.select("call_id", T.pick(labels, F.col("call_id") % 3).alias("label"), p.alias("confidence"))
+    escalations = calls.select("call_id", rules.risk_tier(p).alias("risk_tier"), p.alias("probability"))
+    return jobs.assemble_calls(scored, _intent_of(sentiment.intent_text(scored)), resolutions, escalations)
+
+
+@register(
+    "c5_call_results",
+    with_ctes(
+        SCORED,
+        VOTES,
+        """texts AS (SELECT call_id, coalesce(string_agg(text, ' ' ORDER BY turn_idx) FILTER (WHERE speaker = 'CUSTOMER'),
+  string_agg(text, ' ' ORDER BY turn_idx)) AS t FROM bare GROUP BY 1)""",
+    )
+    + f"""SELECT call_id, {literal_list(C.INTENTS)}[1 + length(t) % 11] AS intent, c.label AS customer_label, b.label AS conversation_label,
+  ['Resolved', 'Partially Resolved', 'Unresolved'][1 + call_id % 3] AS resolution,
+  CASE WHEN (call_id % 101) / 100.0 <= 0.35 THEN 'Low' WHEN (call_id % 101) / 100.0 <= 0.65 THEN 'Medium' ELSE 'High' END AS risk_tier
+FROM texts JOIN best b USING (call_id) LEFT JOIN cbest c USING (call_id)""",
+)
+def c5_results(spark, sf):
+    return _assembled(spark, sf, T.scored_turns(spark, sf))["calls"].select(
+        "call_id", F.col("intent.label").alias("intent"), F.col("sentiment.customer_level.label").alias("customer_label"),
+        F.col("sentiment.conversation_level.label").alias("conversation_label"), F.col("resolution.label").alias("resolution"),
+        "escalation.risk_tier",
+    )
+
+
+@register("c5_call_emotions", ORACLES["w2_emotion_timeline"])
+def c5_emotions(spark, sf):
+    out = _assembled(spark, sf, T.scored_turns(spark, sf))["emotions"]
+    return out.select("call_id", *(F.col(c).cast("bigint").alias(c) for c in ("entry_idx", "time_ms")), "speaker", "label", *_r("confidence"))
+
+
+@register("c5_call_turns", ORACLES["c4_turn_masks"])
+def c5_turns(spark, sf):
+    scored = T.with_predictions(T.support_turns(spark, sf))
+    return _assembled(spark, sf, scored)["turns"].select("call_id", "turn_idx", "masked_text")
+
+
+@register(
+    "m10_business_report_sizes",
+    """WITH n AS (SELECT count(DISTINCT o_custkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT n - floor(n * 0.2)::BIGINT AS n_train, floor(n * 0.2)::BIGINT AS n_test, 2 AS models_with_importances, true AS in_range FROM n""",
+)
+def m10_sizes(spark, sf):
+    """Sizes of the parts; metrics and importances in one check, as they are learned."""
+    out = jobs.business_report(settle(_call_features(spark, sf)))
+    sums = out["importances"].groupBy("model").agg(F.abs(F.sum("importance") - 1) < 1e-6)
+    fair = out["escalation"].select(
+        (F.col("roc_auc").between(0, 1) | F.col("roc_auc").isNull()) & F.col("brier_score").between(0, 1)
+    )
+    return out["sizes"].select(
+        "n_train", "n_test", F.lit(sums.toDF("model", "ok").where("ok").count()).alias("models_with_importances"),
+        F.lit(bool(fair.first()[0])).alias("in_range"),
+    )
+
+
+@register("m10_business_report_metrics")
+def m10_metrics(spark, sf):
+    """Held-out metrics of both forests and the importances, one row per number."""
+    out = jobs.business_report(settle(_call_features(spark, sf)))
+    resolution = out["resolution"].select(F.lit("resolution").alias("model"), F.concat(F.lit("f1 "), "label").alias("name"), F.col("f1").alias("value"))
+    names = ("precision", "recall", "f1", "roc_auc", "average_precision", "brier_score")
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("m")
+    escalation = out["escalation"].select(F.lit("escalation").alias("model"), pairs).select("model", "m.name", "m.value")
+    importances = out["importances"].select("model", F.concat(F.lit("importance "), "feature").alias("name"), F.col("importance").alias("value"))
+    return resolution.unionByName(escalation).unionByName(importances)
+
+
+@register(
+    "m11_tagged_corpus",
+    with_ctes(
+        TOKENS,
+        """flat AS (SELECT *, ['PERSON', 'ORGANIZATION', 'O', 'O', 'O', 'O', 'O', 'O', 'O', 'O', 'O', 'O', 'O'][1 + length(token) % 13] AS label
+  FROM tokens WHERE sent_id % 2 = 0)""",
+        "prev AS (SELECT *, lag(label) OVER (PARTITION BY sent_id ORDER BY pos) AS before FROM flat)",
+        "bio AS (SELECT sent_id, pos, CASE WHEN label = 'O' THEN 'O' WHEN label = before THEN 'I-' || label ELSE 'B-' || label END AS tag FROM prev)",
+        """every AS (SELECT *, 'real' AS source FROM bio WHERE sent_id IN (SELECT sent_id FROM bio WHERE tag <> 'O')
+  UNION ALL SELECT sent_id, pos, 'O', 'synthetic' FROM tokens WHERE sent_id % 2 = 1)""",
+        """sents AS (SELECT *, row_number() OVER (ORDER BY md5(source || '-' || sent_id::VARCHAR || '-42')) AS r, count(*) OVER () AS n
+  FROM (SELECT DISTINCT source, sent_id FROM every))""",
+    )
+    + """SELECT sent_id, pos, tag, source, CASE WHEN r <= greatest(1, floor(n * 0.15)) THEN 'test'
+  WHEN r <= 2 * greatest(1, floor(n * 0.15)) THEN 'val' ELSE 'train' END AS split FROM every JOIN sents USING (source, sent_id)""",
+)
+def m11_tagged(spark, sf):
+    words = T.words(spark, sf)
+    coarse = ["person", "organization", *["other"] * 11]
+    even = F.col("sent_id") % 2 == 0
+    real = words.filter(even).withColumn("label", T.pick(coarse, F.length("token") % 13))
+    synthetic = words.filter(~even).withColumn("tag", F.lit("O"))
+    out = jobs.prepare_tagged_corpus(real, synthetic, C.CORPUS_TYPE_MAP, {"test": 0.15, "val": 0.15})
+    return out.select("sent_id", "pos", "tag", "source", "split")
+
+
 @register("c6_agent_report")
 def c6(spark, sf):
     resolution, escalation = _models(spark, sf)

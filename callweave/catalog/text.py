@@ -475,10 +475,11 @@ def f8(spark, sf):
         TAGGED,
         tag_runs("true_tags", "runs"),
         """sized AS (
-  SELECT sent_id, pos, length(token) AS len, (50 + length(token) % 50) / 100.0::DOUBLE AS conf, coalesce(sum(length(token) + 1) OVER (
+  SELECT sent_id, pos, token, length(token) AS len, (50 + length(token) % 50) / 100.0::DOUBLE AS conf, coalesce(sum(length(token) + 1) OVER (
     PARTITION BY sent_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "start" FROM true_tags)""",
     )
-    + """SELECT r.sent_id, r.label, min("start") AS "start", max("start" + len)::BIGINT AS "end", round(avg(conf), 6) AS confidence
+    + """SELECT r.sent_id, r.label, min("start") AS "start", max("start" + len)::BIGINT AS "end", round(avg(conf), 6) AS confidence,
+  string_agg(token, ' ' ORDER BY s.pos) AS text
 FROM runs r JOIN sized s ON r.sent_id = s.sent_id AND s.pos >= r.first_pos AND s.pos < r.end_pos
 WHERE r.first_tag LIKE 'B-%' GROUP BY r.sent_id, r.label, r.first_pos""",
 )
@@ -486,7 +487,8 @@ def w5a(spark, sf):
     placed = entities.token_offsets(T.tagged(spark, sf)).withColumn(
         "confidence", (50 + F.length("token") % 50) / F.lit(100.0)
     )
-    return entities.bio_to_spans_strict(placed).select("sent_id", "label", *_n("start", "end"), *_r("confidence"))
+    found = entities.slice_text(entities.bio_to_spans_strict(placed), entities.joined_tokens(placed), "sent_id")
+    return found.select("sent_id", "label", *_n("start", "end"), *_r("confidence"), "text")
 
 
 @register(

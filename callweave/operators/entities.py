@@ -224,6 +224,11 @@ def bio_to_spans_strict(bio: DataFrame, keys: Sequence[str] = ("sent_id",)) -> D
     )
 
 
+def joined_tokens(tokens: DataFrame) -> DataFrame:
+    """The text of each sentence that the token offsets refer to: its tokens joined by a space."""
+    return blocks.joined_texts(tokens, ["sent_id"], "pos", "token", "text")
+
+
 def slice_text(entities: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds the text between the offsets of each entity."""
     return (

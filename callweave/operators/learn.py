@@ -87,7 +87,7 @@ def _logistic(n_rows: int, c: float = 1.0) -> LogisticRegression:
     the number of rows.
     """
     return LogisticRegression(
-        featuresCol="features", labelCol="_y", weightCol="weight", maxIter=1000, regParam=1.0 / (c * max(1, n_rows)), standardization=False
+        featuresCol="features", labelCol="_y", weightCol="weight", maxIter=1000, tol=1e-4, regParam=1.0 / (c * max(1, n_rows)), standardization=False
     )
 
 

@@ -6,10 +6,11 @@ a call may have any number of turns, so its turns stay rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave import config as C
@@ -25,6 +26,7 @@ from callweave.operators import (
     learn,
     quality,
     rules,
+    sampling,
     sentiment,
     signal,
     wer,
@@ -82,6 +84,51 @@ def analyze_entities(turns: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def business_report(rows: DataFrame, test_frac: float = 0.2, seed: int = 42, trees: int = 200) -> dict[str, DataFrame]:
+    """Trains both forests on one part of the calls and reports on the other.
+
+    rows: the business features, intent, resolution and escalation of calls.
+    Returns sizes (n_train, n_test), resolution (metrics per class and macro),
+    escalation (precision, recall, F1, ROC-AUC, average precision, Brier score of
+    P(Yes)) and importances (model, feature, importance).
+    """
+    spark = rows.sparkSession
+    split = settle(sampling.holdout_split(rows, ["call_id"], {"test": test_frac}, seed))
+    train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
+    resolution = learn.train_resolution(train, trees=trees)
+    escalation = learn.train_escalation(train, trees=trees)
+    risk = learn.escalation_probability(escalation, test).select(
+        (F.col("escalation") == "Yes").cast("int").alias("y"), F.col("probability").alias("p")
+    )
+    scores = [
+        learn.importances(m, spark).select(F.lit(n).alias("model"), "feature", "importance")
+        for n, m in (("resolution", resolution), ("escalation", escalation))
+    ]
+    return {
+        "sizes": split.agg(*[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "test")]),
+        "resolution": learn.evaluate_model(resolution, test, "resolution"),
+        "escalation": evaluate.binary_metrics(risk),
+        "importances": scores[0].unionByName(scores[1]),
+    }
+
+
+def prepare_tagged_corpus(
+    real: DataFrame, synthetic: DataFrame, mapping: dict[str, str], fracs: dict[str, float], seed: int = 42
+) -> DataFrame:
+    """Tagged tokens of two corpora in one tag set, and a split per sentence.
+
+    real: sent_id, pos, token and a flat label of its own set, of which only
+    sentences with an entity of ours are kept; synthetic: sent_id, pos, token, tag.
+    Every part named in `fracs` gets at least one sentence.
+    """
+    mapped = entities.flat_to_bio(rules.map_labels(real, "label", mapping, "O"))
+    kept = rules.has_target(mapped).select("sent_id", "pos", "token", "tag")
+    rows = settle(sampling.union_tagged(kept, synthetic.select("sent_id", "pos", "token", "tag")))
+    sentences = rows.select("source", "sent_id").distinct()
+    placed = sampling.holdout_split(sentences, ["source", "sent_id"], fracs, seed, at_least=1)
+    return rows.join(placed, ["source", "sent_id"])
+
+
 def entity_counts(turns: DataFrame) -> DataFrame:
     """Rule entities per call, summed over its turns; calls without one count 0."""
     per_turn = turns.select("call_id", F.size(spans.rule_spans(F.col("text"))).alias("n"))
@@ -89,53 +136,60 @@ def entity_counts(turns: DataFrame) -> DataFrame:
 
 
 def analyze_calls(
-    scored: DataFrame, resolution_model: PipelineModel, escalation_model: PipelineModel
+    scored: DataFrame,
+    intent_of: Callable[[DataFrame], DataFrame],
+    resolution_model: PipelineModel,
+    escalation_model: PipelineModel,
 ) -> dict[str, DataFrame]:
-    """Everything about a call: one nested row per call, one row per turn.
+    """Everything about a call: one nested row per call, one row per turn, one row per emotion.
 
     The turns are scored once, before this job; all branches read that table.
+    `intent_of` gives label and confidence for (call_id, intent_text).
     """
-    spark = scored.sparkSession
     feats = settle(features.business_features(scored).join(features.first_customer_intent(scored), "call_id"))
     resolved = learn.score(resolution_model, feats).select(
-        "call_id",
-        F.col("intent").alias("first_intent"),
-        F.struct(F.col("predicted").alias("label"), "confidence", "probabilities").alias("resolution"),
+        "call_id", F.col("predicted").alias("label"), "confidence", "probabilities"
     )
     risk = learn.escalation_probability(escalation_model, feats)
-    table = learn.importances(escalation_model, spark)
+    table = learn.importances(escalation_model, scored.sparkSession)
     verdict = features.explain_escalation(risk, features.importance_map(table)).select(
-        "call_id",
-        F.struct("risk_tier", "probability", "top_factors", "factor_importances", "explanation").alias("escalation"),
-    )
-    mood = sentiment.conversation_sentiment(scored).select(
-        "call_id",
-        F.struct(
-            F.struct(
-                F.col("customer_label").alias("label"),
-                F.col("customer_confidence").alias("confidence"),
-                F.col("customer_score").alias("score"),
-            ).alias("customer_level"),
-            F.struct(
-                F.col("conversation_label").alias("label"),
-                F.col("conversation_confidence").alias("confidence"),
-                F.col("conversation_score").alias("score"),
-            ).alias("conversation_level"),
-        ).alias("sentiment"),
+        "call_id", "risk_tier", "probability", "top_factors", "factor_importances", "explanation"
     )
+    return assemble_calls(scored, intent_of(sentiment.intent_text(scored)), resolved, verdict)
+
+
+def assemble_calls(
+    scored: DataFrame, intents: DataFrame, resolutions: DataFrame, escalations: DataFrame
+) -> dict[str, DataFrame]:
+    """The analysis of calls from predictions that are tables.
+
+    intents: call_id, label, confidence; resolutions and escalations: call_id and
+    the fields of the nested value.
+    """
+
+    def nested(table: DataFrame, name: str) -> DataFrame:
+        return table.select("call_id", F.struct(*[c for c in table.columns if c != "call_id"]).alias(name))
+
+    def level(name: str) -> Column:
+        fields = ("label", "confidence", "score")
+        return F.struct(*[F.col(f"{name}_{f}").alias(f) for f in fields]).alias(f"{name}_level")
+
+    nlp = analyze_nlp(scored)
+    mood = nlp["sentiment"].select("call_id", F.struct(level("customer"), level("conversation")).alias("sentiment"))
     found = analyze_entities(scored)
-    fields = found["calls"].select(
-        "call_id",
-        F.struct("customer", "order_id", "product", "issue", "date", "amount").alias("structured_fields"),
-    )
-    calls = (
-        mood.join(fields, "call_id", "left").join(resolved, "call_id", "left").join(verdict, "call_id", "left")
-    )
+    calls = mood
+    for table, name in (
+        (intents.select("call_id", "label", "confidence"), "intent"),
+        (found["calls"], "structured_fields"),
+        (resolutions, "resolution"),
+        (escalations, "escalation"),
+    ):
+        calls = calls.join(nested(table, name), "call_id", "left")
     turns = found["turns"].select(
         "call_id", "turn_idx", "speaker", "start_ms", "end_ms", "sentiment", "sentiment_confidence", "emotion",
         "emotion_confidence", "masked_text", "entities",
     )
-    return {"calls": calls, "turns": turns}
+    return {"calls": calls, "turns": turns, "emotions": nlp["emotion_timeline"]}
 
 
 def agent_report(
