@@ -200,10 +200,22 @@ def s4(spark, sf):
     return files.manifest_from_parquet(spark, path)
 
 
-@register("s5_scan_files")
+@register(
+    "s5_scan_files",
+    """SELECT 'lang=' || lang AS folder, 'txt' AS extension, sum(length(base64(encode(text))) + 1)::BIGINT AS size_bytes, count(*) AS n_lines
+FROM documents GROUP BY lang""",
+)
 def s5(spark, sf):
-    """The table files themselves, found by extension."""
-    return files.scan_audio(spark, sf, ["parquet"]).select("call_id", "extension", "size_bytes")
+    """Files written below one folder per language, found by extension and read."""
+    path = scratch_path(spark, "scan")
+    T.read(spark, sf, "documents").select("lang", F.base64(F.encode("text", "UTF-8")).alias("v")).select(
+        "lang", F.regexp_replace("v", "\\s", "").alias("value")
+    ).write.partitionBy("lang").text(path)
+    found = files.scan_audio(spark, path, ["txt"])
+    lines = F.length(F.decode("content", "UTF-8")) - F.length(F.replace(F.decode("content", "UTF-8"), F.lit("\n"), F.lit("")))
+    return found.groupBy(F.regexp_extract("path", "/([^/]+)/[^/]*$", 1).alias("folder"), "extension").agg(
+        F.sum("size_bytes").alias("size_bytes"), F.sum(lines).cast("bigint").alias("n_lines")
+    )
 
 
 @register("s6_s7_transcripts_json", with_ctes(ASR) + "SELECT call_id::VARCHAR AS call_id, seg_idx, start_ms, end_ms, text FROM asr")

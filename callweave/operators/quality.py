@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions import text as tx
+from callweave.session import join_short, settle
 
 
 def report_base(validated: DataFrame) -> DataFrame:
@@ -69,20 +70,17 @@ def dataset_issues(validated: DataFrame) -> DataFrame:
 def duplicate_groups(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Files whose content occurs more than once, one row per file.
 
-    The content is hashed where it is scanned; only (hash, path) travels. That
-    narrow table is spread by hash and path, so copies of one content do not meet
-    in one task, and both the count and the join read the same exchange: the
-    content is scanned once. A group is never gathered; it may have any size.
+    The content is scanned once and hashed there; only (hash, path) is kept. Copies
+    are counted before they are shuffled, and the repeated hashes are joined as a
+    table of known size, so copies of one content do not meet in one task.
     """
-    hashed = files.select(
-        tx.sha256_hex(F.col(content)).alias("content_sha256"), F.col(path).alias("path")
-    ).repartition("content_sha256", "path")
+    hashed = settle(files.select(tx.sha256_hex(F.col(content)).alias("content_sha256"), F.col(path).alias("path")))
     repeated = (
         hashed.groupBy("content_sha256")
         .agg(F.count(F.lit(1)).alias("n_copies"), F.min("path").alias("first_path"))
         .filter("n_copies > 1")
     )
-    return hashed.join(repeated, "content_sha256")
+    return join_short(hashed, repeated, ["content_sha256"])
 
 
 def duration_histogram(df: DataFrame, column: str, max_bins: int = 20) -> DataFrame:
