@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callweave.llm.common import short_batches
+
 # texts handed to the tokenizer at once hold about this many characters, or are one text
 SLICE_CHARS = 500_000
 
@@ -31,7 +34,7 @@ def encode_transcripts(
     whole character. A null text counts as an empty one and gives empty arrays.
     Other columns are not read. An empty table gives an empty result.
     """
-    rows = calls.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = short_batches(calls).select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType(
         [rows.schema[0], *[T.StructField(c, ints) for c in ("token_ids", "token_starts", "token_ends")]]
@@ -59,7 +62,7 @@ def decode_tokens(tokens: DataFrame, ranks_path: str, ids: str = "token_ids", ke
     are not cast to text here (`decoded_text` does that). Null ids give null, an id
     outside the vocabulary is an error, an empty table gives an empty result.
     """
-    rows = tokens.select(*keep, F.col(ids).alias("_ids"))
+    rows = short_batches(tokens).select(*keep, F.col(ids).alias("_ids"))
     schema = T.StructType([*rows.schema[:-1], T.StructField("decoded", T.BinaryType())])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +72,7 @@ def decode_tokens(tokens: DataFrame, ranks_path: str, ids: str = "token_ids", ke
             # offsets and values as they lie in the batch, so nothing is made a Python number
             cuts, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             valid = lists.is_valid().to_numpy(zero_copy_only=False)
-            out = [b"".join(table[flat[a:b]]) if ok else None for a, b, ok in zip(cuts[:-1], cuts[1:], valid)]
+            out = [b"".join(table[flat[a:b]].tolist()) if ok else None for a, b, ok in zip(cuts[:-1], cuts[1:], valid)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=schema.names)
 
     return rows.mapInArrow(work, schema)
@@ -101,7 +104,7 @@ def flat_ids(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts behind each other, and where each text ends among them."""
     lists = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
-    flat = np.fromiter((i for x in lists for i in x), np.int32, int(ends[-1]) if len(ends) else 0)
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]) if len(ends) else 0)
     return flat, ends
 
 
@@ -111,12 +114,13 @@ def character_offsets(texts: list[str], ids: np.ndarray, ends: np.ndarray, lengt
     if not len(ids):
         return np.empty(0, np.int32), np.empty(0, np.int32)
     # characters begin at the bytes that are no continuation
-    character = np.cumsum((raw & 0xC0) != 0x80) - 1
-    to = np.cumsum(lengths[ids])
-    start, end = character[to - lengths[ids]], character[to - 1] + 1
-    firsts = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])
+    character = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)
+    size = lengths[ids]
+    to = np.cumsum(size, dtype=np.int32)
+    start, end = character[to - size] - 1, character[to - 1]
+    firsts = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]).astype(np.int32)
     base = np.repeat(firsts, np.diff(np.concatenate([[0], ends])))
-    return (start - base).astype(np.int32), (end - base).astype(np.int32)
+    return start - base, end - base
 
 
 def byte_alphabet() -> list[str]:
@@ -145,7 +149,7 @@ def byte_pieces(path: str) -> np.ndarray:
 
 @cache
 def token_lengths(path: str) -> np.ndarray:
-    return np.array([len(t or b"") for t in byte_pieces(path)], np.int64)
+    return np.array([len(t or b"") for t in byte_pieces(path)], np.int32)
 
 
 def visible_vocabulary(path: str) -> dict[str, int]:

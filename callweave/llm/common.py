@@ -23,6 +23,19 @@ def source_key(source: str) -> list[Column]:
     return [F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"), F.col(source).isNull().alias("_no_source")]
 
 
+# Rows of a batch that goes to Python; they are whole texts.
+BATCH_ROWS = 1000
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """The same rows; Arrow batches of this session hold fewer of them than Spark's default of 10 000.
+
+    A text may have a hundred thousand characters, and a worker holds a batch several times.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 SOURCE_KEY = ["_source", "_no_source"]
 
 

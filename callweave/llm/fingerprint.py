@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from callweave.session import settle
 
-SAMPLES = 24
+SAMPLES = 32
 SPACES = r"[\x20\x09-\x0D]+"
-ROWS_PER_BLOCK = 500
+ROWS_PER_BLOCK = 250
 # bits of a draw, two of which and 12 more make a hash of 64
 _BITS = 26
 _MASK = (1 << _BITS) - 1

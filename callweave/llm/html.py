@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callweave.llm.common import short_batches
+
 # Elements by their role in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -87,7 +89,7 @@ def extract_main_text(captures: DataFrame, key: str = "page_id", url: str = "url
     Returns `key`, `url` and text ('' if there is none). Other columns are not
     read. Null or empty html gives ''. An empty table gives an empty result.
     """
-    rows = captures.select(F.col(key), F.col(url), F.col(html).alias("_html"))
+    rows = short_batches(captures).select(F.col(key), F.col(url), F.col(html).alias("_html"))
 
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:

@@ -9,7 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from callweave.llm.common import short_batches
 from callweave.session import settle
 
 SHINGLE_WORDS = 5
@@ -20,14 +22,13 @@ SKETCH_BITS = 22
 # Texts that a task counts before it passes its counters on, and the least count that it does pass on.
 SKETCH_TEXTS, SKETCH_LEAST = 60_000, 2
 # Most pairs whose keys are sent to all executors; more are joined by a shuffle.
-BROADCAST_PAIRS = 3_000_000
+BROADCAST_PAIRS = 500_000
 # Rows that share one left side of a product in a task.
 CHUNK_ROWS = 500
 # Sets of a block, and columns of a dense product.
 BLOCK_ROWS = 256
 PRODUCT_COLUMNS = 4096
 MEMO_WORDS = 200_000
-ROWS_PER_BATCH = 1000
 
 
 def link_near_copies(calls: DataFrame, key: str = "call_id", text: str = "text") -> DataFrame:
@@ -58,7 +59,7 @@ def link_near_copies(calls: DataFrame, key: str = "call_id", text: str = "text")
     gives an empty result.
     """
     spark = calls.sparkSession
-    texts = calls.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
+    texts = short_batches(calls).select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
     features = settle(_features(texts, word_levels(texts)))
     described = features.where("_key IS NOT NULL AND _n > 0")
     copies = settle(
@@ -110,10 +111,11 @@ def linked(texts: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     one left side follow its set in blocks of CHUNK_ROWS, so that the copies of one
     text are spread over tasks and a task holds two sets at a time.
     """
+    kind = key_type(texts)
     counts = pairs.groupBy("_a").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("_chunks"))
     chunked = pairs.join(counts, "_a").select("_a", "_b", F.pmod(F.hash("_b"), F.col("_chunks")).cast("int").alias("_chunk"))
     right = chunked.select(F.col("_b").alias("_key"), "_a", "_chunk", "_b")
-    left = chunked.groupBy("_a", "_chunk").agg(F.count("*")).select(F.col("_a").alias("_key"), "_a", "_chunk", F.lit(None).cast("bigint").alias("_b"))
+    left = chunked.groupBy("_a", "_chunk").agg(F.count("*")).select(F.col("_a").alias("_key"), "_a", "_chunk", F.lit(None).cast(kind).alias("_b"))
     wanted = settle(right.unionByName(left))
     if wanted.count() <= 2 * BROADCAST_PAIRS:
         wanted = F.broadcast(wanted)
@@ -121,7 +123,7 @@ def linked(texts: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for part in parts(batches):
+        for part in batches:
             found = [np.unique(shingles(hashes.words(t))).view(np.int64) for t in part.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[:3], as_lists(found)], names=["_a", "_chunk", "_b", "_set"])
 
@@ -136,14 +138,14 @@ def linked(texts: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
                 elif a == whose:
                     common = len(mine) + len(values) - len(np.union1d(mine, values))
                     if 100 * common >= THRESHOLD * (len(mine) + len(values) - common):
-                        out.append((a, b))
+                        out.append(row)
                 else:
                     raise ValueError("the set of a left side is missing")
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], names=["_a", "_b"])
+            yield batch.take(pa.array(out, pa.int64())).select(["_a", "_b"])
 
-    made = rows.mapInArrow(sets, "_a bigint, _chunk int, _b bigint, _set array<bigint>")
+    made = rows.mapInArrow(sets, f"_a {kind}, _chunk int, _b {kind}, _set array<bigint>")
     ordered = made.repartition("_a", "_chunk").sortWithinPartitions("_a", "_chunk", F.asc_nulls_first("_b"))
-    return ordered.mapInArrow(products, "_a bigint, _b bigint")
+    return ordered.mapInArrow(products, f"_a {kind}, _b {kind}")
 
 
 def cross_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -155,6 +157,7 @@ def cross_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: D
     its own, which need no product among themselves. Each pair of blocks is one
     task's dense product over all columns that two of its sets share.
     """
+    kind, none = key_type(texts), F.lit("0").cast(key_type(texts))
     named = shared.join(labels, shared["_node"] == labels["_member"], "left").select("_shingle", "_node", F.coalesce("_label", "_node").alias("_label"))
     named = settle(named)
     members = settle(named.select("_node", "_label").distinct().join(sizes.withColumnRenamed("_key", "_node"), "_node"))
@@ -195,13 +198,13 @@ def cross_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: D
     )
     placed = settle(placed)
     blocks = settle(placed.select("_cluster", "_own", "_block").distinct())
-    left = blocks.select("_cluster", F.struct(F.coalesce("_own", F.lit(0)).alias("o"), F.col("_own").isNull().alias("s"), F.col("_block").alias("b")).alias("_x"))
+    left = blocks.select("_cluster", F.struct(F.coalesce("_own", none).alias("o"), F.col("_own").isNull().alias("s"), F.col("_block").alias("b")).alias("_x"))
     right = left.withColumnRenamed("_x", "_y")
     pairs = left.join(right, "_cluster").where("_x <= _y AND NOT (_x.o = _y.o AND NOT _x.s AND NOT _y.s)")
     pairs = pairs.select("_cluster", "_x", "_y", F.xxhash64("_cluster", "_x", "_y").alias("_product"))
     ends = pairs.select("_cluster", "_product", F.explode(F.array_distinct(F.array("_x", "_y"))).alias("_x"))
     named_blocks = placed.select(
-        "_cluster", "_node", "_label", F.struct(F.coalesce("_own", F.lit(0)).alias("o"), F.col("_own").isNull().alias("s"), F.col("_block").alias("b")).alias("_x")
+        "_cluster", "_node", "_label", F.struct(F.coalesce("_own", none).alias("o"), F.col("_own").isNull().alias("s"), F.col("_block").alias("b")).alias("_x")
     )
     wanted = settle(named_blocks.join(ends, ["_cluster", "_x"]).select(F.col("_node").alias("_key"), "_product", "_label"))
     if wanted.count() <= 2 * BROADCAST_PAIRS:
@@ -210,7 +213,7 @@ def cross_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: D
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for part_ in parts(batches):
+        for part_ in batches:
             found = [np.unique(shingles(hashes.words(t))).view(np.int64) for t in part_.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part_.columns[:3], as_lists(found)], names=["_product", "_label", "_key", "_set"])
 
@@ -219,7 +222,7 @@ def cross_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: D
 
         def links() -> pa.RecordBatch:
             found = sorted(linked_labels(names, held_sets)) if held_sets else []
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["_a", "_b"])
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], arrow) for i in (0, 1)], names=["_a", "_b"])
 
         for batch in batches:
             for product, label, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), range(batch.num_rows)):
@@ -230,11 +233,12 @@ def cross_links(texts: DataFrame, shared: DataFrame, labels: DataFrame, sizes: D
                 held_sets.append(batch.column(3)[row].values.to_numpy())
         yield links()
 
-    made = rows.mapInArrow(sets, "_product bigint, _label bigint, _key bigint, _set array<bigint>")
-    return made.repartition("_product").sortWithinPartitions("_product").mapInArrow(products, "_a bigint, _b bigint")
+    made = rows.mapInArrow(sets, f"_product bigint, _label {kind}, _key {kind}, _set array<bigint>")
+    arrow = to_arrow_type(made.schema["_key"].dataType)
+    return made.repartition("_product").sortWithinPartitions("_product").mapInArrow(products, f"_a {kind}, _b {kind}")
 
 
-def linked_labels(labels: list[int], sets: list[np.ndarray]) -> set[tuple[int, int]]:
+def linked_labels(labels: list, sets: list[np.ndarray]) -> set[tuple]:
     """Pairs of different labels with linked sets, from the product of sets by shingles in blocks of columns."""
     sizes = np.array([len(s) for s in sets])
     _, column, met = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -325,7 +329,7 @@ def _features(texts: DataFrame, level: np.ndarray) -> DataFrame:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, levels = WordHashes(), shared.value
-        for batch in parts(batches):
+        for batch in batches:
             sizes, names, rare = [], [], []
             for text in batch.column(1):
                 words = hashes.words(text.as_py() or b"")
@@ -342,14 +346,11 @@ def _features(texts: DataFrame, level: np.ndarray) -> DataFrame:
                 names=["_key", "_n", "_set", "_rare"],
             )
 
-    return texts.mapInArrow(describe, "_key bigint, _n bigint, _set bigint, _rare array<bigint>")
+    return texts.mapInArrow(describe, f"_key {key_type(texts)}, _n bigint, _set bigint, _rare array<bigint>")
 
 
-def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, ROWS_PER_BATCH):
-            yield batch.slice(start, ROWS_PER_BATCH)
+def key_type(texts: DataFrame) -> str:
+    return texts.schema["_key"].dataType.simpleString()
 
 
 def as_lists(arrays: list[np.ndarray]) -> pa.ListArray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import DRAW_BITS, draw
+from callweave.llm.common import DRAW_BITS, draw, short_batches
 from callweave.session import settle
 
 UNDETERMINED = "und"
@@ -19,7 +19,7 @@ LONGEST_GRAM = 5
 # what a missing count stands for
 SMOOTHING = 0.5
 # the words of a worker that are kept with their scores before it starts anew
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 @dataclass
@@ -134,7 +134,7 @@ def identify_language(calls: DataFrame, model: LanguageModel, key: str = "call_i
 
     predict.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     judged = F.arrow_udf(predict, "struct<language: string, score: double>")
-    return calls.select(F.col(key), judged(F.col(text)).alias("_judged")).select(key, "_judged.*")
+    return short_batches(calls).select(F.col(key), judged(F.col(text)).alias("_judged")).select(key, "_judged.*")
 
 
 class WordScores(dict):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import WORD
+from callweave.llm.common import WORD, short_batches
 
 # Most characters in repeated n-grams of a length, in percent of all characters in words.
 NGRAM_LIMITS = {5: 30, 7: 28, 10: 25}
@@ -60,13 +60,13 @@ def assess_quality(
     kept (not failed, and no share above its limit). Other columns are not read. A
     null text has no words and is not kept; an empty table gives an empty result.
     """
-    counted = calls.select(F.col(key), repetition(F.col(text), ngram_limits or NGRAM_LIMITS).alias("_counts"))
+    counted = short_batches(calls).select(F.col(key), repetition(F.col(text), ngram_limits or NGRAM_LIMITS).alias("_counts"))
     return counted.select(key, "_counts.*", *(c.alias(n) for n, c in verdict("_counts", ngram_limits).items()))
 
 
 def keep_good(calls: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text is kept, with all their columns."""
-    counted = calls.withColumn("_counts", repetition(F.col(text)))
+    counted = short_batches(calls).withColumn("_counts", repetition(F.col(text)))
     return counted.where(verdict("_counts")["kept"]).drop("_counts")
 
 

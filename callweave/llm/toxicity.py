@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import DRAW_BITS, WORD, draw
+from callweave.llm.common import DRAW_BITS, WORD, draw, short_batches
 from callweave.session import settle
 
 # Shortest and longest word beginnings that may be entries, in letters.
@@ -27,7 +27,7 @@ WINDOW_WORDS = 64
 QUOTE_CHARS = 300
 # Opening marks and what closes them.
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’"}
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 THRESHOLD = 0.3
 
 
@@ -73,6 +73,8 @@ def fit_toxicity(
     every text alike.
     """
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"), draw(key, seed).alias("_draw"))
+    # labels of other tables' transcripts say nothing about these
+    known = settle(known.join(calls.where(F.col(text).isNotNull()).select(F.col(key).alias("_key")), "_key", "left_semi"))
     sizes = {r[0]: r[1] for r in known.groupBy("_label").agg(F.count("*")).collect()}
     if not all(sizes.get(v) for v in (0, 1)):
         rate = 0.0 if not sizes else float(1 in sizes)
@@ -198,7 +200,7 @@ def _features(sample: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def mentions(calls: DataFrame, text: Column, model: ToxicityModel) -> Column:
     """Struct of features, score, n_hits and n_quoted of a text."""
-    shared = calls.sparkSession.sparkContext.broadcast(model)
+    shared = short_batches(calls).sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = ContextReader(shared.value)

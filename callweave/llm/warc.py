@@ -16,6 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.llm.common import short_batches
 from callweave.session import scratch_path, settle
 
 # An archive is closed when it has this many bytes.
@@ -79,7 +80,7 @@ def write_captures(captures: DataFrame, folder: str, key: str, url: str, html: s
     A task names its archives anew at each attempt, and only those of the attempt
     that Spark accepts get into the result, so the result must be settled.
     """
-    rows = captures.select(F.col(key).cast("string"), F.col(url).cast("string"), F.col(html).cast("binary"))
+    rows = short_batches(captures).select(F.col(key).cast("string"), F.col(url).cast("string"), F.col(html).cast("binary"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = None

@@ -121,3 +121,10 @@ def test_components(spark):
     assert {tuple(r) for r in first.collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8), (20, 8)}
     more = spark.createDataFrame([(3, 20), (50, 51), (2, 3)], "_a bigint, _b bigint")
     assert {r[0]: r[1] for r in jaccard.components(more, first).collect()} == {**{i: 1 for i in (1, 2, 3, 8, 9, 20)}, 50: 50, 51: 50}
+
+
+def test_keys_may_be_names(spark):
+    texts = corpus(6)
+    want = brute({f"call-{i}": t for i, t in texts.items()})
+    df = spark.createDataFrame([(f"call-{i}", t) for i, t in texts.items()], "call_id string, text string")
+    assert linked(df) == want

@@ -87,7 +87,9 @@ def test_run_equals_the_stages(spark, stages):
 def test_stages_on_odd_documents(spark):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     good = " ".join(f"w{i}" for i in range(80))
-    odd = [(1, None, None, None, None), (2, "", "en", None, 0), (None, good, None, None, 1), (3, good, "en", "s", 1), (3, good, "en", "s", 1), (4, good + " end", "en", "s", 1)]
+    # ids without labels
+    odd = [(10**6, None, None, None, None), (10**6 + 1, "", "en", None, 0), (None, good, None, None, 1)]
+    odd += [(10**6 + 2, good, "en", "s", 1)] * 2 + [(10**6 + 3, good + " end", "en", "s", 1)]
     for table in (odd, []):
         docs = spark.createDataFrame(table, schema)
         for _, stage in corpus_pipeline.STAGES:
