@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -28,24 +29,17 @@ def samples(spark, calls):
     return spark.createDataFrame(rows, "call_id string, channel int, idx bigint, v double")
 
 
-def scan_regions(speech, n, cfg):
-    """Speech regions in frames by one scan over all frames."""
-    out, start, quiet = [], None, 0
-    for i in range(n):
-        if i in speech:
-            start, quiet = (i if start is None else start), 0
-        elif start is not None:
-            quiet += 1
-            if quiet >= cfg.min_silence_frames:
-                out.append((start, i - quiet + 1))
-                start, quiet = None, 0
-    if start is not None:
-        out.append((start, n))
-    return [(a, b) for a, b in out if b - a >= cfg.min_speech_frames]
+def regions_by_pattern(speech, n, cfg):
+    """Speech regions in frames, found in the call written as a text of 1 (speech) and 0."""
+    text = "".join("1" if i in speech else "0" for i in range(n))
+    gap = cfg.min_silence_frames - 1
+    # silence that is too short to end a region, at the end of the call as well
+    found = re.finditer(rf"1(?:0{{0,{gap}}}1)*(?:0{{0,{gap}}}$)?", text)
+    return [m.span() for m in found if m.end() - m.start() >= cfg.min_speech_frames]
 
 
 @pytest.mark.parametrize("size", [5, 100_000])
-def test_speech_regions_equal_a_scan(spark, size):
+def test_speech_regions_equal_a_pattern(spark, size):
     rnd, cfg = random.Random(1), VadConfig()
     speech, totals = {}, {}
     for call in range(40):
@@ -60,7 +54,7 @@ def test_speech_regions_equal_a_scan(spark, size):
     calls = spark.createDataFrame(list(totals.items()), "call_id int, n_frames bigint")
     got = {(r.call_id, r.start_ms, r.end_ms) for r in signal.speech_regions(frames, calls, cfg, size).collect()}
     want = {
-        (c, max(0, a * 30 - 100), min(totals[c] * 30, b * 30 + 100)) for c in speech for a, b in scan_regions(speech[c], totals[c], cfg)
+        (c, max(0, a * 30 - 100), min(totals[c] * 30, b * 30 + 100)) for c in speech for a, b in regions_by_pattern(speech[c], totals[c], cfg)
     }
     assert got == want
 
@@ -90,29 +84,29 @@ def test_partial_last_frame_is_dropped(spark):
     assert sorted(r.frame for r in signal.frame_rms_db(df, 100).collect()) == [0, 1]
 
 
-def plan_by_loop(duration, regions, cfg):
-    gaps = [(a[1], b[0]) for a, b in zip(regions, regions[1:]) if b[0] >= a[1]]
-    if duration <= cfg.chunk_ms:
-        return [(0.0, duration)]
-    out, at = [], 0.0
-    while at < duration:
-        goal = min(at + cfg.chunk_ms, duration)
-        end = goal
-        if goal < duration and gaps:
-            best = min((min(max(goal, a), b) for a, b in gaps), key=lambda c: abs(c - goal))
-            end = best if abs(best - goal) <= cfg.chunk_ms / 4 else goal
-        if end <= at:
-            end = goal
-        out.append((at, end))
-        if end >= duration:
-            break
-        at = max(end - cfg.overlap_ms, at + 1)
-    return out
-
-
-def test_plan_chunks_equals_the_loop(spark):
+def follows_the_definition(chunks, duration, regions, cfg):
+    """Whether each chunk follows from the one before and from the silences."""
+    between = np.array([(a[1], b[0]) for a, b in zip(regions, regions[1:]) if a[1] <= b[0]]).reshape(-1, 2)
+    starts = [0.0, *(max(e - cfg.overlap_ms, s + 1) for s, e in chunks[:-1])]
+    if [s for s, _ in chunks] != pytest.approx(starts) or chunks[-1][1] != duration:
+        return False
+    for start, end in chunks:
+        aim = start + cfg.chunk_ms
+        moments = np.clip(aim, between[:, 0], between[:, 1])
+        near = moments[np.abs(moments - aim) <= cfg.chunk_ms / 4]
+        ends = [duration] if aim >= duration else [aim]
+        if aim < duration and len(near):
+            off = np.abs(near - aim).min()
+            # two silences may be equally near
+            ends = [m if m > start else aim for m in near if abs(abs(m - aim) - off) < 1e-9]
+        if min(abs(end - e) for e in ends) > 1e-6 or (end == duration) != (end == chunks[-1][1]):
+            return False
+    return True
+
+
+def test_plan_chunks_follows_its_definition(spark):
     rnd, cfg = random.Random(2), ChunkConfig(chunk_ms=1000, overlap_ms=100)
-    calls, regions, want = [], [], set()
+    calls, regions = {}, {}
     for c in range(60):
         at, mine = 0.0, []
         for _ in range(rnd.randint(0, 30)):
@@ -120,16 +114,27 @@ def test_plan_chunks_equals_the_loop(spark):
             length = rnd.choice([20, 150, 900, 4000])
             mine.append((at, at + length))
             at += length - rnd.choice([0, 0, 10])
-        duration = at + rnd.choice([1.0, 500.0])
-        calls.append((c, duration))
-        regions += [(c, a, b) for a, b in mine]
-        want |= {(c, i, round(a, 6), round(b, 6)) for i, (a, b) in enumerate(plan_by_loop(duration, mine, cfg))}
-    got = signal.plan_chunks(
-        spark.createDataFrame(calls, "call_id int, duration_ms double"),
-        spark.createDataFrame(regions, "call_id int, start_ms double, end_ms double"),
+        calls[c], regions[c] = at + rnd.choice([1.0, 500.0]), mine
+    rows = signal.plan_chunks(
+        spark.createDataFrame(list(calls.items()), "call_id int, duration_ms double"),
+        spark.createDataFrame([(c, a, b) for c, rs in regions.items() for a, b in rs], "call_id int, start_ms double, end_ms double"),
         cfg,
-    ).collect()
-    assert {(r.call_id, r.chunk_idx, round(r.start_ms, 6), round(r.end_ms, 6)) for r in got} == want
+    ).orderBy("call_id", "chunk_idx").collect()
+    for c, duration in calls.items():
+        mine = [r for r in rows if r.call_id == c]
+        assert [r.chunk_idx for r in mine] == list(range(len(mine)))
+        assert follows_the_definition([(r.start_ms, r.end_ms) for r in mine], duration, regions[c], cfg)
+
+
+def test_frames_of_a_whole_number_of_samples(spark):
+    """At 22 050 Hz a frame of 30 ms has 661 samples; ten minutes later its time must not be half a second off."""
+    rate, n = 22_050, 661
+    frame = 20_000
+    one = spark.createDataFrame([("c", frame + i) for i in range(40)], "call_id string, frame bigint")
+    totals = spark.createDataFrame([("c", frame + 100)], "call_id string, n_frames bigint")
+    cfg = VadConfig(frame_ms=n * 1000 / rate, pad_ms=0)
+    start = signal.speech_regions(one, totals, cfg).first().start_ms
+    assert start == pytest.approx(frame * n * 1000 / rate) and abs(start - frame * 30) > 400
 
 
 def test_merge_drop_split_order(spark):
