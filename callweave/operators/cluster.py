@@ -24,35 +24,39 @@ SEGMENT_BLOCK = 1 << 16
 
 
 def _merge_down(sums: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
-    """Group number of every given cluster after merging down to k groups."""
-    n, sums = len(sizes), sums.copy()
-    group = np.arange(n)
-    if n <= k:
-        return group
-    weight = sizes.astype(float)
-    # rounded as in the distributed rounds, so that ties are the same ties
-    dist = np.round(1.0 - (sums @ sums.T) / np.outer(weight, weight), DIGITS)
-    np.fill_diagonal(dist, np.inf)
-    near = dist.argmin(axis=1)
-    best = dist[group, near]
-    for _ in range(n - k):
-        i = int(best.argmin())
-        j = int(near[i])
-        i, j = min(i, j), max(i, j)
-        sums[i] += sums[j]
-        weight[i] += weight[j]
-        row = np.where(np.isfinite(dist[i]), np.round(1.0 - (sums @ sums[i]) / (weight * weight[i]), DIGITS), np.inf)
-        row[[i, j]] = np.inf
-        dist[i], dist[:, i] = row, row
-        dist[j], dist[:, j] = np.inf, np.inf
-        best[j] = np.inf
-        group[group == j] = i
-        stale = np.flatnonzero((near == i) | (near == j) | (np.arange(n) == i))
-        stale = stale[np.isfinite(best[stale]) | (stale == i)]
-        near[stale] = dist[stale].argmin(axis=1)
-        best[stale] = dist[stale, near[stale]]
-        closer = row < best
-        near[closer], best[closer] = i, row[closer]
+    """Group number of every given cluster after merging down to k groups.
+
+    The merges are those of `_round`, made on one matrix: all pairs that are each
+    other's nearest merge, but for the k-1 farthest; the closest never waits.
+    """
+    n, sums, weight = len(sizes), sums.copy(), sizes.astype(float)
+    each = np.arange(n)
+    group, dead = each.copy(), np.zeros(n, bool)
+
+    def distances(rows: np.ndarray) -> np.ndarray:
+        d = np.round(1.0 - (sums[rows] @ sums.T) / np.outer(weight[rows], weight), DIGITS)
+        d[:, dead] = np.inf
+        d[np.arange(len(rows)), rows] = np.inf
+        return d
+
+    dist = distances(each)
+    while n - dead.sum() > k:
+        near = dist.argmin(axis=1)
+        best = dist[each, near]
+        pairs = np.flatnonzero((near[near] == each) & (each < near) & np.isfinite(best))
+        pairs = pairs[np.lexsort((pairs, best[pairs]))]
+        # in order of distance: the closest, then all but the last k-1
+        merged = pairs[: max(1, len(pairs) - k + 1)]
+        gone = near[merged]
+        np.add.at(sums, merged, sums[gone])
+        weight[merged] += weight[gone]
+        into = each.copy()
+        into[gone] = merged
+        group = into[group]
+        dead[gone] = True
+        dist[gone], dist[:, gone] = np.inf, np.inf
+        fresh = distances(merged)
+        dist[merged], dist[:, merged] = fresh, fresh.T
     return group
 
 

@@ -326,3 +326,19 @@ def test_assignment_methods_agree():
         m = rnd.integers(0, 50, shape).astype(float)
         wide = m if shape[0] <= shape[1] else m.T
         assert der._best_total(m) == pytest.approx(der._assignment_by_potentials(wide))
+
+
+def test_clustering_does_not_depend_on_the_limit(spark):
+    """Ties included: few distinct vectors, so that many distances are equal."""
+    rnd = random.Random(8)
+    few = [[rnd.choice([0.0, 1.0]) for _ in range(4)] for _ in range(9)]
+    rows = [(c, i, rnd.choice(few)) for c in range(4) for i in range(rnd.randint(30, 60))]
+    df = spark.createDataFrame(rows, "call_id int, seg_idx bigint, embedding array<double>")
+
+    def groups(limit):
+        found = {}
+        for r in cluster.cluster_speakers(df, 2, limit).collect():
+            found.setdefault((r.call_id, r.cluster), set()).add(r.seg_idx)
+        return sorted((c, sorted(v)) for (c, _), v in found.items())
+
+    assert groups(20) == groups(4000)
