@@ -70,7 +70,8 @@ def mixing_rules(
     named = calls.select(
         F.col(key).alias("_key"), F.col(size).alias("_size"), *source_key(source), _chance(key, seed, priority).alias("_chance")
     )
-    sizes = settle(named.groupBy(SOURCE_KEY).agg(F.sum("_size").alias("source_size"), F.count("*").alias("_n")))
+    # tables of one row per source are kept in one file, so that their size is seen for what it is
+    sizes = settle(named.groupBy(SOURCE_KEY).agg(F.sum("_size").alias("source_size"), F.count("*").alias("_n")).repartition(1))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = (
         source_targets(sizes, weights, max_copies)
@@ -80,7 +81,7 @@ def mixing_rules(
         .withColumn("_open", F.col("target") - F.col("whole") * F.col("source_size"))
         .join(sizes.select(*SOURCE_KEY, F.ceil(F.col("_n") / rows_per_block).alias("_blocks")), SOURCE_KEY)
     )
-    targets = settle(targets)
+    targets = settle(targets.repartition(1))
 
     rows = named.join(targets.where("odds > 0"), SOURCE_KEY).withColumn("_block", F.floor(F.col("_chance") * F.col("_blocks")))
     block = [*SOURCE_KEY, "_block"]
@@ -104,7 +105,7 @@ def mixing_rules(
     cuts = ranked.where(fits).groupBy(SOURCE_KEY).agg(
         F.max(F.struct("_rank", "_key")).alias("_cut"), F.max("_sum").alias("_got")
     )
-    cuts = settle(cuts)
+    cuts = settle(cuts.repartition(1))
     gap = F.col("_open") - F.coalesce(F.col("_got"), F.lit(0))
     off = F.abs(gap - F.col("_size"))
     extras = (
@@ -114,7 +115,7 @@ def mixing_rules(
         .groupBy(SOURCE_KEY)
         .agg(F.min(F.struct(off.alias("_off"), "_rank", "_key")).alias("_extra"))
     )
-    return (
+    return settle(
         targets.join(cuts, SOURCE_KEY, "left")
         .join(extras, SOURCE_KEY, "left")
         .select(
@@ -122,6 +123,7 @@ def mixing_rules(
             F.col("_cut._rank").alias("cut_rank"), F.col("_cut._key").alias("cut_key"),
             F.col("_extra._rank").alias("extra_rank"), F.col("_extra._key").alias("extra_key"),
         )
+        .repartition(1)
     )
 
 

@@ -46,7 +46,7 @@ def interleave_shards(
             draw(key, seed).alias("_draw"),
         )
     )
-    sources = settle(rows.groupBy(SOURCE_KEY).agg(F.count("*").alias("_n")))
+    sources = settle(rows.groupBy(SOURCE_KEY).agg(F.count("*").alias("_n")).repartition(1))
     everything = Window.partitionBy(F.lit(0))
     sources = sources.withColumns(
         {"_total": F.sum("_n").over(everything), "_blocks": F.ceil(F.col("_n") / rows_per_block)}
