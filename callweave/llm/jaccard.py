@@ -55,15 +55,18 @@ def link_near_copies(calls: DataFrame, key: str = "call_id", text: str = "text")
 
     Returns `key`, n_shingles and component_id, the smallest key that links reach.
     Null and empty texts have no shingle and are their own component, as are rows
-    without key (component_id null). Other columns are not read. An empty table
-    gives an empty result.
+    without key (component_id null) and rows whose key other rows have for another
+    text. Equal rows get equal results. Other columns are not read. An empty table gives an
+    empty result.
     """
-    spark = calls.sparkSession
     texts = short_batches(calls).select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
     features = settle(_features(texts, word_levels(texts)))
-    described = features.where("_key IS NOT NULL AND _n > 0")
+    # a key of different texts names none of them
+    torn = features.groupBy("_key").agg(F.min("_set").alias("_low"), F.max("_set").alias("_high")).where("_low < _high")
+    features = features.join(settle(torn.select("_key", F.lit(True).alias("_torn")).repartition(1)), "_key", "left")
+    described = features.where("_key IS NOT NULL AND _n > 0 AND _torn IS NULL")
     copies = settle(
-        described.groupBy("_set", "_n").agg(F.min("_key").alias("_first"), F.max("_key").alias("_last"), F.count("*").alias("_copies")).where("_copies > 1")
+        described.groupBy("_set", "_n").agg(F.min("_key").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1").drop("_copies")
     )
     nodes = described.join(copies, ["_set", "_n"], "left").where("_first IS NULL OR _first = _key")
     sizes = settle(nodes.groupBy("_key").agg(F.max("_n").alias("_n")))
@@ -74,14 +77,13 @@ def link_near_copies(calls: DataFrame, key: str = "call_id", text: str = "text")
     products = shared.where("_hub < _node").groupBy(F.col("_hub").alias("_a"), F.col("_node").alias("_b")).agg(F.count("*").alias("_c"))
     tested = settle(possible(products, sizes).select("_a", "_b"))
     labels = components(settle(linked(texts, tested, sizes)), None)
-
     labels = components(settle(cross_links(texts, shared, labels, sizes)), labels)
 
     # the smallest key of a node is its own, since copies are named by their first
-    found = features.select("_key", "_n", "_set").join(copies.select("_set", "_n", "_first"), ["_set", "_n"], "left")
-    node = F.coalesce("_first", "_key")
+    found = features.select("_key", "_n", "_set", "_torn").join(copies, ["_set", "_n"], "left")
+    named = (F.col("_n") > 0) & F.col("_torn").isNull()
     return (
-        found.withColumn("_node", F.when(F.col("_n") > 0, node).otherwise(F.col("_key")))
+        found.withColumn("_node", F.when(named, F.coalesce("_first", "_key")).otherwise(F.col("_key")))
         .join(labels, F.col("_node") == F.col("_member"), "left")
         .select(
             F.col("_key").alias(key),

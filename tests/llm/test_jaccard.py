@@ -128,3 +128,9 @@ def test_keys_may_be_names(spark):
     want = brute({f"call-{i}": t for i, t in texts.items()})
     df = spark.createDataFrame([(f"call-{i}", t) for i, t in texts.items()], "call_id string, text string")
     assert linked(df) == want
+
+
+def test_a_key_of_different_texts_is_not_linked(spark, calls):
+    rows = [(7, "a b c d e"), (7, "quite another text than that"), (8, "a b c d e"), (9, "a b c d e"), (10, None), (10, "a b c d e")]
+    out = sorted((r.call_id, r.n_shingles, r.component_id) for r in jaccard.link_near_copies(calls(rows)).collect())
+    assert out == [(7, 1, 7), (7, 1, 7), (8, 1, 8), (9, 1, 8), (10, 0, 10), (10, 1, 10)]
