@@ -143,9 +143,16 @@ class WordScores(dict):
     letters = re.compile(r"[^\W\d_]+")
 
     def __init__(self, model: LanguageModel):
-        super().__init__(model.words)
-        self.model, self.used = model, len(model.scores)
-        self.rows = np.concatenate([model.scores, np.zeros((1024, len(model.languages)))])
+        super().__init__()
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        """Back to the known words."""
+        self.clear()
+        self.update(self.model.words)
+        self.used = len(self.model.scores)
+        self.rows = np.concatenate([self.model.scores, np.zeros((1024, len(self.model.languages)))])
 
     def __missing__(self, word: str) -> int:
         if self.used == len(self.rows):
@@ -170,7 +177,7 @@ class WordScores(dict):
         if not words or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
         if self.used - len(self.model.scores) > MEMO_WORDS:
-            self.__init__(self.model)
+            self.forget()
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         total = self.rows[rows].sum(axis=0)
         best = int(total.argmax())

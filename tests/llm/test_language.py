@@ -50,6 +50,10 @@ def test_memo_can_be_emptied(spark, calls, monkeypatch):
     scores = language.WordScores(model)
     texts = [f"neu{i} wort{i} der hund" for i in range(50)]
     assert [scores.judge(t)[0] for t in texts] == ["de"] * 50
+    # words that were met before the memory was emptied have no rows any more
+    fresh = language.WordScores(model)
+    many = " ".join(f"wort{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghi'[i // 1000]}" for i in range(5000))
+    assert len({fresh.judge(many) for _ in range(3)}) == 1
 
 
 def test_held_out_accuracy(spark):
