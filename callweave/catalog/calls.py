@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from callweave import config as C
-from callweave.catalog.base import BARE, SUPPORT, TURNS, WORDS, clock, register, scored, with_ctes
+from callweave.catalog.base import BARE, SUPPORT, TURNS, WORDS, register, scored, with_ctes
 from callweave.functions import text as tx
 from callweave.operators import agents, entities, features, rules, sentiment
 from callweave.plans import jobs

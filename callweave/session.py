@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Runtime re-planning carries the joins of this library: it turns small sides
 # into broadcasts after measuring them and splits skewed join partitions.

@@ -7,7 +7,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from callweave.config import ChunkConfig, SegmentConfig, VadConfig
 from callweave.operators import align, cluster, der, rules, signal, wer
