@@ -23,7 +23,7 @@ INLINE = set(
 )
 # never part of the main text
 BOILERPLATE = set(
-    "head script style noscript template nav header footer aside form button select textarea input option iframe object embed "
+    "head script style noscript template nav header footer aside button select textarea input option iframe object embed "
     "svg canvas audio video map menu dialog title".split()
 )
 # words in class, id or role that mark what is around the text
@@ -33,6 +33,8 @@ MARKS = set(
     "related replies respond search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget banner "
     "complementary contentinfo alert dialog".split()
 )
+# of the largest density sum below a marked element or a form, what the rest of the page has at least if it is left out
+LEAST_REST = 0.25
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # an open element of this name ends when one of these begins
 CLOSES = {
@@ -54,7 +56,9 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+# a name and its value, which is read over as a whole, so that nothing inside it is taken for a name
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^\s>]*+))?+")
+_MARK_PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])\d+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -65,6 +69,8 @@ class Node:
     name: str
     parent: Node | None = None
     dropped: bool = False
+    # the mark, or form, for which the element is left out unless it holds the text
+    doubt: str = ""
     parts: list = field(default_factory=list)
     chars: int = 0
     tags: int = 0
@@ -73,6 +79,10 @@ class Node:
     density: float = 0.0
     sum: float = 0.0
 
+    @property
+    def out(self) -> bool:
+        return self.dropped or self.doubt != ""
+
 
 def extract_main_text(captures: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """The article of each web capture, as blocks in page order joined by line feeds.
@@ -83,8 +93,10 @@ def extract_main_text(captures: DataFrame, key: str = "page_id", url: str = "url
     densities of an element's children marks the element that holds the text; the
     threshold is the least density on the path from that element up to the body.
     The text is the outermost article on the path if there is one, else the topmost
-    element with a heading or with another child as dense as the threshold. Elements that can't be text (menus, headers, footers, sidebars, forms,
-    scripts and those whose class, id or role says so) are cut out before.
+    element with a heading or with another child as dense as the threshold. Elements that can't be text (menus, headers, footers,
+    sidebars, scripts, hidden ones) are cut out before. Forms and elements with a
+    class, id or role that only says what is around a text (`ad`, `cookie-notice`, not
+    `has-sidebar`) are cut out too, unless the page has hardly any text without them.
 
     Returns `key`, `url` and text ('' if there is none). Other columns are not
     read. Null or empty html gives ''. An empty table gives an empty result.
@@ -101,6 +113,7 @@ def extract_main_text(captures: DataFrame, key: str = "page_id", url: str = "url
 
 def main_text(page: str) -> str:
     body = parse(page)
+    clear_doubts(body)
     measure(body)
     return "\n".join(blocks(main_element(body)))
 
@@ -132,7 +145,9 @@ def parse(page: str) -> Node:
             continue
         if name in CLOSERS:
             node = imply_ends(node, name)
-        child = Node(name, node, node.dropped or is_boilerplate(name, token[3]))
+        child = Node(name, node, node.dropped or name in BOILERPLATE)
+        if not child.dropped:
+            child.dropped, child.doubt = judge(name, token[3])
         node.parts.append(child)
         if name in RAW:
             # its content is no markup: it ends at its own end tag only
@@ -169,30 +184,77 @@ def imply_ends(node: Node, name: str) -> Node:
     return node
 
 
-def is_boilerplate(name: str, attributes: str) -> bool:
-    if name in BOILERPLATE:
-        return True
+def judge(name: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element is hidden, and the mark, or form, that speaks against its text."""
+    given: dict[str, str] = {}
     for attribute, value in _ATTRIBUTE.findall(attributes) if attributes else ():
-        attribute, value = attribute.lower(), value.strip("\"'").lower()
-        if attribute == "hidden" or (attribute == "aria-hidden" and value == "true"):
-            return True
-        if attribute in ("class", "id", "role") and not MARKS.isdisjoint(re.split(r"[^a-z0-9]+|(?<=[a-z])\d+", value)):
-            return name not in ("article", "main", "body")
-    return False
-
-
-def measure(body: Node) -> None:
-    """Densities of all elements, from the leaves up."""
-    order, todo = [], [body]
+        # of two attributes with one name the first counts
+        given.setdefault(attribute.lower(), entities.unescape(value.strip(value[:1]) if value[:1] in ("'", '"') else value).lower())
+    if "hidden" in given or given.get("aria-hidden", "").strip() == "true":
+        return True, ""
+    if name not in ("article", "main", "body"):
+        for attribute in ("class", "id", "role"):
+            for token in given.get(attribute, "").split():
+                parts = [p for p in _MARK_PARTS.split(token) if p]
+                # one word of another kind makes it a name for something else: no-header, ad-free, page-with-menu
+                if parts and MARKS.issuperset(parts):
+                    return False, token
+    return False, "form" if name == "form" else ""
+
+
+def clear_doubts(body: Node) -> None:
+    """Keeps doubted elements that hold the text after all: a page in a form, or in a box with the name of a sidebar.
+
+    What each of them holds is measured apart from the rest and from each other.
+    The one with the largest density sum is kept, with the doubted ones around it
+    from the outermost on, while the rest has less than LEAST_REST of that sum.
+    Others with the same name and mark are kept with it.
+    """
+    doubted, todo = [], [body]
     while todo:
         node = todo.pop()
-        order.append(node)
+        if node.doubt:
+            doubted.append(node)
         todo.extend(p for p in node.parts if isinstance(p, Node) and not p.dropped)
+    if not doubted:
+        return
+    held = {}
+    for top in (body, *doubted):
+        measure(top)
+        held[top] = max(densest(top).sum, top.density)
+    most = max(doubted, key=held.__getitem__)
+    around, node = [], most
+    while node is not None:
+        if node.doubt:
+            around.append(node)
+        node = node.parent
+    rest, kept = held[body], set()
+    for node in reversed(around):
+        if rest >= LEAST_REST * held[most]:
+            break
+        rest = max(rest, held[node])
+        kept.add((node.name, node.doubt))
+        node.doubt = ""
+    for node in doubted:
+        # another form is another form, but what bears one mark is of one kind
+        if node.doubt != "form" and (node.name, node.doubt) in kept:
+            node.doubt = ""
+
+
+def measure(top: Node) -> None:
+    """Densities of an element and all below it, from the leaves up."""
+    order, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(p for p in node.parts if isinstance(p, Node) and not p.out)
     for node in reversed(order):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.sum = 0.0
         for part in node.parts:
             if isinstance(part, str):
                 node.chars += len("".join(part.split()))
-            elif not part.dropped:
+            elif not part.out:
                 node.chars += part.chars
                 node.tags += part.tags + 1
                 node.link_chars += part.link_chars
@@ -205,14 +267,20 @@ def measure(body: Node) -> None:
         node.density = node.chars / max(1, node.tags) * plain * (1 - node.link_tags / max(1, node.tags + 1))
 
 
-def main_element(body: Node) -> Node:
-    """The element with the largest sum, widened along its path to the body by the path's threshold."""
-    best, todo = body, [body]
+def densest(top: Node) -> Node:
+    """The element with the largest sum."""
+    best, todo = top, [top]
     while todo:
         node = todo.pop()
         if node.sum > best.sum:
             best = node
-        todo.extend(p for p in node.parts if isinstance(p, Node) and not p.dropped)
+        todo.extend(p for p in node.parts if isinstance(p, Node) and not p.out)
+    return best
+
+
+def main_element(body: Node) -> Node:
+    """The element with the largest sum, widened along its path to the body by the path's threshold."""
+    best = densest(body)
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
@@ -222,7 +290,7 @@ def main_element(body: Node) -> Node:
         return named[-1]
     threshold = min(n.density for n in path)
     for node in reversed(path):
-        others = [p for p in node.parts if isinstance(p, Node) and not p.dropped and p not in path]
+        others = [p for p in node.parts if isinstance(p, Node) and not p.out and p not in path]
         heading = node.parent is not None and any(p.name in HEADINGS and p.chars for p in others)
         if node is best or heading or any(p.chars and p.density >= threshold and p.name not in INLINE for p in others):
             return node
@@ -246,7 +314,7 @@ def blocks(top: Node) -> list[str]:
             flush()
         elif isinstance(part, str):
             current.append(part)
-        elif not part.dropped:
+        elif not part.out:
             if part.name == "br":
                 current.append("\n")
             block = part.name not in INLINE

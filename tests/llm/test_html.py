@@ -36,6 +36,39 @@ def test_pages(page):
     assert main_text(page) == PAGES[page]
 
 
+TEXT = f"<p>{P}</p><p>{P}</p>"
+BOTH = f"{P.strip()}\n{P.strip()}"
+KEPT = {
+    # words inside values are no attributes
+    f'<div style="overflow:hidden">{TEXT}</div>': BOTH,
+    f'<div><p title="the hidden coast">{P}</p><p>{P}</p></div>': BOTH,
+    f'<div><p>go to <a href="/hidden-bay">the bay</a></p>{TEXT}</div>': f"go to the bay\n{BOTH}",
+    f'<div><p>go to <a href="/x?id=ad">the bay</a></p>{TEXT}</div>': f"go to the bay\n{BOTH}",
+    f'<div data-id="menu" data-class=ad data-hidden aria-hidden="false">{TEXT}</div>': BOTH,
+    f'<div x="1" class="a" class="ad">{TEXT}</div>': BOTH,
+    # a mark in a longer name
+    f'<div class="page has-sidebar">{TEXT}</div>': BOTH,
+    f'<div class="no-header"><p>{P}</p></div><div><p>{P}</p></div>': BOTH,
+    # marked, but the page has no other text
+    f'<form id="aspnetForm"><div class="menu">{LINKS}</div><div>{TEXT}<form>Your name</form></div></form>': BOTH,
+    f'<div class="sidebar"><form><div id="widget">{TEXT}</div></form></div><p>by us</p>': BOTH,
+    f'<div class="comment"><p>{P}</p></div><div class="comment"><p>{P}</p></div><div class="ad">buy</div>': BOTH,
+    # still cut out
+    f'<p HIDDEN>no</p><p class="x" hidden="">no</p><p aria-hidden=true>no</p><p class=ad>no</p><div>{TEXT}</div>': BOTH,
+    f'<form><div class="comments">{TEXT}{TEXT}</div><div>{TEXT}</div></form>': BOTH,
+    f'<div>{TEXT}<div class="x ad-banner2"><p>{P}</p></div></div>': BOTH,
+}
+
+
+@pytest.mark.parametrize("page", KEPT)
+def test_attributes_and_marks(page):
+    assert main_text(page) == KEPT[page]
+
+
+def test_nested_marks_end():
+    assert main_text("<form>" * 1000 + '<div class="ad">' * 1000 + P) == P.strip()
+
+
 @pytest.mark.parametrize("page", ["<div>" * 50_000, "<p>a" * 50_000, '<a "' * 50_000, "</b>" * 50_000 + "<b>" * 50_000, "<" * 50_000, "<!--" * 20_000])
 def test_odd_pages_end(page):
     main_text(page)
