@@ -21,6 +21,8 @@ LEAST_TEXTS, LEAST_RATIO = 3, 5.0
 LEXICON_SIZE = 400
 # Letters from which an entry is also found with 1 and 2 edits.
 EDIT_LENGTHS = (5, 9)
+# Entries of so many letters are found with one edit as well, as are stems of any length.
+SHORT_LENGTH = 4
 # What a misspelt and a quoted mention count, as parts of a plain one.
 MISSPELT, QUOTED = 0.7, 0.25
 WINDOW_WORDS = 64
@@ -39,10 +41,13 @@ class Entry:
     stem: bool
     weight: float
     misspelt: float = 0.0
+    # near words that clean texts show to be words of their own
+    others: frozenset[str] = frozenset()
 
     @property
     def edits(self) -> int:
-        return 0 if self.stem else sum(len(self.term) >= n for n in EDIT_LENGTHS)
+        edits = sum(len(self.term) >= n for n in EDIT_LENGTHS)
+        return max(edits, 1) if len(self.term) >= SHORT_LENGTH else edits
 
 
 @dataclass
@@ -68,7 +73,8 @@ def fit_toxicity(
     Fitted on a bounded sample: about `texts_per_label` labelled transcripts of
     each label, drawn by key and then weighted as the whole. Words and word
     beginnings that toxic texts hold far more often become entries, so the driver
-    sees at most the entries and one row of features per sampled transcript. Rows
+    sees at most the entries, the sample's own words that are spelt almost like one,
+    and one row of features per sampled transcript. Rows
     without text, key or label teach nothing; with one label only, the model scores
     every text alike.
     """
@@ -157,7 +163,11 @@ def _lexicon(counts: DataFrame) -> list[Entry]:
 
 
 def _weigh_misspelt(counts: DataFrame, entries: list[Entry]) -> None:
-    """Near misses count less than the term, and little where clean texts hold them as well."""
+    """Near misses count less than the term, and little where clean texts hold them as well.
+
+    A near word that clean texts hold so often that it would count nothing by itself is
+    another word and no mention; it does not speak against the misspelt ones.
+    """
     shared = counts.sparkSession.sparkContext.broadcast(entries)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,16 +176,30 @@ def _weigh_misspelt(counts: DataFrame, entries: list[Entry]) -> None:
             hits = [automaton.find(w) for w in batch.column(0).to_pylist()]
             keep = [i for i, h in enumerate(hits) if h is not None and h[1] > 0]
             part = batch.take(pa.array(keep, pa.int64()))
+            found = [hits[i][0] for i in keep]
+            own = [
+                _misspelt_weight(shared.value[e].weight, a, c) == 0.0
+                for e, a, c in zip(found, part.column(1).to_pylist(), part.column(2).to_pylist())
+            ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([hits[i][0] for i in keep], pa.int32()), part.column(1), part.column(2)], names=["_entry", "_toxic", "_clean"]
+                [pa.array(found, pa.int32()), pa.array(own, pa.bool_()), *part.columns], names=["_entry", "_own", "_word", "_toxic", "_clean"]
             )
 
-    seen = counts.select("_word", "_toxic", "_clean").mapInArrow(near, "_entry int, _toxic bigint, _clean bigint")
-    sums = {r[0]: r[1:] for r in seen.groupBy("_entry").agg(F.sum("_toxic"), F.sum("_clean")).collect()}
+    seen = counts.select("_word", "_toxic", "_clean").mapInArrow(near, "_entry int, _own boolean, _word string, _toxic bigint, _clean bigint")
+    seen = settle(seen)
+    others: dict[int, set[str]] = {}
+    for i, word in seen.where("_own").select("_entry", "_word").collect():
+        others.setdefault(i, set()).add(word)
+    sums = {r[0]: r[1:] for r in seen.where("NOT _own").groupBy("_entry").agg(F.sum("_toxic"), F.sum("_clean")).collect()}
     for i, entry in enumerate(entries):
-        toxic, clean = sums.get(i, (0, 0))
-        doubt = np.log((clean + 1.0) / (toxic + 1.0))
-        entry.misspelt = MISSPELT * max(0.0, entry.weight - max(0.0, 2 * doubt))
+        entry.misspelt = MISSPELT * _misspelt_weight(entry.weight, *sums.get(i, (0, 0)))
+        entry.others = frozenset(others.get(i, ()))
+
+
+def _misspelt_weight(weight: float, toxic: int, clean: int) -> float:
+    """What is left of an entry's weight for words that so many toxic and clean texts hold."""
+    doubt = float(np.log((clean + 1.0) / (toxic + 1.0)))
+    return max(0.0, weight - max(0.0, 2 * doubt))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -224,7 +248,7 @@ def score_toxicity(calls: DataFrame, model: ToxicityModel, key: str = "call_id",
     """The probability that a whole transcript is labelled toxic.
 
     Each word runs through a Levenshtein automaton intersected with the trie of
-    the lexicon. A mention counts its entry's weight, less if it is misspelt, less
+    the lexicon, whole words and stems alike. A mention counts its entry's weight, less if it is misspelt, less
     if it stands in quotation marks that close within 300 characters of the same line. The
     features are the sum of all mentions, their density, the largest sum in a
     window of 64 words, the largest single mention and the length.
@@ -275,7 +299,7 @@ class LexiconAutomaton:
         self.states: list[frozenset] = [frozenset()]
         self.steps: list[dict[str, int]] = [{}]
         self.finals: list[tuple[int, int] | None] = [None]
-        self.stems: list[int | None] = [None]
+        self.stems: list[tuple[int, int] | None] = [None]
         self.start = self._number({(0, 0)})
 
     def _number(self, reached: set[tuple[int, int]]) -> int:
@@ -293,10 +317,12 @@ class LexiconAutomaton:
             self.numbers[state] = len(self.states)
             self.states.append(state)
             self.steps.append({})
-            whole = [(e, -self.entries[i].weight, i) for n, e in state for i in self.ends[n] if e <= self.entries[i].edits and not self.entries[i].stem]
-            self.finals.append((min(whole)[2], min(whole)[0]) if whole else None)
-            stems = [i for n, e in state if e == 0 for i in self.ends[n] if self.entries[i].stem]
-            self.stems.append(stems[0] if stems else None)
+            for stem, best in ((False, self.finals), (True, self.stems)):
+                ends = [
+                    (e, -self.entries[i].misspelt, -self.entries[i].weight, i)
+                    for n, e in state for i in self.ends[n] if e <= self.entries[i].edits and self.entries[i].stem == stem
+                ]
+                best.append((min(ends)[3], min(ends)[0]) if ends else None)
         return self.numbers[state]
 
     def _step(self, state: int, letter: str) -> int:
@@ -314,16 +340,24 @@ class LexiconAutomaton:
         return number
 
     def find(self, word: str) -> tuple[int, int] | None:
-        """Entry and edits of the best match of a whole word: exact, by its beginning, else by the fewest edits."""
+        """Entry and edits of the best match of a whole word: by the fewest edits, of equal ones by the whole word, then by its beginning.
+
+        A stem is met by any beginning of the word within its edits. A word of fewer letters than
+        a longer word can have after that many edits is none of the stem's.
+        """
         state, stem = self.start, None
         for letter in word:
             state = self.steps[state][letter] if letter in self.steps[state] else self._step(state, letter)
             if state == self.DEAD:
                 break
-            stem = self.stems[state] if self.stems[state] is not None else stem
+            met = self.stems[state]
+            if met is not None and met[1] and len(word) <= len(self.entries[met[0]].term) - met[1]:
+                met = None
+            if met is not None and (stem is None or met[1] < stem[1] or met[1] == stem[1] == 0):
+                stem = met
         final = self.finals[state]
-        if stem is not None and (final is None or final[1] > 0):
-            return stem, 0
+        if stem is not None and (final is None or final[1] > stem[1]):
+            return stem
         return final
 
 
@@ -341,8 +375,12 @@ class ContextReader(dict):
         self.weights = np.array([0.0, *plain, *near])
 
     def __missing__(self, word: str) -> int:
-        hit = self.automaton.find(self.edge.sub("", word))
-        kind = 0 if hit is None else 1 + hit[0] + (len(self.model.entries) if hit[1] else 0)
+        bare = self.edge.sub("", word)
+        hit, kind = self.automaton.find(bare), 0
+        if hit is not None and not hit[1]:
+            kind = 1 + hit[0]
+        elif hit is not None and bare not in self.model.entries[hit[0]].others and self.model.entries[hit[0]].misspelt > 0:
+            kind = 1 + hit[0] + len(self.model.entries)
         self[word] = kind
         return kind
 

@@ -40,6 +40,31 @@ def test_stems_and_exact_words_come_first():
     assert automaton.find("stupidity") is None and automaton.find("") is None
 
 
+def test_stems_are_found_misspelt():
+    automaton = LexiconAutomaton([Entry("idio", True, 3.0), Entry("scum", False, 2.0), Entry("disgustin", True, 1.0)])
+    for word in ("iddiot", "idoit", "idjots", "udiotic", "iddio"):
+        assert automaton.find(word) == (0, 1)
+    assert automaton.find("scuum") == (1, 1) and automaton.find("skum") == (1, 1) and automaton.find("scum") == (1, 0)
+    assert automaton.find("disgustin") == (2, 0) and automaton.find("dizgustng") == (2, 2)
+    # too short for a longer word with an edit
+    assert automaton.find("ido") is None and automaton.find("idio") == (0, 0)
+
+
+def test_stems_equal_the_distance_of_the_nearest_beginning():
+    rng = random.Random(3)
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(4, 9))) for _ in range(6)})
+    for term in terms:
+        automaton = LexiconAutomaton([entry := Entry(term, True, 1.0)])
+        for _ in range(500):
+            word = "".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))
+            near = min(distance(word[:k], term) for k in range(len(word) + 1))
+            found = automaton.find(word)
+            if near == 0 or (near <= entry.edits and len(word) > len(term) - near):
+                assert found == (0, near)
+            else:
+                assert found is None
+
+
 def test_quotation_counts_less():
     model = ToxicityModel([Entry("moron", False, 4.0, 2.0)])
     reader = toxicity.ContextReader(model)
@@ -89,6 +114,20 @@ def test_learned_lexicon_and_scores(spark, calls):
     assert toxicity.score_toxicity(calls([]), model).collect() == []
 
 
+def test_misspelt_forms_of_a_learned_stem(spark, calls):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abefghklmnprtu") for _ in range(rng.randint(5, 9))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(400)]
+    rows = [(i, t + (f" you {rng.choice(['idiot', 'idiots'])} and scum" if i % 5 == 0 else " slum")) for i, t in rows]
+    model = toxicity.fit_toxicity(calls(rows), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)], "call_id bigint, toxic int"))
+    assert ("scum", False) in {(e.term, e.stem) for e in model.entries} and any(e.stem and "idiots".startswith(e.term) for e in model.entries)
+    reader = toxicity.ContextReader(model)
+    for text in ("idoit", "an iddiot", "idjots", "scumm", "skum"):
+        assert reader.read(text)[2] == 1
+    # a word of clean texts is no misspelling of its neighbour
+    assert reader.read("slum")[2] == 0
+
+
 def test_one_label_or_none(spark, calls):
     df = calls([(1, "a"), (2, "b")])
     for labels, low in (([], True), ([(1, 0)], True), ([(1, 1), (2, 1)], False), ([(1, None)], True), ([(9, 1), (8, 0)], None)):
