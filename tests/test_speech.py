@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+from callweave.catalog import speech
 from callweave.config import ChunkConfig, SegmentConfig, VadConfig
 from callweave.operators import align, cluster, der, rules, signal, wer
 from callweave.plans import jobs
@@ -341,3 +342,10 @@ def test_clustering_does_not_depend_on_the_limit(spark):
         return sorted((c, sorted(v)) for (c, _), v in found.items())
 
     assert groups(20) == groups(4000)
+
+
+def test_corpus_error_rate_takes_in_every_call(spark):
+    sf = "/root/testdata/sf0.001"
+    row = speech.c7(spark, sf).first()
+    heard = wer.join_segments(speech.T.asr_segments(spark, sf)).where("trim(hypothesis) != ''")
+    assert row.num_calls == heard.count()
