@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, fingerprint, html, jaccard, language, mixing, quality, sharding, toxicity, warc
+from callweave.llm import bpe, divergence, fingerprint, html, jaccard, language, mixing, quality, sharding, toxicity, warc
 from callweave.llm.common import documents_as_calls
 from callweave.session import settle
 
@@ -95,6 +95,10 @@ def op10_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(documents_as_calls(spark, sf_dir)).withColumnRenamed("language", "lang")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
@@ -106,6 +110,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_weighted_samples": op9_weighted_samples,
     "op10_interleave_shards": op10_interleave_shards,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 DRAWN = "('0x' || substr(md5('0:' || doc_id::VARCHAR), 1, 13))::BIGINT"
@@ -219,4 +224,32 @@ placed AS (
 cut AS (SELECT *, place * 16 // total AS shard FROM placed)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, place - (shard * total + 15) // 16 AS slot, NULL::INT AS grown_shard
 FROM cut""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+words AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+vocab AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+cells AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, v, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS total
+  FROM groups JOIN kept USING (lang) JOIN vocab USING (lang) LEFT JOIN counts USING (lang, source, term)),
+shares AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS p FROM cells),
+whole AS (
+  SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+  FROM (SELECT lang, term, v, sum(n) AS n FROM cells GROUP BY ALL)),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares JOIN whole USING (lang, term) WHERE shares.n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }
