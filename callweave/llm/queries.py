@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, divergence, fingerprint, html, jaccard, language, mixing, quality, sharding, toxicity, warc
+from callweave.llm import bpe, divergence, fingerprint, html, jaccard, language, mixing, quality, repair, sharding, toxicity, warc
 from callweave.llm.common import documents_as_calls
 from callweave.session import settle
 
@@ -99,6 +99,33 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(documents_as_calls(spark, sf_dir)).withColumnRenamed("language", "lang")
 
 
+def damaged_turns(conversations: DataFrame) -> DataFrame:
+    """The rows of `conversations` as turns of calls, one in four of them damaged; nulls are one space."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind = F.crc32(key.cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    return conversations.select(
+        F.col("conv_id").alias("call_id"), F.col("turn").alias("turn_idx"),
+        F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("speaker"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(kind == 0, F.expr("CAST(array() AS ARRAY<INT>)")).when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    repaired = repair.repair_calls(damaged_turns(conversations), repair.Speakers("user", "assistant", "system"))
+    of_call = {"c": repaired.calls, "d": repair.digest_calls(repaired.turns)}
+    out = conversations.select("conv_id").distinct()
+    for name, part in of_call.items():
+        out = out.join(part.withColumnRenamed("call_id", f"_{name}"), F.col("conv_id").eqNullSafe(F.col(f"_{name}")), "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
@@ -111,6 +138,7 @@ QUERIES = {
     "op9_weighted_samples": op9_weighted_samples,
     "op10_interleave_shards": op10_interleave_shards,
     "op11_source_divergence": op11_source_divergence,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 DRAWN = "('0x' || substr(md5('0:' || doc_id::VARCHAR), 1, 13))::BIGINT"
@@ -124,6 +152,45 @@ d{n} AS (
     array_to_string(list_slice(ws, i + 1, i + {n}), ' ')) > 1 THEN 1 ELSE 0 END AS twice FROM w))"""
 
 
+# CRC-32 of bytes in SQL: `step` per byte value, then one fold over the bytes in hexadecimal.
+CRC_STEPS = """
+powers AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(
+    list_prepend(i, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS step)"""
+
+
+def _crc(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)),
+    lambda c, b: xor(c // 256, step[1 + xor(c % 256, b)])))"""
+
+
+def _edit(state: str, cost: str, initial: str, line: str) -> str:
+    """A way to a state with one more edit: cost, audit, repaired turns."""
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{initial}', 'r': {state}.r || {line}}}"
+
+
+def _repair_step() -> str:
+    """Ways to the four states (s, o, u, a) after one more turn, before inserts."""
+    kept, asked, answered = ("chr(10) || {} || ':' || text".format(x) for x in ("role", "'user'", "'assistant'"))
+    delete = {q: _edit(q, "4", "D", "''") for q in "soua"}
+    far = "{'c': 1000000, 'a': '', 'r': ''}"
+    may = lambda condition, way: f"CASE WHEN {condition} THEN {way} ELSE {far} END"
+    rerole = {q: may("NOT forced", _edit(q, "3 + late", "R", answered if q == "u" else asked)) for q in "soua"}
+    keep = lambda q, letter: may(f"NOT forced AND letter = '{letter}'", _edit(q, "late", "K", kept))
+    return f"""{delete["s"]} AS s, least({delete["o"]}, {keep("s", "s")}) AS o,
+    least({delete["u"]}, {rerole["s"]}, {rerole["o"]}, {rerole["a"]}, {keep("s", "u")}, {keep("o", "u")}, {keep("a", "u")}) AS u,
+    least({delete["a"]}, {rerole["u"]}, {keep("u", "a")}) AS a"""
+
+
+def _insert_steps(source: str) -> str:
+    asked, answered = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    ways = ", ".join(_edit(q, "3", "I", asked) for q in "soa")
+    return f"""SELECT * EXCLUDE (a), least(a, {_edit("u", "3", "I", answered)}) AS a
+    FROM (SELECT * EXCLUDE (u), least(u, {ways}) AS u FROM ({source}))"""
+
+
 ORACLES = {
     "op2_quality_rules": rf"""
 WITH t AS (
@@ -252,4 +319,40 @@ parts AS (
   SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares JOIN whole USING (lang, term) WHERE shares.n > 0 AND p > q),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50""",
+    "op12_conversation_repair": rf"""
+WITH RECURSIVE {CRC_STEPS},
+raw AS (
+  SELECT conv_id, dense_rank() OVER (ORDER BY conv_id) AS g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+kinds AS (SELECT *, {_crc("key")} % 20 AS kind FROM raw, powers),
+damaged AS (
+  SELECT g, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM damaged),
+turns AS (
+  SELECT g, turn, role, text, left(role, 1) AS letter, i,
+    coalesce(lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal,
+    row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS seen,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut_off
+  FROM placed),
+coded AS (
+  SELECT *, blank OR seen AS forced, NOT blank AND seen AS duplicate, NOT (blank OR seen) AND cut_off AS truncated,
+    CASE WHEN cut_off THEN 3 ELSE 0 END AS late FROM turns),
+sums AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (illegal) AS illegal, count(*) AS n FROM coded GROUP BY g),
+ways AS (
+  {_insert_steps("""SELECT g, 0::BIGINT AS i, {'c': 0, 'a': '', 'r': ''} AS s, {'c': 1000000, 'a': '', 'r': ''} AS o,
+    {'c': 1000000, 'a': '', 'r': ''} AS u, {'c': 1000000, 'a': '', 'r': ''} AS a FROM sums""")}
+  UNION ALL
+  {_insert_steps(f"SELECT ways.g, coded.i, {_repair_step()} FROM ways JOIN coded ON coded.g = ways.g AND coded.i = ways.i + 1")}),
+best AS (SELECT ways.g, least(s, a) AS w FROM ways JOIN sums ON sums.g = ways.g AND sums.n = ways.i),
+ids AS (SELECT DISTINCT conv_id, g FROM raw)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.c, 0)::BIGINT AS cost,
+  coalesce(w.a, '') AS audit, sha256(substr(coalesce(w.r, ''), 2)) AS repaired_sha256
+FROM ids LEFT JOIN sums USING (g) LEFT JOIN best USING (g)""",
 }
