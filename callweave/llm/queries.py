@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, divergence, fingerprint, html, jaccard, language, mixing, quality, repair, sharding, toxicity, warc
+from callweave.llm import bpe, divergence, fingerprint, html, jaccard, language, mixing, quality, recurrent, repair, sharding, toxicity, warc
 from callweave.llm.common import documents_as_calls
 from callweave.session import settle
 
@@ -126,6 +126,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = documents_as_calls(spark, sf_dir)
+    learn = F.coalesce(_remainder(7) != 2, F.lit(True))
+    return recurrent.score_transcripts(calls, learn).select(
+        F.col("call_id").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_quality_rules": op2_quality_rules,
@@ -139,6 +147,7 @@ QUERIES = {
     "op10_interleave_shards": op10_interleave_shards,
     "op11_source_divergence": op11_source_divergence,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_recurrent_scores": op13_recurrent_scores,
 }
 
 DRAWN = "('0x' || substr(md5('0:' || doc_id::VARCHAR), 1, 13))::BIGINT"

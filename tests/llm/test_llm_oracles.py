@@ -20,5 +20,5 @@ def test_query_equals_sql(spark, name):
     assert problem is None, problem
 
 
-def test_ten_operators():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+def test_all_operators():
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
