@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callweave.llm.common import short_batches
-
 # texts handed to the tokenizer at once hold about this many characters, or are one text
 SLICE_CHARS = 500_000
+# a worker remembers the ids of so many short pieces, some 30 MB
+MEMO_PIECES = 1 << 17
+MEMO_CHARS = 24
 
 
 def encode_transcripts(
@@ -34,18 +36,18 @@ def encode_transcripts(
     whole character. A null text counts as an empty one and gives empty arrays.
     Other columns are not read. An empty table gives an empty result.
     """
-    rows = short_batches(calls).select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = _key_and_text(calls, key, text)
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType(
         [rows.schema[0], *[T.StructField(c, ints) for c in ("token_ids", "token_starts", "token_ends")]]
     )
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, lengths = load_tokenizer(ranks_path, pattern), token_lengths(ranks_path)
+        encoder, lengths = Encoder(ranks_path, pattern), token_lengths(ranks_path)
         for batch in batches:
             for part in slices(batch, slice_chars):
                 texts = part.column(1).to_pylist()
-                ids, ends = flat_ids(tokenizer, texts)
+                ids, ends = encoder.flat_ids(texts)
                 starts_, ends_ = character_offsets(texts, ids, ends, lengths)
                 offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (ids, starts_, ends_)]
@@ -54,6 +56,43 @@ def encode_transcripts(
     return rows.mapInArrow(work, schema)
 
 
+def round_trip_digests(
+    calls: DataFrame, ranks_path: str, pattern: str, key: str = "call_id", text: str = "text", slice_chars: int = SLICE_CHARS
+) -> DataFrame:
+    """Encodes whole texts, decodes the ids again, and returns digests of both in one pass over the texts.
+
+    Returns `key`, n_tokens, ids_sha256 (of the ids in decimal, joined by single spaces), decoded_sha256 (of the decoded bytes)
+    and n_chars_covered (characters up to the end of the last token). Nulls, other columns and empty tables as in
+    `encode_transcripts`; ids and bytes as from `encode_transcripts` and `decode_tokens`.
+    """
+    rows = _key_and_text(calls, key, text)
+    names = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), ("n_chars_covered", T.LongType())]
+    schema = T.StructType([rows.schema[0], *[T.StructField(n, t) for n, t in names]])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, lengths, table, decimals = Encoder(ranks_path, pattern), token_lengths(ranks_path), byte_pieces(ranks_path), decimal_pieces(ranks_path)
+        for batch in batches:
+            for part in slices(batch, slice_chars):
+                texts = part.column(1).to_pylist()
+                ids, ends = encoder.flat_ids(texts)
+                to = character_offsets(texts, ids, ends, lengths)[1]
+                cuts = np.concatenate([[0], ends])
+                digests: list[list] = [[], [], []]
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    written = b"".join(decimals[ids[a:b]].tolist())[:-1]
+                    decoded = b"".join(table[ids[a:b]].tolist())
+                    for column, value in zip(digests, (hashlib.sha256(written).hexdigest(), hashlib.sha256(decoded).hexdigest(), int(to[b - 1]) if b > a else 0)):
+                        column.append(value)
+                columns = [pa.array(np.diff(cuts), pa.int64()), *[pa.array(d, t) for d, t in zip(digests, (pa.string(), pa.string(), pa.int64()))]]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
+
+    return rows.mapInArrow(work, schema)
+
+
+def _key_and_text(calls: DataFrame, key: str, text: str) -> DataFrame:
+    return calls.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+
+
 def decode_tokens(tokens: DataFrame, ranks_path: str, ids: str = "token_ids", keep: tuple = ("call_id",)) -> DataFrame:
     """Bytes of token ids, with the columns of `keep` carried along.
 
@@ -62,7 +101,7 @@ def decode_tokens(tokens: DataFrame, ranks_path: str, ids: str = "token_ids", ke
     are not cast to text here (`decoded_text` does that). Null ids give null, an id
     outside the vocabulary is an error, an empty table gives an empty result.
     """
-    rows = short_batches(tokens).select(*keep, F.col(ids).alias("_ids"))
+    rows = tokens.select(*keep, F.col(ids).alias("_ids"))
     schema = T.StructType([*rows.schema[:-1], T.StructField("decoded", T.BinaryType())])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,12 +139,32 @@ def slices(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first)
 
 
-def flat_ids(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts behind each other, and where each text ends among them."""
-    lists = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    ends = np.cumsum([len(x) for x in lists], dtype=np.int64)
-    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]) if len(ends) else 0)
-    return flat, ends
+class Encoder:
+    """Texts to ids: the pattern cuts a text, the tokenizers library merges each piece, pieces seen before are remembered."""
+
+    def __init__(self, ranks_path: str, pattern: str, memo_pieces: int = MEMO_PIECES):
+        self.pieces_of = regex.compile(pattern).findall
+        self.tokenizer = load_tokenizer(ranks_path)
+        self.memo: dict[str, bytes] = {}
+        self.memo_pieces = memo_pieces
+
+    def flat_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind each other, and where each text ends among them."""
+        cut = [self.pieces_of(t) for t in texts]
+        new = list({p for pieces in cut for p in pieces if p not in self.memo})
+        ids = [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        fresh = dict(zip(new, ids))
+        if len(self.memo) + len(fresh) > self.memo_pieces:
+            # this slice still needs the pieces that it shares with earlier ones
+            fresh |= {p: self.memo[p] for pieces in cut for p in pieces if p in self.memo}
+            self.memo = {}
+        # long pieces are no good to remember
+        long = {p: x for p, x in fresh.items() if len(p) > MEMO_CHARS}
+        self.memo |= {p: x for p, x in fresh.items() if len(p) <= MEMO_CHARS}
+        get = (lambda p: long[p] if p in long else self.memo[p]) if long else self.memo.__getitem__
+        out = [b"".join(map(get, pieces)) for pieces in cut]
+        ends = np.cumsum([len(x) // 4 for x in out], dtype=np.int64)
+        return np.frombuffer(b"".join(out), np.int32), ends
 
 
 def character_offsets(texts: list[str], ids: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +206,12 @@ def byte_pieces(path: str) -> np.ndarray:
     return table
 
 
+@cache
+def decimal_pieces(path: str) -> np.ndarray:
+    """Each id in decimal with a space behind it."""
+    return np.array([b"%d " % i for i in range(len(byte_pieces(path)))], dtype=object)
+
+
 @cache
 def token_lengths(path: str) -> np.ndarray:
     return np.array([len(t or b"") for t in byte_pieces(path)], np.int32)
@@ -169,13 +234,13 @@ def last_merge(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 @cache
-def load_tokenizer(path: str, pattern: str):
-    """A tokenizer whose merges are those that the ranks imply, once per Python worker."""
+def load_tokenizer(path: str):
+    """A tokenizer of single pieces whose merges are those that the ranks imply, once per Python worker."""
     import os
 
     # Spark has a task on every core already
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     ranks, alphabet = read_ranks(path), byte_alphabet()
     merges = []
@@ -186,7 +251,5 @@ def load_tokenizer(path: str, pattern: str):
                 raise ValueError(f"token {ranks[token]} does not come from one merge")
             merges.append(tuple("".join(alphabet[b] for b in part) for part in parts))
     tokenizer = Tokenizer(models.BPE(vocab=visible_vocabulary(path), merges=merges))
-    tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
-        [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-    )
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     return tokenizer

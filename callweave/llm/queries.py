@@ -43,16 +43,7 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bpe_digests(spark: SparkSession, calls: DataFrame) -> DataFrame:
     """Encodes the texts, decodes the ids again and reduces both to digests."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode_transcripts(calls, ranks, public_tokenizers.PATTERN)
-    kept = ("call_id", "token_ids", "n_covered")
-    covered = encoded.withColumn("n_covered", F.coalesce(F.get("token_ends", F.size("token_ends") - 1), F.lit(0)))
-    return bpe.decode_tokens(covered, ranks, keep=kept).select(
-        F.col("call_id").alias("doc_id"),
-        F.size("token_ids").cast("bigint").alias("n_tokens"),
-        bpe.ids_digest(F.col("token_ids")).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.col("n_covered").cast("bigint").alias("n_chars_covered"),
-    )
+    return bpe.round_trip_digests(calls, ranks, public_tokenizers.PATTERN).withColumnRenamed("call_id", "doc_id")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,8 +45,31 @@ def test_ids_offsets_and_round_trip(spark, calls, reference):
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_tokenizer_equals_rank_merges(text):
-    tokenizer = bpe.load_tokenizer(RANKS, P.PATTERN)
-    assert tokenizer.encode(text, add_special_tokens=False).ids == REF.encode_ordinary(text)
+    ids, ends = bpe.Encoder(RANKS, P.PATTERN).flat_ids([text])
+    assert ids.tolist() == REF.encode_ordinary(text) and ends.tolist() == [len(ids)]
+
+
+def test_memo_stays_short_and_right():
+    encoder = bpe.Encoder(RANKS, P.PATTERN, memo_pieces=5)
+    for _ in range(2):
+        for texts in (["a bb ccc", "", "a b " + "x" * 90], ["dd ee a bb"], ["q w e r t y u i o p a bb " + "y" * 90]):
+            ids, ends = encoder.flat_ids(texts)
+            parts = [REF.encode_ordinary(t) for t in texts]
+            assert ids.tolist() == sum(parts, []) and ends.tolist() == [sum(map(len, parts[: i + 1])) for i in range(len(parts))]
+    assert len(encoder.memo) <= 20
+
+
+def test_one_pass_equals_two(spark, calls):
+    df = calls([(i, t) for i, t in enumerate(TEXTS)])
+    one = {r.call_id: r for r in bpe.round_trip_digests(df, RANKS, P.PATTERN, slice_chars=3000).collect()}
+    encoded = bpe.encode_transcripts(df, RANKS, P.PATTERN)
+    two = bpe.decode_tokens(encoded, RANKS, keep=("call_id", "token_ids", "token_ends")).withColumn("digest", bpe.ids_digest(F.col("token_ids")))
+    for r in two.collect():
+        got = one[r.call_id]
+        assert (got.n_tokens, got.ids_sha256) == (len(r.token_ids), r.digest)
+        assert got.decoded_sha256 == hashlib.sha256(bytes(r.decoded)).hexdigest()
+        assert got.n_chars_covered == (r.token_ends[-1] if r.token_ends else 0)
+    assert len(one) == len(TEXTS) and bpe.round_trip_digests(df.limit(0), RANKS, P.PATTERN).count() == 0
 
 
 REF = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
