@@ -25,10 +25,10 @@ _FIRST_WORD = 2
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SLICE_BYTES = 1 << 20
-_HELD_WORDS = 400_000
+_HELD_WORDS = 250_000
 _OUT_ROWS = 50_000
 # Tokens a task holds as numbers before it runs them.
-_HELD_TOKENS = 1 << 22
+_HELD_TOKENS = 1 << 21
 # Parameters travel in pieces of so many numbers.
 _PIECE = 1024
 
@@ -38,9 +38,9 @@ class Shape:
     """Sizes of the model; none of them grows with the corpus."""
 
     vocabulary: int = 65_536  # most frequent words with an own number
-    own_vectors: int = 1_024  # of these, words that the network sees and tells apart itself
-    own_classes: int = 32
-    other_classes: int = 32
+    own_vectors: int = 512  # of these, words that the network sees and tells apart itself
+    own_classes: int = 24
+    other_classes: int = 38
     anchors: int = 16  # most frequent words, by which texts and then words are told apart
     hidden: int = 16
     lanes: int = 512  # texts read side by side, at most
@@ -145,7 +145,15 @@ def _word_counts(learned: DataFrame) -> DataFrame:
 
 def _vocabulary(counts: DataFrame, shape: Shape) -> Vocabulary:
     sums = counts.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.length("word") == 0, F.col("n")))).first()
-    top = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(shape.vocabulary).collect()
+    # only words of the count classes that can be among the first leave their tasks
+    named = counts.where(F.length("word") > 0)
+    height = F.floor(F.log2("n") * 8)
+    least, room = 0, shape.vocabulary
+    for row in sorted(named.groupBy(height.alias("height")).count().collect(), key=lambda r: -r["height"]):
+        least, room = row["height"], room - row["count"]
+        if room <= 0:
+            break
+    top = named.where(height >= least).orderBy(F.desc("n"), "word").limit(shape.vocabulary).collect()
     numbers = np.array([r["n"] for r in top], np.int64)
     return Vocabulary([bytes(r["word"]) for r in top], numbers, min(shape.own_vectors, len(top)), sums[0] or 0, sums[1], sums[2] or 0)
 
@@ -442,7 +450,8 @@ def _pieces(numbers: np.ndarray, weight: float) -> Iterator[pa.RecordBatch]:
 
 def _sum_pieces(pieces: DataFrame) -> tuple[np.ndarray, float] | None:
     """Weighted sum of vectors that came in pieces, and the sum of weights; null if there are none."""
-    sums = pieces.repartition("piece").mapInArrow(_add_pieces, _PIECES).orderBy("piece").collect()
+    sums = pieces.repartition("piece").mapInArrow(_add_pieces, _PIECES).collect()
+    sums.sort(key=lambda r: r["piece"])
     return (np.concatenate([np.frombuffer(r["numbers"]) for r in sums]), sums[0]["weight"]) if sums else None
 
 
@@ -473,7 +482,7 @@ def _learn(
         """One pass over a stream of texts with their ends, cut in lanes of equal length."""
         nonlocal squares
         table = stream.reshape(lanes, -1).T
-        before = np.vstack([np.full((1, lanes), _END), table[:-1]])
+        before = np.vstack([np.full((1, lanes), _END, np.int32), table[:-1]])
         state = np.zeros((lanes, shape.hidden), np.float32)
         for start in range(0, len(table), shape.window):
             seen = before[start : start + shape.window]
