@@ -278,27 +278,90 @@ def g23(spark, sf):
     return wer.join_segments(_heard(spark, sf))
 
 
+def _normal_words(text: str) -> str:
+    return rf"""list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(lower({text}),
+  '[\s\p{{Z}}\x{{85}}\x0b][\s\p{{Z}}\x{{85}}\x0b]+', ' ', 'g'), '^[\s\p{{Z}}\x{{85}}\x0b]+|[\s\p{{Z}}\x{{85}}\x0b]+$', '', 'g'), '\p{{P}}', '', 'g'), ' '), lambda w: w <> '')"""
+
+
+def _common(a: str, b: str) -> str:
+    """Number of equal words at the start of two lists."""
+    return f"coalesce(nullif(list_position(list_transform(range(1, least(len({a}), len({b})) + 1), lambda k: {a}[k] = {b}[k]), false), 0) - 1, least(len({a}), len({b})))"
+
+
+# One row of all distance tables at a time. From the end a deletion is taken where one is minimal, then an insertion
+# where the left cell is below the diagonal one, else the diagonal; `ins` counts the insertions on the way.
+EDITS = f"""pair_words AS (
+  SELECT row_number() OVER () AS p, *, {_normal_words("reference")} AS r, {_normal_words("hypothesis")} AS h FROM pairs),
+headless AS (SELECT *, r[n + 1:] AS r1, h[n + 1:] AS h1 FROM (SELECT *, {_common("r", "h")} AS n FROM pair_words)),
+cut AS (
+  SELECT * EXCLUDE (r1, h1), r1[1:len(r1) - m] AS rt, h1[1:len(h1) - m] AS ht
+  FROM (SELECT *, {_common("r1_back", "h1_back")} AS m FROM (SELECT *, list_reverse(r1) AS r1_back, list_reverse(h1) AS h1_back FROM headless))),
+ref_words AS (SELECT p, unnest(rt) AS word, unnest(range(1, len(rt) + 1)) AS i FROM cut),
+hyp_words AS (SELECT p, unnest(ht) AS word, unnest(range(1, len(ht) + 1)) AS j FROM cut),
+rows AS (
+  SELECT p, 0 AS i, unnest(range(0, len(ht) + 1)) AS j, unnest(range(0, len(ht) + 1)) AS dist, unnest(range(0, len(ht) + 1)) AS ins FROM cut
+  UNION ALL
+  SELECT p, i, j, dist, j + last_value(CASE WHEN NOT inserted THEN carried - j END IGNORE NULLS) OVER (PARTITION BY p ORDER BY j) AS ins
+  FROM (
+    SELECT *, dist <> old + 1 AND coalesce(lag(dist) OVER w < lag(old) OVER w, false) AS inserted,
+      CASE WHEN dist = old + 1 THEN had ELSE lag(had) OVER w END AS carried
+    FROM (
+      SELECT *, j + min(best - j) OVER (PARTITION BY p ORDER BY j) AS dist
+      FROM (
+        SELECT rows.p, r.i, rows.j, dist AS old, ins AS had,
+          least(dist + 1, coalesce(lag(dist) OVER (PARTITION BY rows.p ORDER BY rows.j) + CASE WHEN r.word = h.word THEN 0 ELSE 1 END, dist + 1)) AS best
+        FROM rows JOIN ref_words r ON r.p = rows.p AND r.i = rows.i + 1 LEFT JOIN hyp_words h ON h.p = rows.p AND h.j = rows.j))
+    WINDOW w AS (PARTITION BY p ORDER BY j))),
+counted AS (
+  SELECT cut.*, dist - ins - (ins + len(r) - len(h)) AS substitutions, ins + len(r) - len(h) AS deletions, ins AS insertions,
+    len(r) - (dist - ins) AS hits, len(r) AS reference_words
+  FROM rows JOIN cut USING (p) WHERE rows.i = len(rt) AND j = len(ht)),
+rated AS (
+  SELECT *, CASE WHEN reference_words > 0 THEN (substitutions + deletions + insertions) / reference_words::DOUBLE END AS wer FROM counted)"""
+
+TURN_PAIRS = "pairs AS (SELECT call_id, seg_idx, asr.text AS reference, heard.text AS hypothesis FROM asr JOIN heard USING (call_id, seg_idx))"
+CALL_PAIRS = """pairs AS (
+  SELECT call_id, string_agg(asr.text, ' ' ORDER BY seg_idx) AS reference, string_agg(heard.text, ' ' ORDER BY seg_idx) AS hypothesis
+  FROM asr JOIN heard USING (call_id, seg_idx) GROUP BY call_id)"""
+_EDIT_COUNTS = ("substitutions", "deletions", "insertions", "hits")
+_SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in (*_EDIT_COUNTS, "reference_words"))
+CORPUS = f"""SELECT *, (substitutions + deletions + insertions) / reference_words::DOUBLE AS wer FROM (
+  SELECT count(*) AS num_calls, {_SUMS} FROM rated WHERE reference_words > 0)"""
+
+
+def _recursive(*ctes: str) -> str:
+    return with_ctes(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _turn_pairs(spark, sf):
     asr = T.asr_segments(spark, sf).withColumnRenamed("text", "reference")
     return asr.join(_heard(spark, sf).select("call_id", "seg_idx", F.col("text").alias("hypothesis")), ["call_id", "seg_idx"])
 
 
-@register("g20_word_error_rate")
+@register(
+    "g20_word_error_rate",
+    _recursive(ASR, HEARD, TURN_PAIRS, EDITS)
+    + f"SELECT call_id, seg_idx, {', '.join(f'{c}::BIGINT AS {c}' for c in (*_EDIT_COUNTS, 'reference_words'))}, wer FROM rated",
+)
 def g20(spark, sf):
     return wer.call_wer(_turn_pairs(spark, sf)).drop("start_ms", "end_ms", "reference", "hypothesis")
 
 
-@register("g20_corpus_wer")
+@register("g20_corpus_wer", _recursive(ASR, HEARD, TURN_PAIRS, EDITS) + CORPUS)
 def g20c(spark, sf):
     return wer.corpus_wer(wer.call_wer(_turn_pairs(spark, sf)))
 
 
-@register("t1_worst_calls")
+@register(
+    "t1_worst_calls",
+    _recursive(ASR, HEARD, CALL_PAIRS, EDITS)
+    + f"SELECT call_id, {', '.join(f'{c}::BIGINT AS {c}' for c in (*_EDIT_COUNTS, 'reference_words'))}, wer FROM rated ORDER BY wer DESC NULLS LAST, call_id LIMIT 10",
+)
 def t1(spark, sf):
     return jobs.evaluate_asr(_manifest(spark, sf), _heard(spark, sf))["worst"].drop("reference", "hypothesis")
 
 
-@register("c7_evaluate_asr")
+@register("c7_evaluate_asr", _recursive(ASR, HEARD, CALL_PAIRS, EDITS) + CORPUS)
 def c7(spark, sf):
     return jobs.evaluate_asr(_manifest(spark, sf), _heard(spark, sf))["corpus"]
 

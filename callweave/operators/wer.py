@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from callweave.functions import blocks
 from callweave.functions import text as tx
+from callweave.operators import wavefront
+from callweave.session import settle
 
 _COUNTS = T.StructType(
     [T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions", "hits")]
@@ -17,11 +19,7 @@ _COUNTS = T.StructType(
 
 
 def join_segments(segments: DataFrame) -> DataFrame:
-    """One hypothesis per call: its segments joined by a space in order.
-
-    A pair of texts is aligned as a whole, so a call must fit one cell, as its
-    reference does in the manifest.
-    """
+    """One hypothesis per call: its segments joined by a space in order; like the reference in the manifest, it is one cell."""
     return blocks.joined_texts(segments, ["call_id"], "seg_idx", "text", "hypothesis")
 
 
@@ -104,27 +102,52 @@ def _word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     return frame
 
 
-def call_wer(pairs: DataFrame) -> DataFrame:
+# A pair with more table cells than this is aligned in blocks by many tasks.
+WHOLE_CELLS = 1 << 25
+
+
+def call_wer(pairs: DataFrame, whole_cells: int = WHOLE_CELLS, block_words: int = wavefront.BLOCK_WORDS) -> DataFrame:
     """Adds word counts of the alignment and the error rate per pair.
 
-    The rate is NULL for an empty reference. pairs: reference, hypothesis.
+    The rate is NULL for an empty reference. pairs: reference, hypothesis. Pairs whose texts could fill more than
+    `whole_cells` cells of the distance table are aligned in blocks; the counts do not depend on it.
     """
-    counted = (
-        pairs.withColumn("_r", tx.normal_words(F.coalesce("reference", F.lit(""))))
-        .withColumn("_h", tx.normal_words(F.coalesce("hypothesis", F.lit(""))))
-        .withColumn("_e", F.pandas_udf(_word_edits, _COUNTS)("_r", "_h"))
-        .withColumn("reference_words", F.size("_r").cast("bigint"))
-    )
+    room = (F.length(F.coalesce("reference", F.lit(""))) + 1) * (F.length(F.coalesce("hypothesis", F.lit(""))) + 1)
+    # a word takes two characters at least
+    large = room > 4 * whole_cells
+    whole = _with_rates(_whole_edits(pairs.where(~large)))
+    if pairs.where(large).isEmpty():
+        return whole
+    return whole.unionByName(_with_rates(_block_edits(settle(pairs.where(large)), block_words)))
+
+
+def _with_words(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumns({f"_{c[0]}": tx.normal_words(F.coalesce(c, F.lit(""))) for c in ("reference", "hypothesis")})
+
+
+def _whole_edits(pairs: DataFrame) -> DataFrame:
+    return _with_words(pairs).withColumn("_e", F.pandas_udf(_word_edits, _COUNTS)("_r", "_h"))
+
+
+def _block_edits(pairs: DataFrame, block_words: int) -> DataFrame:
+    numbered = settle(_with_words(pairs).withColumn("_pair", F.monotonically_increasing_id()))
+    ref, hyp = wavefront.trimmed(F.col("_r"), F.col("_h"))
+    cut = settle(numbered.select(F.col("_pair").alias("pair"), ref.alias("ref"), hyp.alias("hyp")))
+    edits = wavefront.align_long(cut.where((F.size("ref") > 0) | (F.size("hyp") > 0)), block_words)
+    total, inserted = (F.coalesce(c, F.lit(0)) for c in ("distance", "insertions"))
+    deleted = inserted + F.size("_r") - F.size("_h")
+    counts = (total - inserted - deleted, deleted, inserted, F.size("_r") - (total - inserted))
+    named = [c.cast("int").alias(f.name) for c, f in zip(counts, _COUNTS)]
+    return numbered.join(edits, F.col("_pair") == F.col("pair"), "left").withColumn("_e", F.struct(*named)).drop("_pair", "pair", "distance", "insertions")
+
+
+def _with_rates(counted: DataFrame) -> DataFrame:
     names = ("substitutions", "deletions", "insertions", "hits")
+    errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
     return (
-        counted.withColumns({n: F.col(f"_e.{n}").cast("bigint") for n in names})
-        .withColumn(
-            "wer",
-            F.when(
-                F.col("reference_words") > 0,
-                (F.col("substitutions") + F.col("deletions") + F.col("insertions")) / F.col("reference_words"),
-            ),
-        )
+        counted.withColumn("reference_words", F.size("_r").cast("bigint"))
+        .withColumns({n: F.col(f"_e.{n}").cast("bigint") for n in names})
+        .withColumn("wer", F.when(F.col("reference_words") > 0, errors / F.col("reference_words")))
         .drop("_r", "_h", "_e")
     )
 

@@ -7,10 +7,11 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from callweave.catalog import speech
 from callweave.config import ChunkConfig, SegmentConfig, VadConfig
-from callweave.operators import align, cluster, der, rules, signal, wer
+from callweave.operators import align, cluster, der, rules, signal, wavefront, wer
 from callweave.plans import jobs
 
 RATE = 1000
@@ -349,3 +350,40 @@ def test_corpus_error_rate_takes_in_every_call(spark):
     row = speech.c7(spark, sf).first()
     heard = wer.join_segments(speech.T.asr_segments(spark, sf)).where("trim(hypothesis) != ''")
     assert row.num_calls == heard.count()
+
+
+def _texts(draw, n, words=6):
+    ref = [f"w{x}" for x in draw.integers(0, words, n)]
+    heard = ["um" if draw.random() < 0.1 else w for w in ref if draw.random() > 0.2]
+    return " ".join(ref), " ".join(heard)
+
+
+def test_blocks_align_as_whole_texts_do(spark):
+    """Counts of pairs aligned in blocks, in rounds and with growing bands, equal those of one table."""
+    draw = np.random.default_rng(7)
+    rows = [(i, *_texts(draw, int(draw.integers(1, 60)))) for i in range(8)]
+    rows += [(20, " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(9)))]  # nothing in common
+    rows += [(21, "x y " * 12 + "z", "y x " * 12), (22, "a b c", "a b c"), (23, None, "a b"), (24, "a b", "")]
+    df = spark.createDataFrame(rows, "call_id bigint, reference string, hypothesis string")
+    whole = {r.call_id: r for r in wer.call_wer(df).collect()}
+    blocks = {r.call_id: r for r in wer.call_wer(df, whole_cells=0, block_words=13).collect()}
+    assert whole == blocks
+
+
+def test_band_leaves_blocks_out_and_grows(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    ref, heard = _texts(draw, 160, words=40)
+    filled, plain = [], wavefront._diagonal
+    monkeypatch.setattr(wavefront, "_diagonal", lambda *a: filled.append(plain(*a).count()) or plain(*a))
+    df = spark.createDataFrame([(1, ref.split(), heard.split())], "pair bigint, ref array<string>, hyp array<string>")
+    row = wavefront.align_long(df, 10).first()
+    want = wer._batch_edits(*[[np.array([hash(w) for w in words])] for words in (ref.split(), heard.split())])[0]
+    assert (row.distance, row.insertions) == (sum(want), want[2])
+    assert sum(filled) < 16 * -(-len(heard.split()) // 10)
+
+
+def test_trimmed_arrays(spark):
+    rows = [(["a", "b", "c"], ["a", "x", "c"]), (["a"], ["a"]), ([], ["a"]), (["a", "a"], ["a"])]
+    df = spark.createDataFrame(rows, "r array<string>, h array<string>")
+    got = df.select(*[c.alias(n) for c, n in zip(wavefront.trimmed(F.col("r"), F.col("h")), "rh")]).collect()
+    assert [(r.r, r.h) for r in got] == [(["b"], ["x"]), ([], []), ([], ["a"]), (["a"], [])]
