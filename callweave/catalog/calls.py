@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from callweave import config as C
-from callweave.catalog.base import BARE, SUPPORT, TURNS, WORDS, register, scored, with_ctes
+from callweave.catalog.base import BARE, ORACLES, SUPPORT, TURNS, WORDS, register, scored, with_ctes
 from callweave.functions import text as tx
 from callweave.operators import agents, entities, features, rules, sentiment
 from callweave.plans import jobs
+from callweave.session import scratch_path, settle
 from callweave.sources import tables as T
 
 SCORED = TURNS + ",\n" + scored("turns")
@@ -428,9 +429,19 @@ per_agent AS (
   FROM agent_ids LEFT JOIN metrics USING (agent_id) GROUP BY 1)"""
 
 
+def _agent_dimension(spark, sf):
+    return T.read(spark, sf, "conversations").select((F.col("conv_id") % 10).alias("agent_id")).distinct()
+
+
 def _agents(spark, sf):
-    ids = T.read(spark, sf, "conversations").select((F.col("conv_id") % 10).alias("agent_id")).distinct()
-    return agents.agent_metrics(_metrics(spark, sf), ids)
+    return agents.agent_metrics(_metrics(spark, sf), _agent_dimension(spark, sf))
+
+
+def _agent_columns(metrics):
+    def n(label):
+        return F.coalesce(F.element_at("satisfaction_distribution", F.lit(label)), F.lit(0)).alias(label.lower())
+
+    return metrics.select("agent_id", *_n("num_calls"), *_r(*RATES), n("Satisfied"), n("Neutral"), n("Dissatisfied"))
 
 
 RATES = ["resolution_rate", "avg_handling_time_seconds", "escalation_rate", "avg_sentiment_improvement", "avg_talk_listen_ratio"]
@@ -442,12 +453,23 @@ RATES = ["resolution_rate", "avg_handling_time_seconds", "escalation_rate", "avg
     + f"SELECT agent_id, num_calls, {', '.join(f'round({r}, 6) AS {r}' for r in RATES)}, satisfied, neutral, dissatisfied FROM per_agent",
 )
 def g7(spark, sf):
-    def n(label):
-        return F.coalesce(F.element_at("satisfaction_distribution", F.lit(label)), F.lit(0)).alias(label.lower())
-
-    return _agents(spark, sf).select(
-        "agent_id", *_n("num_calls"), *_r(*RATES), n("Satisfied"), n("Neutral"), n("Dissatisfied")
-    )
+    return _agent_columns(_agents(spark, sf))
+
+
+@register("g7_rolled_up_by_batches", ORACLES["g7_agent_metrics"])
+def g7_batches(spark, sf):
+    """The metrics of agents from states of batches: the last comes first, one is sent twice, one was wrong and is corrected."""
+    metrics = settle(_metrics(spark, sf).withColumn("day", F.col("call_id") % 5))
+    first, rest = metrics.where("call_id % 3 = 0"), metrics.where("call_id % 3 <> 0")
+    wrong = first.withColumns({"resolved": F.lit(True), "handling_time_seconds": F.col("handling_time_seconds") + 0.1})
+    path = scratch_path(spark, "agent-states")
+    for batch, states in (
+        ("correction", agents.correction_states(wrong, first)), ("rest", agents.metric_states(rest)),
+        ("first", agents.metric_states(wrong)), ("rest", agents.metric_states(rest)),
+    ):
+        agents.write_states(states, path, batch)
+    rolled = agents.metrics_of_states(agents.read_states(agents.metric_states(rest), path), _agent_dimension(spark, sf))
+    return _agent_columns(rolled)
 
 
 @register(

@@ -1,11 +1,12 @@
 """Queries on datasets: files, quality reports, samples, metrics, models."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from callweave import config as C
 from callweave.catalog import text  # noqa: F401  its SQL is used here as well
 from callweave.catalog.base import ASR, MANIFEST, ORACLES, PREDS, TOKENS, TURNS, literal_list, register, with_ctes
-from callweave.catalog.calls import SCORED, VOTES, _n, _r
+from callweave.catalog.calls import FEATURES, SCORED, SUP_SCORED, VOTES, _n, _r
 from callweave.config import AudioConfig
 from callweave.operators import evaluate, features, learn, quality, rules, sampling, sentiment
 from callweave.plans import jobs
@@ -112,6 +113,13 @@ def g24(spark, sf):
     return quality.batch_summary(rows)
 
 
+@register("g24_written_summary", ORACLES["g24_batch_summary"])
+def g24_written(spark, sf):
+    """Counts that the write of the items gathered."""
+    rows = _validated(spark, sf).withColumn("error", F.when(~F.col("has_info"), F.element_at("errors", 1)))
+    return quality.write_with_summary(rows, scratch_path(spark, "outcomes"))
+
+
 @register(
     "g24_batch_failures",
     with_ctes(MANIFEST) + "SELECT path, stop AS error FROM checked WHERE stop IS NOT NULL",
@@ -509,10 +517,17 @@ def m8(spark, sf):
     )
 
 
-@register("m12_feature_vectors")
+@register(
+    "m12_feature_vectors",
+    with_ctes(SUP_SCORED, FEATURES)
+    + f"""SELECT call_id, unnest(range({len(C.BUSINESS_FEATURES)}))::INT AS position,
+  unnest([{", ".join(f"round({n}::DOUBLE, 6)" for n in C.BUSINESS_FEATURES)}]) AS value FROM feats""",
+)
 def m12(spark, sf):
-    rows = features.business_features(T.scored_turns(spark, sf))
-    return learn.assemble(C.BUSINESS_FEATURES).transform(rows).select("call_id", F.col("features").cast("string").alias("features"))
+    """The vectors of the calls, one row per place."""
+    rows = features.business_features(T.with_predictions(T.support_turns(spark, sf)))
+    vectors = learn.assemble(C.BUSINESS_FEATURES).transform(rows)
+    return vectors.select("call_id", F.posexplode(vector_to_array("features")).alias("position", "value")).withColumn("value", F.round("value", 6))
 
 
 CONVERSATION_TASKS = ["category", "resolution", "satisfaction", "escalation"]

@@ -430,8 +430,60 @@ def c9(spark, sf):
     return jobs.diarize(speech, totals, dealt, VadConfig(), SEGMENTS)
 
 
-@register("c11_prepare_signal")
-def c11(spark, sf):
-    """Chunk plan from event values as samples at 100 per second."""
+# Samples at 100 a second; the files of every seventh call are empty, so these calls go no further.
+SIGNAL = ",\n".join(
+    [
+        SAMPLES.replace("FROM events))", "FROM events WHERE user_id % 7 <> 3))"),
+        LEVEL, RMS,
+        """lengths AS (SELECT call_id, (max(idx) + 1) * 10.0::DOUBLE AS duration_ms FROM mono GROUP BY 1)""",
+        REGIONS[REGIONS.index("marks AS (") :]
+        .replace("marks AS (", "speech AS (SELECT call_id, frame FROM rms WHERE db > -15.0),\ntotals AS (SELECT call_id, max(frame) + 1 AS n_frames FROM rms GROUP BY 1),\nmarks AS (")
+        .replace(">= 10", ">= 2").replace("< 10", "< 2").replace("first * 30 - 100", "first * 40.0 - 20")
+        .replace("least(n_frames * 30, last * 30 + 100)", "least(duration_ms, last * 40.0 + 20)").replace("WHERE last - first >= 6", "JOIN lengths USING (call_id) WHERE last - first >= 2"),
+    ]
+)
+SIGNAL_CHUNKS = (
+    CHUNK_SQL.replace("n_frames * 30.0::DOUBLE AS d", "duration_ms AS d").replace("FROM totals LEFT JOIN", "FROM lengths LEFT JOIN")
+    .replace("1500", "75").replace("6000", "300").replace("400", "40")
+)
+
+
+def _prepared(spark, sf):
+    """Event values as samples; all calls have a manifest row."""
     vad = VadConfig(frame_ms=40, silence_threshold_db=-15.0, min_silence_ms=80, min_speech_ms=80, pad_ms=20)
-    return jobs.prepare_signal(T.samples(spark, sf), 100, vad, ChunkConfig(chunk_ms=300, overlap_ms=40))["chunks"]
+    calls = T.read(spark, sf, "events").select(F.col("user_id").alias("call_id")).distinct()
+    empty = F.col("call_id") % 7 == 3
+    manifest = calls.select(
+        "call_id", F.lit(True).alias("exists"), F.when(empty, 0).otherwise(1).alias("size_bytes"), F.lit("wav").alias("extension"),
+        F.lit(True).alias("readable"), F.lit(1).alias("frames"), F.lit(10.0).alias("duration_seconds"),
+        F.lit(16000).alias("sample_rate"), F.lit(1).alias("channels"),
+    )
+    return jobs.prepare_signal(T.samples(spark, sf), 100, vad, ChunkConfig(chunk_ms=300, overlap_ms=40), manifest=manifest)
+
+
+@register("c11_prepare_signal", "WITH RECURSIVE " + SIGNAL + ",\n" + SIGNAL_CHUNKS + " SELECT call_id, chunk_idx, round(s, 6) AS start_ms, round(e, 6) AS end_ms FROM step WHERE e IS NOT NULL")
+def c11(spark, sf):
+    return _prepared(spark, sf)["chunks"].select("call_id", "chunk_idx", *_r("start_ms", "end_ms"))
+
+
+@register("c11_regions", with_ctes(SIGNAL) + "SELECT call_id, start_ms::DOUBLE AS start_ms, end_ms::DOUBLE AS end_ms FROM regions")
+def c11_regions(spark, sf):
+    return _prepared(spark, sf)["regions"].select("call_id", *_r("start_ms", "end_ms"))
+
+
+@register("c11_samples", with_ctes(SIGNAL) + "SELECT call_id, idx, round(v, 6) AS v FROM level")
+def c11_samples(spark, sf):
+    return _prepared(spark, sf)["samples"].select("call_id", "idx", *_r("v"))
+
+
+@register(
+    "c11_left_out",
+    with_ctes(SIGNAL)
+    + """SELECT call_id, 'silent' AS reason FROM lengths WHERE call_id NOT IN (SELECT call_id FROM regions)
+UNION ALL SELECT DISTINCT user_id, 'File is empty (0 bytes)' FROM events WHERE user_id % 7 = 3""",
+)
+def c11_left_out(spark, sf):
+    """Calls without speech, and those whose file is not valid."""
+    out = _prepared(spark, sf)
+    invalid = out["invalid"].select("call_id", F.array_join("errors", "; ").alias("reason"))
+    return out["silent"].select("call_id", F.lit("silent").alias("reason")).unionByName(invalid)

@@ -1,5 +1,7 @@
 """Queries on texts: entities, masking, normalisation, tags and their metrics."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from callweave import config as C
@@ -605,24 +607,39 @@ def c4_turns(spark, sf):
     return jobs.analyze_entities(T.support_turns(spark, sf))["turns"].select("call_id", "turn_idx", "masked_text")
 
 
+def _model_ctes(model: str, bio: str) -> list[str]:
+    """Counts of one extractor against the truth, under names of its own."""
+    tags = f"""{model}_tags AS (SELECT sent_id, pos, coalesce(b.tag, 'O') AS tag, source FROM true_tags LEFT JOIN {bio} b USING (sent_id, pos))"""
+    own = [re.sub(r"\bp\b", f"{model}_p", HITS.replace("hits", f"{model}_hits").replace("per AS", f"{model}_per AS")),
+           BY_SOURCE.replace("every", f"{model}_every").replace("sums", f"{model}_sums").replace("FROM per", f"FROM {model}_per")]
+    return [tags, tag_runs(f"{model}_tags", f"{model}_p"), *own]
+
+
+# A second extractor: every token of six letters is a product.
+LONG_WORDS = """long_bio AS (SELECT sent_id, pos, 'B-PRODUCT' AS tag FROM placed WHERE length(token) = 6)"""
+
+
 @register(
     "c10_evaluate_ner",
     with_ctes(
         PLACED,
         COVER,
+        LONG_WORDS,
         """true_tags AS (
   SELECT sent_id, pos, ['O', 'B-PERSON', 'I-PERSON', 'B-PRODUCT', 'I-PRODUCT'][1 + length(token) % 5] AS tag,
-    CASE WHEN sent_id % 2 = 0 THEN 'real' ELSE 'synthetic' END AS source FROM tokens),
-pred_tags AS (SELECT sent_id, pos, coalesce(b.tag, 'O') AS tag, source FROM true_tags LEFT JOIN bio b USING (sent_id, pos))""",
+    CASE WHEN sent_id % 2 = 0 THEN 'real' ELSE 'synthetic' END AS source FROM tokens)""",
         tag_runs("true_tags", "t"),
-        tag_runs("pred_tags", "p"),
-        HITS,
-        BY_SOURCE,
+        *_model_ctes("cover", "bio"),
+        *_model_ctes("long", "long_bio"),
     )
-    + f"SELECT 'cover' AS model, * FROM ({prf('source, label', 'every')} UNION ALL {prf('source, label', 'sums')})",
+    + " UNION ALL ".join(
+        f"SELECT '{m}' AS model, * FROM ({prf('source, label', f'{m}_every')} UNION ALL {prf('source, label', f'{m}_sums')})" for m in ("cover", "long")
+    ),
 )
 def c10(spark, sf):
+    """Two extractors side by side."""
     words = T.words(spark, sf)
-    cover = _cover(entities.token_offsets(words))
-    out = jobs.evaluate_ner(words, T.tagged(spark, sf), {"cover": cover})
+    placed = entities.token_offsets(words)
+    long = placed.where("length(token) = 6").select("sent_id", F.col("pos").alias("ent_idx"), F.lit("PRODUCT").alias("label"), "start", "end")
+    out = jobs.evaluate_ner(words, T.tagged(spark, sf), {"cover": _cover(placed), "long": long})
     return out.select("model", "source", "label", *_r("precision", "recall", "f1"), *_n("support"))

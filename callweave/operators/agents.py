@@ -61,8 +61,12 @@ def agent_metrics(metrics: DataFrame, agents: DataFrame | None = None) -> DataFr
         F.sum("talk_listen_ratio").alias("ratio"),
         F.count("talk_listen_ratio").alias("ratio_n"),
     )
+    return _with_dimension(_rolled(per_label), agents)
+
+
+def _rolled(per_label: DataFrame) -> DataFrame:
     n = F.sum("n")
-    rolled = per_label.groupBy("agent_id").agg(
+    return per_label.groupBy("agent_id").agg(
         n.alias("num_calls"),
         F.try_divide(F.sum("resolved"), F.sum("resolved_n")).alias("resolution_rate"),
         (F.sum("handling") / n).alias("avg_handling_time_seconds"),
@@ -75,6 +79,9 @@ def agent_metrics(metrics: DataFrame, agents: DataFrame | None = None) -> DataFr
             )
         ).alias("satisfaction_distribution"),
     )
+
+
+def _with_dimension(rolled: DataFrame, agents: DataFrame | None) -> DataFrame:
     if agents is None:
         return rolled
     empty = F.create_map().cast("map<string,bigint>")
@@ -86,6 +93,72 @@ def agent_metrics(metrics: DataFrame, agents: DataFrame | None = None) -> DataFr
     )
 
 
+# Sums are kept as decimals: they come out the same in any order, and what is taken back leaves nothing behind.
+_EXACT = "decimal(38, 12)"
+_STATE_COUNTS = ["n", "resolved", "escalated", "resolved_n", "escalated_n", "handling_n", "improvement_n", "ratio_n"]
+_STATE_SUMS = ["handling", "improvement", "ratio"]
+
+
+def metric_states(metrics: DataFrame, day: str = "day", sign: int = 1) -> DataFrame:
+    """Partial states of agent metrics, one row per agent, day and satisfaction label.
+
+    States add up: those of disjoint sets of calls give the states of all of them, and `sign` -1 takes calls
+    back, as when a call is corrected. A null agent, day or label is a group of its own.
+    """
+    counts = {
+        "n": F.count(F.lit(1)), "resolved": F.coalesce(F.sum(F.col("resolved").cast("int")), F.lit(0)),
+        "escalated": F.coalesce(F.sum(F.col("escalated").cast("int")), F.lit(0)), "resolved_n": F.count("resolved"),
+        "escalated_n": F.count("escalated"),
+    }
+    values = {"handling": "handling_time_seconds", "improvement": "sentiment_improvement", "ratio": "talk_listen_ratio"}
+    counts |= {f"{n}_n": F.count(v) for n, v in values.items()}
+    sums = {n: F.coalesce(F.sum(F.col(v).cast(_EXACT)), F.lit(0)).cast(_EXACT) for n, v in values.items()}
+    states = metrics.groupBy("agent_id", F.col(day).alias("day"), "customer_satisfaction").agg(*[c.alias(n) for n, c in (counts | sums).items()])
+    return states.withColumns(
+        {n: (F.col(n) * sign).cast("bigint") for n in _STATE_COUNTS} | {n: (F.col(n) * sign).cast(_EXACT) for n in _STATE_SUMS}
+    )
+
+
+def correction_states(before: DataFrame, after: DataFrame, day: str = "day") -> DataFrame:
+    """States that replace calls as they were counted by the same calls as they are now."""
+    return merge_states(metric_states(before, day, -1).unionByName(metric_states(after, day)))
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """Adds states up; groups that were taken back whole disappear."""
+    keys = ["agent_id", "day", "customer_satisfaction"]
+    merged = states.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in _STATE_COUNTS], *[F.sum(c).cast(_EXACT).alias(c) for c in _STATE_SUMS]
+    )
+    return merged.where(F.greatest(*[F.abs(c) for c in _STATE_COUNTS], *[F.abs(c).cast("double") for c in _STATE_SUMS]) > 0)
+
+
+def write_states(states: DataFrame, path: str, batch: str) -> None:
+    """Stores the states of one batch of calls; a batch that is written again replaces itself.
+
+    The table is partitioned by batch and day, so a late batch touches no other file.
+    """
+    (
+        states.withColumn("batch", F.lit(batch)).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(path)
+    )
+
+
+def read_states(like: DataFrame, path: str) -> DataFrame:
+    """The merged states of all batches; `like` is any table of states, for the types."""
+    schema = like.schema.add("batch", "string")
+    return merge_states(like.sparkSession.read.schema(schema).parquet(path).drop("batch"))
+
+
+def metrics_of_states(states: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """The agent metrics of all days in `states`, as `agent_metrics` gives them for the calls behind."""
+    per_label = states.groupBy("agent_id", "customer_satisfaction").agg(
+        *[F.sum(c).alias(c) for c in _STATE_COUNTS],
+        *[F.when(F.sum(f"{c}_n") > 0, F.sum(c).cast("double")).alias(c) for c in _STATE_SUMS],
+    )
+    return _with_dimension(_rolled(per_label.where("n <> 0")), agents)
+
+
 def satisfaction_distribution(metrics: DataFrame) -> DataFrame:
     """Calls per agent and satisfaction label, one row each."""
     return metrics.groupBy("agent_id", "customer_satisfaction").agg(F.count(F.lit(1)).alias("n_calls"))

@@ -177,14 +177,18 @@ def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight")
 # --- entity level ----------------------------------------------------------------
 
 
-def span_counts(true_bio: DataFrame, pred_bio: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def span_counts(true_bio: DataFrame, pred_bio: DataFrame, keys: Sequence[str] = (), models: Sequence[str] = ()) -> DataFrame:
     """True, predicted and exactly matching spans per key and type.
 
     Both sides are stacked and grouped by span, which needs one shuffle where a
-    full outer join needs two.
+    full outer join needs two. With `models`, predictions carry a column `model`, which becomes
+    a key; the truth is decoded once and then repeated for each.
     """
     sent = [*keys, "sent_id"]
     true = E.bio_to_spans_lenient(true_bio, sent).withColumns({"t": F.lit(1), "p": F.lit(0)})
+    if models:
+        true = true.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+        keys, sent = ["model", *keys], ["model", *sent]
     pred = E.bio_to_spans_lenient(pred_bio, sent).withColumns({"t": F.lit(0), "p": F.lit(1)})
     per_span = (
         true.unionByName(pred)
@@ -224,16 +228,16 @@ def span_metrics(true_bio: DataFrame, pred_bio: DataFrame, keys: Sequence[str] =
     return per_type.unionByName(micro).unionByName(macro).unionByName(weighted)
 
 
-def span_metrics_by(true_bio: DataFrame, pred_bio: DataFrame, source: str = "source") -> DataFrame:
-    """The same, per source and over all sources (source `all`), from one pass."""
-    counts = span_counts(true_bio, pred_bio, [source])
+def span_metrics_by(true_bio: DataFrame, pred_bio: DataFrame, source: str = "source", models: Sequence[str] = ()) -> DataFrame:
+    """The same, per source and over all sources (source `all`), from one pass; per `model` too where models are named."""
+    counts = span_counts(true_bio, pred_bio, [source], models)
+    by_model = ["model"] if models else []
     both = counts.unionByName(
-        counts.groupBy("label")
+        counts.groupBy(*by_model, "label")
         .agg(*[F.sum(c).alias(c) for c in ("n_true", "n_pred", "n_hit")])
         .withColumn(source, F.lit("all"))
     )
-    per_type = _prf(both, [source, "label"])
-    micro = _prf(
-        both.groupBy(source).agg(*[F.sum(c).alias(c) for c in ("n_true", "n_pred", "n_hit")]), [source]
-    ).withColumn("label", F.lit("micro avg"))
+    keys = [*by_model, source]
+    per_type = _prf(both, [*keys, "label"])
+    micro = _prf(both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n_true", "n_pred", "n_hit")]), keys).withColumn("label", F.lit("micro avg"))
     return per_type.unionByName(micro)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from callweave.functions import text as tx
@@ -138,3 +138,17 @@ def batch_summary(outcomes: DataFrame, error: str = "error") -> DataFrame:
 def batch_failures(outcomes: DataFrame, error: str = "error") -> DataFrame:
     """The failed items as a table of their own; a batch may have any number of them."""
     return outcomes.filter(F.col(error).isNotNull()).select("path", F.col(error).alias("error"))
+
+
+def write_with_summary(outcomes: DataFrame, path: str, error: str = "error") -> DataFrame:
+    """Writes all items, failed ones apart (`failed=true` and `failed=false` below `path`), and returns their summary.
+
+    The counts are gathered by the tasks that write, so the items are read once; the row equals that of `batch_summary`.
+    """
+    summary = Observation()
+    failed = F.col(error).isNotNull()
+    counts = [F.count(F.lit(1)).alias("total"), F.count_if(~failed).alias("succeeded"), F.count_if(failed).alias("failed")]
+    outcomes.observe(summary, *counts).withColumn("failed", failed).write.partitionBy("failed").parquet(path)
+    numbers = summary.get
+    names = ("total", "succeeded", "failed")
+    return outcomes.sparkSession.createDataFrame([tuple(numbers[n] for n in names)], ", ".join(f"{n} bigint" for n in names))

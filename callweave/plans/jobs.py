@@ -268,14 +268,13 @@ def evaluate_ner(tokens: DataFrame, true_bio: DataFrame, entity_sets: dict[str,
     tokens: sent_id, pos, token; true_bio: sent_id, pos, tag, source; entity sets:
     sent_id, ent_idx, label, start, end.
     """
-    placed = entities.token_offsets(tokens)
-    sources = true_bio.select("sent_id", "pos", "source")
-    out = None
+    placed = settle(entities.token_offsets(tokens))
+    tagged = None
     for name, found in entity_sets.items():
-        pred = entities.spans_to_bio(placed, found).select("sent_id", "pos", "tag").join(sources, ["sent_id", "pos"])
-        rows = evaluate.span_metrics_by(true_bio, pred).withColumn("model", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        rows = entities.spans_to_bio(placed, found).select("sent_id", "pos", "tag", F.lit(name).alias("model"))
+        tagged = rows if tagged is None else tagged.unionByName(rows)
+    pred = tagged.join(true_bio.select("sent_id", "pos", "source"), ["sent_id", "pos"])
+    return evaluate.span_metrics_by(true_bio, pred, models=list(entity_sets))
 
 
 def prepare_signal(
@@ -284,11 +283,17 @@ def prepare_signal(
     vad: VadConfig = C.DEFAULTS.vad,
     chunk: ChunkConfig = C.DEFAULTS.chunk,
     audio: AudioConfig = C.DEFAULTS.audio,
+    manifest: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Mono, normalised samples, speech regions and the chunk plan of every call.
 
-    samples: call_id, channel, idx, v at one sample rate.
+    samples: call_id, channel, idx, v at one sample rate. With `manifest` (call_id and what `rules.validate`
+    reads), only calls whose file is valid go on; the others are returned as `invalid` with their errors.
     """
+    checked = None
+    if manifest is not None:
+        checked = settle(rules.validate(manifest, audio))
+        samples = samples.join(checked.filter("is_valid").select("call_id"), "call_id", "left_semi")
     frame_len = max(1, int(sample_rate * vad.frame_ms / 1000))
     # a frame is a whole number of samples, so it may be shorter than asked
     vad = replace(vad, frame_ms=frame_len * 1000 / sample_rate)
@@ -304,7 +309,7 @@ def prepare_signal(
         "regions": regions,
         "chunks": signal.plan_chunks(durations, regions, chunk),
         "silent": signal.silent_calls(durations.select("call_id"), regions),
-    }
+    } | ({} if checked is None else {"invalid": checked.filter("NOT is_valid")})
 
 
 def predict_conversations(

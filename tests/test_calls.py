@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from callweave import config as C
 from callweave.functions import text as tx
-from callweave.operators import agents, features, rules, sentiment
+from callweave.operators import agents, features, quality, rules, sentiment
 
 TURNS = "call_id string, turn_idx bigint, speaker string, start_ms bigint, end_ms bigint, text string, sentiment string, sentiment_confidence double, emotion string, emotion_confidence double, intent string"
 
@@ -125,3 +125,45 @@ def test_agent_metrics_and_score(spark):
 def test_talk_listen_without_customer(spark):
     df = spark.createDataFrame([turn("c", 0, "AGENT", 0, 10, "hi")], TURNS)
     assert features.talk_listen(df).first().talk_listen_ratio is None
+
+
+def test_agent_states_add_up_in_any_order(spark, tmp_path):
+    """Late, repeated and corrected batches give the metrics of the calls as they are in the end."""
+    schema = """call_id int, agent_id int, day string, handling_time_seconds double, sentiment_improvement double, talk_listen_ratio double,
+      resolved boolean, escalated boolean, customer_satisfaction string"""
+    rows = [
+        (i, None if i % 9 == 0 else i % 4, f"d{i % 3}" if i % 5 else None, None if i % 4 == 3 else i * 0.1, float(i % 3 - 1),
+         None if i % 4 == 2 else 0.1 * i, None if i % 6 == 0 else i % 2 == 0, i % 3 == 0, None if i % 7 == 0 else ("Satisfied", "Neutral")[i % 2])
+        for i in range(40)
+    ]
+    good = spark.createDataFrame(rows, schema)
+    wrong = good.withColumns({"resolved": F.lit(True), "day": F.lit("d9"), "talk_listen_ratio": F.lit(0.3)})
+    agents_ = spark.createDataFrame([(i,) for i in range(6)], "agent_id int")
+    early, late = good.where("call_id < 25"), good.where("call_id >= 25")
+    path = str(tmp_path / "states")
+    for batch, states in (
+        ("c", agents.correction_states(wrong.where("call_id < 25"), early)), ("b", agents.metric_states(late)),
+        ("a", agents.metric_states(wrong.where("call_id < 25"))), ("b", agents.metric_states(late)),
+    ):
+        agents.write_states(states, path, batch)
+    states = agents.read_states(agents.metric_states(late), path)
+    assert {r.day for r in states.collect()} == {r.day for r in good.collect()}  # what was taken back is gone
+    got = {r.agent_id: r for r in agents.metrics_of_states(states, agents_).collect()}
+    want = {r.agent_id: r for r in agents.agent_metrics(good, agents_).collect()}
+    assert got.keys() == want.keys()
+    for a, w in want.items():
+        for c in w.asDict():
+            assert got[a][c] == (pytest.approx(w[c], abs=1e-9) if isinstance(w[c], float) else w[c]), (a, c)
+
+
+def test_states_of_nothing(spark):
+    none = spark.createDataFrame([], "agent_id int, day string, customer_satisfaction string, handling_time_seconds double, sentiment_improvement double, talk_listen_ratio double, resolved boolean, escalated boolean")
+    assert agents.metrics_of_states(agents.metric_states(none)).count() == 0
+
+
+def test_write_counts_what_it_writes(spark, tmp_path):
+    items = spark.createDataFrame([("a", None), ("b", "broken"), ("c", None)], "path string, error string")
+    path = str(tmp_path / "items")
+    assert quality.write_with_summary(items, path).collect() == quality.batch_summary(items).collect()
+    assert [r.path for r in spark.read.parquet(path).where("failed = 'true'").collect()] == ["b"]
+    assert quality.write_with_summary(items.limit(0), str(tmp_path / "none")).first() == (0, 0, 0)
