@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callweave.session import settle
 
@@ -13,8 +14,9 @@ ROWS_PER_BLOCK = 250
 # bits of a draw, two of which and 12 more make a hash of 64
 _BITS = 26
 _MASK = (1 << _BITS) - 1
-# block of rows without key, behind all others
-_LAST_BLOCK = -(1 << 62)
+# bytes of a name that make a number, and how many such numbers are looked at
+_NAME_BYTES = 7
+_NAME_CODES = 4
 
 
 def fingerprint_texts(calls: DataFrame, key: str = "call_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -107,16 +109,19 @@ def compare_with_edits(
 
     In descending order of the key, the first transcript following the last, the
     last floor(n / 2) characters of a text of n are replaced by as many from the
-    beginning of the next one, or by all of it. Keys are whole numbers.
+    beginning of the next one, or by all of it. Keys are of any orderable type: numbers,
+    strings (compared as UTF-8), dates or timestamps.
 
     Rows fall into blocks of neighbouring keys, to each of which the first row of
     the block behind is added. So the order needs no global sort, each text is
-    shuffled once, and all that follows stays where the block is.
+    shuffled once, and all that follows stays where the block is. A block with too many rows is divided again
+    by its own quartiles, at last by the digests of the texts; only equal rows, and names alike in their
+    first 28 bytes, stay together.
 
     Returns `key`, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited and near_next. Other columns are not read. A null text counts as an
     empty one. Rows without key come last; rows with equal keys follow each other
-    in the order of their texts. An empty table gives an empty result.
+    in the order of the MD5 of their texts. An empty table gives an empty result.
     """
     pairs = neighbours(calls, key, text, rows_per_block)
     half = F.expr("length(_text) div 2").cast("int")
@@ -160,30 +165,74 @@ def compare_with_edits(
 
 def neighbours(calls: DataFrame, key: str, text: str, rows_per_block: int) -> DataFrame:
     """Rows in blocks with the text of the next row in descending order of the key."""
-    rows = calls.select(F.col(key).cast("bigint").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    spread = rows.agg(F.percentile_approx("_key", [0.25, 0.75]).alias("q"), F.count("_key").alias("n")).first()
-    low, high = spread.q or (0, 0)
-    # half of the rows lie between the quartiles
-    width = max(1, round((high - low) / max(1, spread.n / 2) * rows_per_block))
-    blocked = rows.withColumn("_block", F.coalesce(F.floor((F.col("_key") - low) / width), F.lit(_LAST_BLOCK)))
-    heads = settle(blocked.groupBy("_block").agg(F.max("_key").alias("_head")))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("_block"))
-    whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = calls.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    blocked = _in_blocks(rows.withColumn("_digest", F.md5(F.col("_text").cast("binary"))), rows_per_block)
+    down = [F.desc_nulls_last("_key"), F.asc("_digest")]
+    heads = settle(blocked.groupBy("_block").agg(F.max(F.struct(F.col("_key").isNotNull().alias("has"), "_key")).alias("_head")))
+    over = Window.partitionBy(F.lit(0)).orderBy(F.desc("_block"))
+    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # behind the last block comes the first one
     behind = settle(
         heads.select(
             F.col("_block").alias("_before"),
-            F.coalesce(F.lead("_block").over(down), F.first("_block").over(whole)).alias("_block"),
-        ).join(heads, "_block").select("_before", "_block", "_head")
+            F.coalesce(F.lead("_block").over(over), F.first("_block").over(whole)).alias("_block"),
+        ).join(heads, "_block").select("_before", "_block", F.col("_head._key").alias("_head"))
     )
-    first = (F.col("_key").eqNullSafe(F.col("_head"))) & (blocked["_block"] == behind["_block"])
-    ends = blocked.join(behind, first).select("_key", "_text", F.col("_before").alias("_block"), F.lit(True).alias("_end"))
-    order = Window.partitionBy("_block").orderBy("_end", F.desc_nulls_last("_key"), "_text")
+    at_head = F.col("_key").eqNullSafe(F.col("_head")) & (blocked["_block"] == behind["_block"])
+    first_digest = blocked.join(behind, at_head).groupBy("_before", behind["_block"].alias("_in"), "_head").agg(F.min("_digest").alias("_least"))
+    first_digest = settle(first_digest)
+    first = F.col("_key").eqNullSafe(F.col("_head")) & (F.col("_block") == F.col("_in")) & (F.col("_digest") == F.col("_least"))
+    ends = (
+        blocked.join(first_digest, first).groupBy("_before").agg(*[F.any_value(c).alias(c) for c in ("_key", "_text", "_digest")])
+        .select("_key", "_text", "_digest", F.col("_before").alias("_block"), F.lit(True).alias("_end"))
+    )
+    order = Window.partitionBy("_block").orderBy("_end", *down)
     return blocked.withColumn("_end", F.lit(False)).unionByName(ends).select(
-        "*", F.coalesce(F.lead("_text").over(order), F.lit("")).alias("_next"), F.row_number().over(order).alias("_row")
+        "_key", "_text", "_block", "_end", F.coalesce(F.lead("_text").over(order), F.lit("")).alias("_next"), F.row_number().over(order).alias("_row")
     )
 
 
+def _in_blocks(rows: DataFrame, rows_per_block: int) -> DataFrame:
+    """Adds _block, an array of numbers that falls with the order of the rows; blocks hold about `rows_per_block` rows.
+
+    Each number is a monotone function of the key (or, for equal keys, of the digest of the text), so the blocks
+    divide the order wherever they are cut.
+    """
+    digest = -F.conv(F.substring("_digest", 1, 13), 16, 10).cast("bigint")
+    blocked = rows.withColumn("_block", F.array(F.col("_key").isNotNull().cast("bigint")))
+    # a second look at each number divides what its first quartiles left together
+    for code, wanted in [*((c, F.lit(True)) for c in _codes(rows.schema["_key"].dataType) for _ in range(2)), (digest, F.col("_alike")), (digest, F.col("_alike"))]:
+        sized = blocked.groupBy("_block").agg(
+            F.count(F.lit(1)).alias("_n"), F.percentile_approx(code.cast("double"), [0.25, 0.75]).alias("_q"),
+            F.min("_key").eqNullSafe(F.max("_key")).alias("_alike"), (F.min(code) < F.max(code)).alias("_differs"),
+        )
+        divisible = (F.col("_n") > 4 * rows_per_block) & F.col("_differs") & wanted
+        large = settle(sized.where(divisible).drop("_alike", "_differs"))
+        if large.isEmpty():
+            continue
+        # half of the rows lie between the quartiles
+        low, high = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+        width = F.greatest((high - low) * 2 * rows_per_block / F.col("_n"), F.lit(1.0))
+        part = F.floor(F.least(F.greatest((code.cast("double") - low) / width, F.lit(-1e15)), F.lit(1e15)))
+        blocked = blocked.join(large, "_block", "left").select(
+            *rows.columns, F.concat("_block", F.array(F.coalesce(part, F.lit(0)))).alias("_block")
+        )
+    return blocked
+
+
+def _codes(kind: T.DataType) -> list[Column]:
+    """Numbers that grow with the key, the first one first."""
+    key = F.col("_key")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        digits = F.rpad(F.hex(key.cast("binary")), 2 * _NAME_BYTES * _NAME_CODES, "0")
+        return [F.conv(F.substring(digits, 1 + 2 * _NAME_BYTES * i, 2 * _NAME_BYTES), 16, 10).cast("bigint") for i in range(_NAME_CODES)]
+    if isinstance(kind, T.DateType):
+        return [F.unix_date(key)]
+    if isinstance(kind, T.TimestampType):
+        return [F.unix_micros(key)]
+    return [key.cast("double")]
+
+
 def _digest_parts(text: Column) -> list[Column]:
     """SHA-256 of a text as four numbers, which aggregate without a sort."""
     digest = F.sha2(text.cast("binary"), 256)

@@ -88,3 +88,55 @@ def test_query_on_all_documents(spark):
 def test_no_python_in_the_plan(spark):
     plan = queries.op9_weighted_samples(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def check_order(rows, out):
+    """Edits of rows (key, text) against a plain sort: keys descending, none last, equal ones by the MD5 of their texts."""
+    order = sorted(rows, key=lambda r: hashlib.md5((r[1] or "").encode()).hexdigest())
+    order = sorted((r for r in order if r[0] is not None), key=lambda r: r[0], reverse=True) + [r for r in order if r[0] is None]
+    want = Counter()
+    for k, (key, text) in enumerate(order):
+        text, behind = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        want[(key, len(text), hashlib.sha256((text[: len(text) - half] + behind[:half]).encode()).hexdigest())] += 1
+    assert Counter((r.call_id, r.n_chars, r.edited_sha256) for r in out) == want
+
+
+def test_hashed_string_dense_and_equal_keys(spark):
+    draw = np.random.default_rng(3)
+    texts = [f"t{i} " + "w" * int(draw.integers(0, 9)) for i in range(110)]
+    hashed = [int(x) for x in draw.integers(-(2**63), 2**63 - 1, 60)] + [2**63 - 1, -(2**63)]
+    dense = [*range(1000, 1050), *[int(x) for x in draw.integers(-(10**15), 10**15, 50)]]
+    names = [f"call-2024-{i % 7}-{'é' if i % 5 == 0 else 'x'}{i}" for i in range(90)]
+    equal = [None] * 40 + [4] * 60 + [5]
+    for keys, kind in ((hashed, "bigint"), (dense, "bigint"), (names, "string"), (equal, "bigint")):
+        rows = list(zip(keys, texts))
+        df = spark.createDataFrame(rows, f"call_id {kind}, text string")
+        check_order(rows, fingerprint.compare_with_edits(df, samples=1, rows_per_block=8).collect())
+        sizes = fingerprint.neighbours(df, "call_id", "text", 8).groupBy("_block").count()
+        assert max(r["count"] for r in sizes.collect()) <= 34
+
+
+def test_samples_equal_numpy(spark, calls):
+    """Every sample of a few texts, recomputed from the hashes of its words."""
+    texts = {i: " ".join(f"w{j % (i + 2)}" for j in range(3 * i + 1)) for i in range(12)}
+    terms = fingerprint.with_terms(calls(list(texts.items())).select("call_id", F.col("text").alias("_text")))
+    samples = [c.alias(f"s{i}") for i, c in enumerate(fingerprint.weighted_samples(5))]
+    got = {r.call_id: list(r)[1:] for r in terms.groupBy("call_id").agg(*samples).collect()}
+    words = sorted({w for t in texts.values() for w in t.split()})
+    hashes = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("_term"))
+    draws = {}
+    for i in range(5):
+        rows = hashes.select("w", F.xxhash64("_term", F.lit(2 * i)).alias("a"), F.xxhash64("_term", F.lit(2 * i + 1)).alias("b")).collect()
+        for r in rows:
+            one, two = r.a & (2**64 - 1), r.b & (2**64 - 1)
+            u = [((x >> s) & (2**26 - 1)) + 0.5 for x, s in ((one, 0), (one, 26), (two, 0), (two, 26))]
+            step, c = (-np.log(u[k] / 2**26 * (u[k + 1] / 2**26)) for k in (0, 2))
+            draws[r.w, i] = step, c, ((one >> 52) * 4096 + (two >> 52) + 0.5) / 2**24
+    for key, text in texts.items():
+        for i in range(5):
+            values = []
+            for w, n in counts(text).items():
+                r, c, b = draws[w, i]
+                values.append(r * (np.floor(np.log(n) / r + b) - b + 1) - np.log(c))
+            assert got[key][i] == pytest.approx(max(values), rel=1e-12)
