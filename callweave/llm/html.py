@@ -33,8 +33,11 @@ MARKS = set(
     "related replies respond search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget banner "
     "complementary contentinfo alert dialog".split()
 )
-# of the largest density sum below a marked element or a form, what the rest of the page has at least if it is left out
-LEAST_REST = 0.25
+# words that only say which one, where or how many, so they leave a mark beside them as it is
+NEUTRAL = set(
+    "area bar block body bottom box button buttons col column container content form group icon icons inner item items left link links list "
+    "main outer page post posts primary right row secondary section signup site slot top unit user users wrap wrapper".split()
+)
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # an open element of this name ends when one of these begins
 CLOSES = {
@@ -60,6 +63,9 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^\s>]*+))?+")
 _MARK_PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])\d+")
 _SPACE = re.compile(r"\s+")
+# the end of a sentence, also of scripts without spaces
+_SENTENCE = re.compile(r"[.!?…。！？؟।][\"'”’»)\]]*(?:\s|$)")
+SENTENCE_WORDS = 4
 
 
 @dataclass(slots=True, eq=False)
@@ -92,11 +98,10 @@ def extract_main_text(captures: DataFrame, key: str = "page_id", url: str = "url
     adjusted down by the share of characters and tags in links. The sum of the
     densities of an element's children marks the element that holds the text; the
     threshold is the least density on the path from that element up to the body.
-    The text is the outermost article on the path if there is one, else the topmost
-    element with a heading or with another child as dense as the threshold. Elements that can't be text (menus, headers, footers,
-    sidebars, scripts, hidden ones) are cut out before. Forms and elements with a
-    class, id or role that only says what is around a text (`ad`, `cookie-notice`, not
-    `has-sidebar`) are cut out too, unless the page has hardly any text without them.
+    The text is the topmost element on the path with a heading or with another child as dense as the threshold. Elements
+    that can't be text (menus, headers, footers, sidebars, scripts, hidden ones) have no density. Neither have forms and
+    elements with a class, id or role that only says what is around a text (`ad-box`, `cookie-notice`, `comment-list`, not
+    `has-sidebar`), unless they hold the page's `main` element or `h1`, or nothing else on the page reads as text.
 
     Returns `key`, `url` and text ('' if there is none). Other columns are not
     read. Null or empty html gives ''. An empty table gives an empty result.
@@ -192,55 +197,63 @@ def judge(name: str, attributes: str) -> tuple[bool, str]:
         given.setdefault(attribute.lower(), entities.unescape(value.strip(value[:1]) if value[:1] in ("'", '"') else value).lower())
     if "hidden" in given or given.get("aria-hidden", "").strip() == "true":
         return True, ""
-    if name not in ("article", "main", "body"):
+    if name not in ("main", "body"):
         for attribute in ("class", "id", "role"):
             for token in given.get(attribute, "").split():
-                parts = [p for p in _MARK_PARTS.split(token) if p]
+                parts = {p for p in _MARK_PARTS.split(token) if p and not p.isdigit()}
                 # one word of another kind makes it a name for something else: no-header, ad-free, page-with-menu
-                if parts and MARKS.issuperset(parts):
+                if parts & MARKS and parts <= MARKS | NEUTRAL:
                     return False, token
     return False, "form" if name == "form" else ""
 
 
 def clear_doubts(body: Node) -> None:
-    """Keeps doubted elements that hold the text after all: a page in a form, or in a box with the name of a sidebar.
+    """Keeps doubted elements that are around the page: those with its `main` element or `h1`.
 
-    What each of them holds is measured apart from the rest and from each other.
-    The one with the largest density sum is kept, with the doubted ones around it
-    from the outermost on, while the rest has less than LEAST_REST of that sum.
-    Others with the same name and mark are kept with it.
+    If nothing else on the page reads as text, the one with the largest density sum is kept too, with the doubted ones around it
+    from the outermost on until something does, and with others of the same name and mark.
     """
     doubted, todo = [], [body]
     while todo:
         node = todo.pop()
         if node.doubt:
             doubted.append(node)
+        if node.name in ("main", "h1"):
+            around = node.parent
+            while around is not None:
+                around.doubt = ""
+                around = around.parent
         todo.extend(p for p in node.parts if isinstance(p, Node) and not p.dropped)
-    if not doubted:
+    doubted = [n for n in doubted if n.doubt]
+    if not doubted or reads(body):
         return
     held = {}
-    for top in (body, *doubted):
+    for top in doubted:
         measure(top)
         held[top] = max(densest(top).sum, top.density)
-    most = max(doubted, key=held.__getitem__)
-    around, node = [], most
+    around, node = [], max(doubted, key=held.__getitem__)
     while node is not None:
         if node.doubt:
             around.append(node)
         node = node.parent
-    rest, kept = held[body], set()
+    kept = set()
     for node in reversed(around):
-        if rest >= LEAST_REST * held[most]:
-            break
-        rest = max(rest, held[node])
-        kept.add((node.name, node.doubt))
+        # another form is another form, but what bears one mark is of one kind
+        if node.doubt != "form":
+            kept.add((node.name, node.doubt))
         node.doubt = ""
+        if reads(body):
+            break
     for node in doubted:
-        # another form is another form, but what bears one mark is of one kind
-        if node.doubt != "form" and (node.name, node.doubt) in kept:
+        if (node.name, node.doubt) in kept:
             node.doubt = ""
 
 
+def reads(body: Node) -> bool:
+    """Whether a block outside doubted elements reads as text: a sentence of some words."""
+    return any(_SENTENCE.search(b) and len(b.split()) >= SENTENCE_WORDS for b in blocks(body))
+
+
 def measure(top: Node) -> None:
     """Densities of an element and all below it, from the leaves up."""
     order, todo = [], [top]
@@ -284,10 +297,6 @@ def main_element(body: Node) -> Node:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    # an element that the page itself calls the article is the text, with its heading
-    named = [n for n in path if n.name in ("article", "main")]
-    if named:
-        return named[-1]
     threshold = min(n.density for n in path)
     for node in reversed(path):
         others = [p for p in node.parts if isinstance(p, Node) and not p.out and p not in path]

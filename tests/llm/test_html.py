@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.llm import queries
+from callweave.llm import html, queries
 from callweave.llm.html import extract_main_text, main_text
 
 SF = "/root/testdata/sf0.01"
@@ -91,3 +91,72 @@ def test_query_equals_the_article_of_every_page(spark):
         parts = re.split(r"</?(?:p|h1)>", re.sub("<br>", " ", article))
         blocks = [re.sub(r"\s+", " ", entities.unescape(re.sub(r"<[^>]*>", "", p))).strip() for p in parts]
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+ARTICLE = "<h1>On hills</h1><p>" + "A long and quiet walk over the hills of the north. " * 6 + "</p>"
+AD = "<p>" + "Buy the new thing now, it is better than all the other things. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "mark",
+    "comment-list comments-area comment-body user-comments post-comments site-footer ad-container ad-slot ad-box share-buttons cookie-bar "
+    "newsletter-signup widget-area sidebar-right left-sidebar related-posts main-nav comment-1 cookie-notice cookie_banner".split(),
+)
+def test_marked_blocks_go_however_long(mark):
+    page = f"<body><article>{ARTICLE}<div class='{mark}'>{AD * 6}</div></article></body>"
+    assert html.main_text(page).split("\n")[0] == "On hills" and "Buy" not in html.main_text(page)
+
+
+@pytest.mark.parametrize("name", "has-sidebar no-header ad-free page-with-menu article-header without-comments".split())
+def test_other_names_stay(name):
+    assert "quiet walk" in html.main_text(f"<body><div class='{name}'>{ARTICLE}</div></body>")
+
+
+def test_short_article_beside_long_adverts_and_comments():
+    one = "<p>Only one short paragraph stands here.</p>"
+    assert html.main_text(f"<body><div><h2>T</h2>{one}<div class='ad'>{AD * 6}</div></div></body>") == "T\nOnly one short paragraph stands here."
+    page = f"<main>{ARTICLE}<article class='comment'>{AD}</article><article class='comment'>{AD}</article></main>"
+    assert "Buy" not in html.main_text(page)
+
+
+def test_page_in_a_form_or_a_named_box():
+    assert "quiet walk" in html.main_text(f"<form action=x>{ARTICLE}<input name=q></form><div>Copyright</div>")
+    assert "quiet walk" in html.main_text(f"<div id=sidebar>{ARTICLE.replace('h1', 'h2')}</div>")
+
+
+def brute_density(node):
+    """Density and sum of children from the definitions, by recursion over the whole tree."""
+    chars = tags = link_chars = link_tags = 0
+
+    def count(n, in_link):
+        nonlocal chars, tags, link_chars, link_tags
+        for p in n.parts:
+            if isinstance(p, str):
+                chars += len("".join(p.split()))
+                link_chars += len("".join(p.split())) if in_link else 0
+            elif not p.out:
+                tags += 1
+                link_tags += 1 if in_link or p.name == "a" else 0
+                count(p, in_link or p.name == "a")
+
+    count(node, node.name == "a")
+    if node.name == "a":
+        link_tags = tags
+    return chars / max(1, tags) * (1 - link_chars / max(1, chars)) * (1 - link_tags / max(1, tags + 1))
+
+
+def test_densities_and_choice_equal_brute_force(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(40).collect()]
+    for page in pages:
+        body = html.parse(page)
+        html.clear_doubts(body)
+        html.measure(body)
+        nodes, todo = [], [body]
+        while todo:
+            n = todo.pop()
+            nodes.append(n)
+            todo.extend(p for p in n.parts if isinstance(p, html.Node) and not p.out)
+        for n in nodes:
+            assert n.density == pytest.approx(brute_density(n))
+            assert n.sum == pytest.approx(sum(brute_density(p) for p in n.parts if isinstance(p, html.Node) and not p.out))
+        assert html.densest(body).sum == max(n.sum for n in nodes)
