@@ -127,8 +127,10 @@ def write_resolved(resolved: DataFrame, folder: str) -> DataFrame:
     """Writes the successor of each archive, with revisit records in place of repeated payloads.
 
     The headers of one archive come to one task, which are as many as an archive
-    holds; payloads are read from the archive one at a time. Returns path and the number of records.
+    holds; payloads are read from the archive one at a time. There are as many tasks as archives, since their work is
+    that of the payloads, not of the few bytes of headers. Returns path and the number of records.
     """
+    n_archives = resolved.agg(F.countDistinct("path")).first()[0]
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("offset")
@@ -143,7 +145,8 @@ def write_resolved(resolved: DataFrame, folder: str) -> DataFrame:
         archive.close()
         return pd.DataFrame({"path": [archive.uri], "n_records": [len(group)]})
 
-    return resolved.select("path", "offset", "original").groupBy("path").applyInPandas(work, "path string, n_records bigint")
+    dealt = resolved.select("path", "offset", "original").repartition(max(1, n_archives), "path")
+    return dealt.groupBy("path").applyInPandas(work, "path string, n_records bigint")
 
 
 def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
