@@ -162,6 +162,36 @@ def s1(spark, sf):
     return files.load_turns(spark, path).withColumn("call_id", F.col("call_id").cast("bigint"))
 
 
+def _conversation_files(spark, sf):
+    """Files of both shapes; some cut off, some without turns, some with keys that nobody asked for."""
+    path = scratch_path(spark, "conversations")
+    turn = F.struct("speaker", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), "text", F.lit(1).alias("more"))
+    calls = T.turns(spark, sf).groupBy("call_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn_idx", turn.alias("t")))), lambda x: x["t"]).alias("conversation")
+    )
+    whole = F.when(F.col("call_id") % 2 == 0, F.to_json("conversation")).otherwise(F.to_json(F.struct("conversation", F.lit("x").alias("extra"))))
+    body = F.when(F.col("call_id") % 5 == 3, F.left(whole, F.length(whole) - 1)).when(F.col("call_id") % 7 == 4, F.lit('{"turns": []}')).otherwise(whole)
+    calls.select(F.col("call_id").alias("call"), body.alias("value")).write.partitionBy("call").text(path)
+    return files.read_conversations(spark, path)
+
+
+@register(
+    "s1_conversations_of_both_shapes",
+    with_ctes(TURNS) + "SELECT call_id, turn_idx, speaker, start_ms, end_ms, text FROM turns WHERE call_id % 5 <> 3 AND call_id % 7 <> 4",
+)
+def s1_shapes(spark, sf):
+    return _conversation_files(spark, sf).turns.withColumn("call_id", F.col("call_id").cast("bigint"))
+
+
+@register(
+    "s1_broken_files",
+    """SELECT call_id, CASE WHEN call_id % 5 = 3 THEN 'Not valid JSON' ELSE 'No list of turns' END AS error
+FROM (SELECT DISTINCT conv_id AS call_id FROM conversations) WHERE call_id % 5 = 3 OR call_id % 7 = 4""",
+)
+def s1_broken(spark, sf):
+    return _conversation_files(spark, sf).outcomes.where("error IS NOT NULL").select(F.col("call_id").cast("bigint").alias("call_id"), "error")
+
+
 @register("w7_turn_order", "SELECT conv_id AS call_id, turn AS turn_idx, role AS speaker, text FROM conversations")
 def w7(spark, sf):
     """Turns kept as an array per call and numbered again by their place in it."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from callweave import schema
 from callweave.config import DEFAULTS
 from callweave.functions import text as tx
+from callweave.session import settle
 
 
 def _ms(seconds: Column) -> Column:
@@ -52,6 +54,44 @@ def load_turns(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Conversations:
+    """`turns` as of `load_turns`; `outcomes` has each file with its call and an error, null for a file that was read."""
+
+    turns: DataFrame
+    outcomes: DataFrame
+
+
+_NOT_JSON, _NO_TURNS, _BAD_TURN = "Not valid JSON", "No list of turns", "A turn is not an object with text"
+
+
+def read_conversations(spark: SparkSession, path: str) -> Conversations:
+    """Conversation files of both shapes, parsed once; files that are broken become rows with an error.
+
+    A file is an object with `conversation` or a bare array; keys that are not known are passed over, and a time or speaker that is
+    missing, null or of another type is null. Text that is no JSON, a file without a list of turns, and one with a turn that is no object with
+    text fail as a whole, so no call is read in part. (A file of no bytes at all gives no row: Spark's text source passes it over.) `outcomes` is what `quality.batch_summary` and `batch_failures` take.
+    """
+    file_path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(file_path, r"/call=([^/]+)/[^/]*$", 1)
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        file_path.alias("path"), F.when(folder != "", folder).otherwise(tx.call_id_of(file_path)).alias("call_id"), F.try_parse_json("value").alias("body")
+    )
+    bare = F.startswith(F.schema_of_variant("body"), F.lit("ARRAY"))
+    turns = F.when(bare, F.try_variant_get("body", "$", "array<variant>")).otherwise(F.try_variant_get("body", "$.conversation", "array<variant>"))
+    kinds = (("speaker", "string"), ("start", "double"), ("end", "double"), ("text", "string"))
+    read = F.transform(turns, lambda t: F.struct(*[F.try_variant_get(t, f"$.{n}", kind).alias(n) for n, kind in kinds]))
+    error = (
+        F.when(F.col("body").isNull(), _NOT_JSON).when(F.col("turns").isNull(), _NO_TURNS)
+        .when(F.exists("turns", lambda t: t["text"].isNull()), _BAD_TURN)
+    )
+    files = settle(raw.select("path", "call_id", "body", read.alias("turns")).select("path", "call_id", error.alias("error"), "turns"))
+    good = explode_turns(files.where("error IS NULL"), "turns").select(
+        "call_id", "turn_idx", "t.speaker", _ms(F.col("t.start")).alias("start_ms"), _ms(F.col("t.end")).alias("end_ms"), "t.text"
+    )
+    return Conversations(good, files.drop("turns"))
+
+
 def load_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.MANIFEST_JSON).json(path)
 

@@ -150,3 +150,22 @@ def test_argmax_tie_takes_the_first_class(spark):
         learn.argmax_of_map(F.create_map(F.lit("b"), F.lit(0.5), F.lit("a"), F.lit(0.5))),
     ).first()
     assert list(r) == ["a", "a"]
+
+
+def test_conversation_files_of_any_kind(spark, tmp_path):
+    good = '{"speaker": "AGENT", "start": 1.25, "end": 2, "text": "Hi", "mood": {"x": [1]}}'
+    bodies = {
+        "array": f"[{good}]", "object": f'{{"id": 7, "conversation": [{good}, {{"text": "so", "start": "late", "speaker": null}}]}}', "none": "[]",
+        "cut": f"[{good}", "empty": "\n", "other": '{"conversation": 3}', "null": "null", "bad": f'[{good}, {{"speaker": "AGENT"}}]', "plain": '["Hi"]',
+    }
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.json").write_text(body)
+    out = files.read_conversations(spark, str(tmp_path))
+    rows = sorted(tuple(r) for r in out.turns.collect())
+    assert rows == [("array", 0, "AGENT", 1250, 2000, "Hi"), ("object", 0, "AGENT", 1250, 2000, "Hi"), ("object", 1, None, None, None, "so")]
+    errors = {r.call_id: r.error for r in out.outcomes.collect()}
+    assert errors == {
+        "array": None, "object": None, "none": None, "cut": "Not valid JSON", "empty": "Not valid JSON", "other": "No list of turns",
+        "null": "No list of turns", "bad": "A turn is not an object with text", "plain": "A turn is not an object with text",
+    }
+    assert quality.batch_summary(out.outcomes).first() == (9, 3, 6)
