@@ -597,26 +597,41 @@ def c12(spark, sf):
     return predicted.join(rows.select("call_id", "split"), "call_id", "left")
 
 
-def _models(spark, sf):
-    rows = settle(
-        features.business_features(T.scored_turns(spark, sf))
-        .join(features.first_customer_intent(T.scored_turns(spark, sf)), "call_id")
-        .join(rules.outcome_labels(T.outcomes(spark, sf)), "call_id")
-    )
+def _halves(spark, sf):
+    """Both halves of the calls, each beside the other half, from which its models are learned."""
+    scored = settle(T.scored_turns(spark, sf))
+    half = F.pmod(F.xxhash64("call_id"), F.lit(2))
+    return [(scored.where(half == i), scored.where(half != i)) for i in (0, 1)]
+
+
+def _models(scored, outcomes):
+    intents = features.first_customer_intent(scored)
+    rows = settle(features.business_features(scored).join(intents, "call_id").join(rules.outcome_labels(outcomes), "call_id"))
     return learn.train_resolution(rows), learn.train_escalation(rows)
 
 
+def _intent_model(scored):
+    """Intents of calls learned from their texts."""
+    texts = sentiment.intent_text(scored).join(features.first_customer_intent(scored), "call_id")
+    model = learn.train_text_baseline(texts, "intent_text", "intent")
+    return lambda wanted: learn.score(model, wanted).select("call_id", F.col("predicted").alias("label"), "confidence")
+
+
 def _intent_of(texts):
-    """Stands for a trained intent model: label and confidence from the length of the text."""
+    """Intents as a table that SQL can follow: label and confidence from the length of the text."""
     size = F.length("intent_text")
     return texts.select("call_id", T.pick(C.INTENTS, size % 11).alias("label"), ((50 + size % 50) / F.lit(100.0)).alias("confidence"))
 
 
 @register("c5_analyze_calls")
 def c5(spark, sf):
-    """The nested rows as JSON."""
-    out = jobs.analyze_calls(T.scored_turns(spark, sf), _intent_of, *_models(spark, sf))
-    return out["calls"].select("call_id", F.to_json(F.struct("*")).alias("analysis"))
+    """The nested rows as JSON; each half of the calls is analysed by models of the other."""
+    out = None
+    for learned, rest in _halves(spark, sf):
+        done = jobs.analyze_calls(rest, _intent_model(learned), *_models(learned, T.outcomes(spark, sf)))["calls"]
+        rows = done.select("call_id", F.to_json(F.struct("*")).alias("analysis"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _assembled(spark, sf, scored):
@@ -720,9 +735,11 @@ def m11_tagged(spark, sf):
 
 @register("c6_agent_report")
 def c6(spark, sf):
-    resolution, escalation = _models(spark, sf)
-    satisfaction = learn.train_conversation_baseline(settle(_conversation_rows(spark, sf)), ["satisfaction"])
-    report = jobs.agent_report(
-        T.scored_turns(spark, sf), T.agents_of_calls(spark, sf), resolution, escalation, satisfaction["satisfaction"]
-    )
-    return report.select("agent_id", "num_calls", "resolution_rate", "escalation_rate", "score")
+    """All calls, each half scored by models of the other."""
+    rows, metrics = settle(_conversation_rows(spark, sf)), None
+    for learned, rest in _halves(spark, sf):
+        known = rows.join(learned.select("call_id").distinct(), "call_id", "left_semi")
+        satisfaction = learn.train_conversation_baseline(known, ["satisfaction"])["satisfaction"]
+        part = jobs.predicted_metrics(rest, T.agents_of_calls(spark, sf), *_models(learned, T.outcomes(spark, sf)), satisfaction)
+        metrics = part if metrics is None else metrics.unionByName(part)
+    return jobs.report_on(metrics).select("agent_id", "num_calls", "resolution_rate", "escalation_rate", "score")

@@ -192,14 +192,14 @@ def assemble_calls(
     return {"calls": calls, "turns": turns, "emotions": nlp["emotion_timeline"]}
 
 
-def agent_report(
+def predicted_metrics(
     scored: DataFrame,
     agents_of_calls: DataFrame,
     resolution_model: PipelineModel,
     escalation_model: PipelineModel,
     satisfaction_model: PipelineModel,
 ) -> DataFrame:
-    """Metrics and score per agent, with the three labels predicted by models."""
+    """Metrics of each call, with the three labels predicted by models."""
     intents = features.first_customer_intent(scored)
     feats = settle(features.business_features(scored).join(intents, "call_id"))
     resolution = learn.score(resolution_model, feats).select(
@@ -210,10 +210,24 @@ def agent_report(
     )
     conv = features.conversation_features(scored, entity_counts(scored)).join(intents, "call_id")
     satisfied = learn.score(satisfaction_model, conv).select("call_id", F.col("predicted").alias("satisfaction"))
-    metrics = agents.agent_metrics(
-        agents.call_metrics(feats, features.talk_listen(scored), resolution, risk, satisfied, agents_of_calls)
-    )
-    return metrics.join(agents.agent_score(metrics), "agent_id")
+    return agents.call_metrics(feats, features.talk_listen(scored), resolution, risk, satisfied, agents_of_calls)
+
+
+def report_on(metrics: DataFrame) -> DataFrame:
+    """Metrics and score per agent, from the metrics of calls."""
+    rolled = agents.agent_metrics(metrics)
+    return rolled.join(agents.agent_score(rolled), "agent_id")
+
+
+def agent_report(
+    scored: DataFrame,
+    agents_of_calls: DataFrame,
+    resolution_model: PipelineModel,
+    escalation_model: PipelineModel,
+    satisfaction_model: PipelineModel,
+) -> DataFrame:
+    """Metrics and score per agent, with the three labels predicted by models."""
+    return report_on(predicted_metrics(scored, agents_of_calls, resolution_model, escalation_model, satisfaction_model))
 
 
 def evaluate_asr(manifest: DataFrame, segments: DataFrame) -> dict[str, DataFrame]:
