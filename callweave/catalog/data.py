@@ -519,6 +519,27 @@ def m5(spark, sf):
     return learn.score(model, rows.filter("split = 'test'")).select("call_id", "resolution", "predicted", "confidence")
 
 
+HELD_OUT = "SELECT floor(count(DISTINCT o_custkey) * 0.2)::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+@register(
+    "m5_sound_scores",
+    f"SELECT n AS n_calls, 0::BIGINT AS n_repeated, 0::BIGINT AS n_bad_sums, 0::BIGINT AS n_other_labels, 0::BIGINT AS n_other_confidences FROM ({HELD_OUT})",
+)
+def m5_sound(spark, sf):
+    """What holds for any model: a call is scored once, probabilities sum to 1, the label is the most probable one."""
+    rows = settle(sampling.holdout_split(settle(_call_features(spark, sf)), ["call_id"], {"test": 0.2}))
+    model = learn.train_resolution(rows.filter("split = 'train'"))
+    scored = learn.score(model, rows.filter("split = 'test'"))
+    total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda a, x: a + x)
+    own = F.element_at("probabilities", F.col("predicted"))
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_calls"), (F.count(F.lit(1)) - F.count_distinct("call_id")).alias("n_repeated"),
+        F.count_if(F.abs(total - 1) > 1e-9).alias("n_bad_sums"), F.count_if(F.col("predicted") != learn.argmax_of_map(F.col("probabilities"))).alias("n_other_labels"),
+        F.count_if(own != F.col("confidence")).alias("n_other_confidences"),
+    )
+
+
 @register("m6_escalation_scores")
 def m6(spark, sf):
     rows = settle(sampling.holdout_split(settle(_call_features(spark, sf)), ["call_id"], {"test": 0.2}))
@@ -533,6 +554,15 @@ def m7(spark, sf):
     return learn.importances(model, spark)
 
 
+@register("m7_importance_sums", "SELECT 1.0::DOUBLE AS total, 0::BIGINT AS n_negative, 0::BIGINT AS n_repeated")
+def m7_sums(spark, sf):
+    table = settle(learn.importances(learn.train_escalation(settle(_call_features(spark, sf))), spark))
+    return table.agg(
+        F.round(F.sum("importance"), 6).alias("total"), F.count_if(F.col("importance") < 0).alias("n_negative"),
+        (F.count(F.lit(1)) - F.count_distinct("feature")).alias("n_repeated"),
+    )
+
+
 @register("m8_saved_model_scores", "SELECT count(DISTINCT o_custkey) AS n_calls, 0::BIGINT AS n_different FROM orders JOIN customer ON o_custkey = c_custkey")
 def m8(spark, sf):
     """Scores before a model is saved against those after it is loaded again."""
