@@ -115,10 +115,11 @@ def call_wer(pairs: DataFrame, whole_cells: int = WHOLE_CELLS, block_words: int
     room = (F.length(F.coalesce("reference", F.lit(""))) + 1) * (F.length(F.coalesce("hypothesis", F.lit(""))) + 1)
     # a word takes two characters at least
     large = room > 4 * whole_cells
+    pairs = settle(pairs)  # read once to look for large ones, once to align the others
     whole = _with_rates(_whole_edits(pairs.where(~large)))
     if pairs.where(large).isEmpty():
         return whole
-    return whole.unionByName(_with_rates(_block_edits(settle(pairs.where(large)), block_words)))
+    return whole.unionByName(_with_rates(_block_edits(pairs.where(large), block_words)))
 
 
 def _with_words(pairs: DataFrame) -> DataFrame:
