@@ -23,6 +23,12 @@ def source_key(source: str) -> list[Column]:
     return [F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"), F.col(source).isNull().alias("_no_source")]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name itself, or with the first number that no column of the table has."""
+    used = {c.lower() for c in df.columns}
+    return next(n for n in (f"{name}{i or ''}" for i in range(len(used) + 1)) if n.lower() not in used)
+
+
 # Rows of a batch that goes to Python; they are whole texts.
 BATCH_ROWS = 1000
 

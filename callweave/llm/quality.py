@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import WORD, short_batches
+from callweave.llm.common import WORD, free_name, short_batches
 
 # Most characters in repeated n-grams of a length, in percent of all characters in words.
 NGRAM_LIMITS = {5: 30, 7: 28, 10: 25}
@@ -66,8 +66,9 @@ def assess_quality(
 
 def keep_good(calls: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text is kept, with all their columns."""
-    counted = short_batches(calls).withColumn("_counts", repetition(F.col(text)))
-    return counted.where(verdict("_counts")["kept"]).drop("_counts")
+    counts = free_name(calls, "_counts")
+    counted = short_batches(calls).withColumn(counts, repetition(F.col(text)))
+    return counted.where(verdict(counts)["kept"]).drop(counts)
 
 
 def _counter(lengths: tuple[int, ...], fields: list[str]) -> Callable[[pa.Array], pa.Array]:

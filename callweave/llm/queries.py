@@ -217,7 +217,7 @@ SELECT *, base_failed IS FALSE AND 100 * dup_line_chars <= 30 * word_chars AND 1
   AND 100 * dup_chars_5 <= 30 * word_chars AND 100 * dup_chars_7 <= 28 * word_chars AND 100 * dup_chars_10 <= 25 * word_chars AS kept
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)""",
     "op4_mix_sources": rf"""
-WITH base AS (
+WITH RECURSIVE base AS (
   SELECT doc_id, coalesce(source, '') AS s, source IS NULL AS no_s,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     ({DRAWN} + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
@@ -242,15 +242,22 @@ rules AS (
   FROM (SELECT *, floor(ratio)::BIGINT AS whole FROM (
     SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END AS ratio FROM targets))),
 ranked AS (
-  SELECT *, sum(size) OVER (PARTITION BY s, no_s ORDER BY q, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  SELECT * REPLACE (CASE WHEN size > (whole + 1) * source_size - target THEN -1 / q ELSE q END AS q)
   FROM (SELECT *, CASE WHEN odds > 0 THEN (u / (1 - u)) / odds END AS q FROM base JOIN rules USING (s, no_s))),
-cut AS (SELECT *, coalesce(max(CASE WHEN odds > 0 AND upto <= words_open THEN upto END) OVER (PARTITION BY s, no_s), 0) AS got FROM ranked),
-extra AS (
-  SELECT *, min(CASE WHEN odds > 0 AND upto > words_open AND abs(words_open - got - size) < words_open - got
-    THEN {{'off': abs(words_open - got - size), 'q': q, 'id': doc_id}} END) OVER (PARTITION BY s, no_s) AS e FROM cut)
-SELECT doc_id, size, source_size, target,
-  (whole + CASE WHEN odds > 0 AND (upto <= words_open OR (q = e.q AND doc_id = e.id)) THEN 1 ELSE 0 END) * size AS taken
-FROM extra""",
+-- one step per round: each row sees what the rows before it would fill
+walk AS (
+  SELECT s, no_s, doc_id, size, q, words_open AS room, words_open AS most, false AS got, 0 AS step FROM ranked WHERE odds > 0 AND size > 0
+  UNION ALL
+  SELECT s, no_s, doc_id, size, q, room - gain, CASE WHEN gain > 0 THEN room - gain ELSE most END / 2, got OR now, step + 1
+  FROM (SELECT *, coalesce(sum(size) FILTER (now) OVER (PARTITION BY s, no_s), 0)::BIGINT AS gain FROM (
+    SELECT *, may AND sum(CASE WHEN may THEN size ELSE 0 END) OVER (PARTITION BY s, no_s ORDER BY q, doc_id) <= room AS now
+    FROM (SELECT *, NOT got AND size <= most AS may FROM walk WHERE most >= 1)))),
+walked AS (SELECT * FROM walk QUALIFY step = max(step) OVER (PARTITION BY s, no_s)),
+nearest AS (
+  SELECT *, min(CASE WHEN NOT got AND abs(room - size) < room THEN {{'off': abs(room - size), 'q': q, 'id': doc_id}} END) OVER (PARTITION BY s, no_s) AS e
+  FROM walked)
+SELECT doc_id, r.size, source_size, target, (whole + CASE WHEN n.got OR doc_id = n.e.id THEN 1 ELSE 0 END) * r.size AS taken
+FROM ranked r LEFT JOIN nearest n USING (doc_id)""",
     "op3_warc_revisits": """
 WITH records AS (
   SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS payload_digest FROM pages),

@@ -1,4 +1,6 @@
+import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -63,6 +65,74 @@ def test_mix_comes_near_targets_and_keeps_columns(spark, calls):
     assert sum(target.values()) == pytest.approx(sum(r[1] for r in once))
 
 
+def walk(rows, open_):
+    """Sizes that a mix takes of one source: rounds down the order, one row after another."""
+    left, got, most, room = list(rows), [], open_, open_
+    while most >= 1:
+        stopped, kept, gain = False, [], 0
+        for q, i, size in sorted(left):
+            if not stopped and size <= most:
+                stopped = gain + size > room
+                if not stopped:
+                    gain += size
+                    got.append(i)
+                    continue
+            kept.append((q, i, size))
+        room -= gain
+        most, left = (room if gain else most) / 2, kept
+    near = [(abs(room - size), q, i) for q, i, size in left if abs(room - size) < room and size]
+    return set(got) | ({min(near)[2]} if near else set())
+
+
+def lengths(seed):
+    rng = random.Random(seed)
+    some = [rng.choice([0, 1, 3, 20, 21, 22, rng.randint(1, 60)]) for _ in range(120)]
+    return some + [[], [sum(some)], [sum(some) // 2, sum(some) // 3], [40] * 50][seed % 4]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_equal_a_walk_down_the_order(spark, calls, seed):
+    """Sources with one or two documents of a large part of the words come near their targets as well."""
+    rows = [(1000 * k + i, "w " * n, None, s) for k, s in enumerate("abc") for i, n in enumerate(lengths(seed + k))]
+    df = calls(rows)
+    sized = df.withColumn("size", mixing.word_count("text"))
+    rules = mixing.mixing_rules(sized, rows_per_block=30)
+    out = mixing.mix_sources(sized, rules).collect()
+    for rule in rules.collect():
+        mine = [r for r in out if r.source == rule._source]
+        ranked = []
+        for r in mine:
+            u = (int(hashlib.md5(f"0:{r.call_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            if rule.odds > 0 and r.size:
+                q = (u / (1 - u)) / rule.odds
+                must = r.size > (rule.whole + 1) * rule.source_size - rule.target
+                ranked.append((-1 / q if must else q, r.call_id, r.size))
+        open_ = rule.target - rule.whole * rule.source_size
+        want = walk(ranked, open_)
+        assert {r.call_id for r in mine if r.copies > rule.whole} == want
+        untaken = [n for _, i, n in ranked if i not in want]
+        off = abs(sum(r.copies * r.size for r in mine) - rule.target)
+        assert off <= min(untaken, default=0) + 1e-6
+
+
+def test_one_long_document_does_not_keep_a_source_from_its_target(spark, calls):
+    rows = [(1, "w " * 800, None, "a")] + [(10 + i, "w " * 20, None, "a") for i in range(60)] + [(100 + i, "w " * 20, None, "b") for i in range(100)]
+    taken, target = Counter(), {}
+    for r in mixed(calls(rows)).collect():
+        taken[r.source] += r.size * r.copies
+        target[r.source] = r["_mix"].target
+    assert all(abs(taken[s] - target[s]) <= 10 for s in target), (taken, target)
+
+
+def test_columns_with_the_names_used_inside_are_kept(spark, calls):
+    df = calls([(i, "w " * (i % 9), None, "ab"[i % 2]) for i in range(40)])
+    for name in ("_source", "_no_source", "_rule", "_by", "_size", "_key", "odds"):
+        df = df.withColumn(name, F.lit("mine"))
+    out = mixed(df)
+    assert set(out.columns) == {*df.columns, "size", "copies", "_mix"}
+    assert all(r[n] == "mine" for r in out.collect() for n in df.columns[4:])
+
+
 def test_mix_nulls_ties_repeats_and_empty(spark, calls):
     rows = [(1, None, None, None), (None, "a b c", None, "s"), (None, "a b c", None, "s"), (2, "", None, "s"), (2, "", None, "s"), (3, "x " * 5000, None, "t")]
     out = mixed(calls(rows)).collect()
