@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import jaccard, mixing, quality, queries, toxicity
-from callweave.llm.common import as_calls
+from callweave.llm.common import as_calls, free_name
 from callweave.session import scratch_path, settle
 
 
@@ -30,10 +30,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: each document is there as often as the mix takes it."""
-    sized = settle(docs.select("doc_id", "source", mixing.word_count("text").alias("size")))
-    mixed = mixing.mix_sources(docs, mixing.mixing_rules(sized, key="doc_id"), key="doc_id")
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return mixed.where("copies > 0").select(*docs.columns, copies.alias("_copy")).drop("_copy")
+    size, copies, goal, copy = (free_name(docs, n) for n in ("_size", "_copies", "_goal", "_copy"))
+    sized = docs.withColumn(size, mixing.word_count("text"))
+    rules = mixing.mixing_rules(settle(sized.select("doc_id", "source", size)), key="doc_id", size=size)
+    mixed = mixing.mix_sources(sized, rules, key="doc_id", size=size, copies=copies, goal=goal)
+    numbers = F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))
+    return mixed.where(F.col(copies) > 0).select(*docs.columns, numbers.alias(copy)).drop(copy)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
