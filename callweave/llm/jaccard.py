@@ -55,16 +55,34 @@ def link_near_copies(calls: DataFrame, key: str = "call_id", text: str = "text")
 
     Returns `key`, n_shingles and component_id, the smallest key that links reach.
     Null and empty texts have no shingle and are their own component, as are rows
-    without key (component_id null) and rows whose key other rows have for another
-    text. Equal rows get equal results. Other columns are not read. An empty table gives an
-    empty result.
+    without key (component_id null). Rows of one key with different texts are linked each by its
+    own text, and named by the smallest key like all others. Equal rows get equal results. Other columns are not
+    read. An empty table gives an empty result.
     """
     texts = short_batches(calls).select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
-    features = settle(_features(texts, word_levels(texts)))
-    # a key of different texts names none of them
-    torn = features.groupBy("_key").agg(F.min("_set").alias("_low"), F.max("_set").alias("_high")).where("_low < _high")
-    features = features.join(settle(torn.select("_key", F.lit(True).alias("_torn")).repartition(1)), "_key", "left")
-    described = features.where("_key IS NOT NULL AND _n > 0 AND _torn IS NULL")
+    levels = word_levels(texts)
+    features = settle(_features(texts, levels))
+    torn = features.groupBy("_key").agg(F.min("_set").alias("_low"), F.max("_set").alias("_high")).where("_key IS NOT NULL AND _low < _high")
+    if torn.isEmpty():
+        out = _link(texts, features)
+    else:
+        # keys that name several texts can't name nodes, so digests of key and text do
+        of_row = F.md5(F.concat(F.concat_ws(":", F.length(F.col("_key").cast("string")), F.col("_key").cast("string")).cast("binary"), F.coalesce("_text", F.lit(b""))))
+        named = texts.select(F.col("_key").alias("_name"), F.when(F.col("_key").isNotNull(), of_row).alias("_key"), "_text")
+        texts = named.drop("_name")
+        out = settle(_link(texts, settle(_features(texts, levels))))
+        names = settle(named.where("_key IS NOT NULL").select("_key", "_name").distinct())
+        tops = settle(
+            out.select("_key", "_component").distinct().join(names, "_key").groupBy("_component").agg(F.min("_name").alias("_top"))
+        )
+        out = out.join(names, "_key", "left").join(tops, "_component", "left")
+        out = out.select(F.col("_name").alias("_key"), "_n", F.col("_top").alias("_component"))
+    return out.select(F.col("_key").alias(key), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"))
+
+
+def _link(texts: DataFrame, features: DataFrame) -> DataFrame:
+    """Key, number of shingles and smallest key of the component, for rows whose key names one text."""
+    described = features.where("_key IS NOT NULL AND _n > 0")
     copies = settle(
         described.groupBy("_set", "_n").agg(F.min("_key").alias("_first"), F.count("*").alias("_copies")).where("_copies > 1").drop("_copies")
     )
@@ -80,16 +98,11 @@ def link_near_copies(calls: DataFrame, key: str = "call_id", text: str = "text")
     labels = components(settle(cross_links(texts, shared, labels, sizes)), labels)
 
     # the smallest key of a node is its own, since copies are named by their first
-    found = features.select("_key", "_n", "_set", "_torn").join(copies, ["_set", "_n"], "left")
-    named = (F.col("_n") > 0) & F.col("_torn").isNull()
+    found = features.select("_key", "_n", "_set").join(copies, ["_set", "_n"], "left")
     return (
-        found.withColumn("_node", F.when(named, F.coalesce("_first", "_key")).otherwise(F.col("_key")))
+        found.withColumn("_node", F.when(F.col("_n") > 0, F.coalesce("_first", "_key")).otherwise(F.col("_key")))
         .join(labels, F.col("_node") == F.col("_member"), "left")
-        .select(
-            F.col("_key").alias(key),
-            F.col("_n").alias("n_shingles"),
-            F.when(F.col("_key").isNotNull(), F.coalesce("_label", "_node")).alias("component_id"),
-        )
+        .select("_key", "_n", F.when(F.col("_key").isNotNull(), F.coalesce("_label", "_node")).alias("_component"))
     )
 
 

@@ -130,7 +130,20 @@ def test_keys_may_be_names(spark):
     assert linked(df) == want
 
 
-def test_a_key_of_different_texts_is_not_linked(spark, calls):
-    rows = [(7, "a b c d e"), (7, "quite another text than that"), (8, "a b c d e"), (9, "a b c d e"), (10, None), (10, "a b c d e")]
-    out = sorted((r.call_id, r.n_shingles, r.component_id) for r in jaccard.link_near_copies(calls(rows)).collect())
-    assert out == [(7, 1, 7), (7, 1, 7), (8, 1, 8), (9, 1, 8), (10, 0, 10), (10, 1, 10)]
+def test_a_key_of_different_texts_loses_no_link(spark, calls):
+    rows = [(7, "a b c d e"), (7, "quite another text than that"), (8, "a b c d e"), (9, "a b c d e"), (10, None), (10, "a b c d e"), (None, "a b c d e")]
+    out = [(r.call_id, r.n_shingles, r.component_id) for r in jaccard.link_near_copies(calls(rows)).collect()]
+    assert sorted(out, key=str) == sorted([(7, 1, 7), (7, 1, 7), (8, 1, 7), (9, 1, 7), (10, 0, 10), (10, 1, 7), (None, 1, None)], key=str)
+
+
+def test_repeated_keys_are_linked_by_their_texts(spark, calls):
+    """Rows get their components as if each had a key of its own; the names are the smallest given keys."""
+    texts = corpus(7)
+    alone = brute(texts)
+    key = {i: 100 + i * 7 % 40 for i in texts}
+    members = {}
+    for i, (_, top) in alone.items():
+        members.setdefault(top, []).append(key[i])
+    want = sorted((key[i], n, min(members[top])) for i, (n, top) in alone.items())
+    got = jaccard.link_near_copies(calls([(key[i], t) for i, t in texts.items()])).collect()
+    assert sorted((r.call_id, r.n_shingles, r.component_id) for r in got) == want
