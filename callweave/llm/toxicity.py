@@ -11,14 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import DRAW_BITS, WORD, draw, short_batches
+from callweave.llm.common import DRAW_BITS, WORD, draw, free_name, short_batches
 from callweave.session import settle
 
 # Shortest and longest word beginnings that may be entries, in letters.
 STEM_LENGTHS = (4, 9)
 # Entries are in this many toxic texts and this much more frequent there.
 LEAST_TEXTS, LEAST_RATIO = 3, 5.0
-LEXICON_SIZE = 400
 # Letters from which an entry is also found with 1 and 2 edits.
 EDIT_LENGTHS = (5, 9)
 # Entries of so many letters are found with one edit as well, as are stems of any length.
@@ -26,7 +25,6 @@ SHORT_LENGTH = 4
 # What a misspelt and a quoted mention count, as parts of a plain one.
 MISSPELT, QUOTED = 0.7, 0.25
 WINDOW_WORDS = 64
-QUOTE_CHARS = 300
 # Opening marks and what closes them.
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’"}
 MEMO_WORDS = 200_000
@@ -121,7 +119,10 @@ def _bare(word: Column) -> Column:
 
 
 def _lexicon(counts: DataFrame) -> list[Entry]:
-    """Whole words and stems by evidence; one that overlaps with a better one is left out."""
+    """Whole words and stems by evidence; one that overlaps with a better one is left out.
+
+    All with enough evidence are entries. They are terms of the fitted sample, so its parameter bounds them.
+    """
     totals = counts.agg(F.sum("_toxic"), F.sum("_clean")).first()
     if not totals[0]:
         return []
@@ -151,14 +152,16 @@ def _lexicon(counts: DataFrame) -> list[Entry]:
         candidates.where((F.col("_weight") >= float(np.log(LEAST_RATIO))) & (F.col("_evidence") >= least))
         # of equal evidence, a whole word says more than its beginnings, a long beginning more than a short one
         .orderBy(F.desc(F.round("_evidence", 6)), "_stem", F.desc(F.length("_term")), "_term")
-        .limit(10 * LEXICON_SIZE)
     )
     chosen: list[Entry] = []
+    stems_chosen, beginnings = set(), set()
     for term, stem, _, weight_ in ranked.collect():
-        if len(chosen) < LEXICON_SIZE and not any(
-            (e.stem and term.startswith(e.term)) or (stem and e.term.startswith(term)) for e in chosen
-        ):
+        begun = {term[:n] for n in range(1, len(term) + 1)}
+        if not begun & stems_chosen and not (stem and term in beginnings):
             chosen.append(Entry(term, stem, float(weight_)))
+            beginnings |= begun
+            if stem:
+                stems_chosen.add(term)
     return chosen
 
 
@@ -249,7 +252,7 @@ def score_toxicity(calls: DataFrame, model: ToxicityModel, key: str = "call_id",
 
     Each word runs through a Levenshtein automaton intersected with the trie of
     the lexicon, whole words and stems alike. A mention counts its entry's weight, less if it is misspelt, less
-    if it stands in quotation marks that close within 300 characters of the same line. The
+    if it stands in quotation marks that close in the same line. The
     features are the sum of all mentions, their density, the largest sum in a
     window of 64 words, the largest single mention and the length.
 
@@ -264,8 +267,9 @@ def score_toxicity(calls: DataFrame, model: ToxicityModel, key: str = "call_id",
 
 def keep_civil(calls: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
-    scanned = calls.withColumn("_found", mentions(calls, F.col(text), model))
-    return scanned.where(F.col("_found.score") < THRESHOLD).drop("_found")
+    found = free_name(calls, "_found")
+    scanned = calls.withColumn(found, mentions(calls, F.col(text), model))
+    return scanned.where(F.col(f"{found}.score") < THRESHOLD).drop(found)
 
 
 class LexiconAutomaton:
@@ -414,14 +418,29 @@ class ContextReader(dict):
 
 
 def quoted_chars(text: str) -> list[tuple[int, int]]:
-    """Stretches between quotation marks of one line, at most QUOTE_CHARS long."""
-    found, i = [], 0
-    marks = [m.start() for m in re.finditer("[" + "".join(QUOTES) + "]", text)]
-    for at in marks:
-        if at < i:
+    """Stretches between quotation marks of one line, of any length.
+
+    A mark after a letter or digit opens nothing, one before a letter or digit closes nothing, and a mark that is not
+    closed in its line quotes nothing. The plain `'` is no quotation mark.
+    """
+    found, i, line_end = [], 0, -1
+    unclosed: set[str] = set()
+    for at in (m.start() for m in re.finditer("[" + "".join(QUOTES) + "]", text)):
+        if at < i or text[at - 1 : at].isalnum():
+            continue
+        if at > line_end:
+            line_end = text.find("\n", at)
+            line_end = len(text) if line_end < 0 else line_end
+            unclosed.clear()
+        closing = QUOTES[text[at]]
+        if closing in unclosed:
             continue
-        end = text.find(QUOTES[text[at]], at + 1, at + QUOTE_CHARS)
-        if end > 0 and "\n" not in text[at:end]:
+        end = text.find(closing, at + 1, line_end)
+        while end >= 0 and text[end + 1 : end + 2].isalnum():
+            end = text.find(closing, end + 1, line_end)
+        if end < 0:
+            unclosed.add(closing)
+        else:
             found.append((at, end + 1))
             i = end + 1
     return found

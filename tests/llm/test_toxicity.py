@@ -73,8 +73,47 @@ def test_quotation_counts_less():
     held, _, hits, quoted = reader.read('he said "you are a moron" to them')
     assert (hits, quoted) == (1, 1) and held[3] == 1.0
     assert reader.read("a m0ron")[0][3] == 2.0
-    # marks that close in another line or far away quote nothing
-    assert reader.read('he said "moron\n" then')[3] == 0 and reader.read('"' + "x " * 400 + 'moron"')[3] == 0
+    # marks that close in another line or not at all quote nothing, a long quotation is one
+    assert reader.read('he said "moron\n" then')[3] == 0 and reader.read('he said "moron')[3] == 0
+    assert reader.read('"' + "x " * 400 + 'moron"')[3] == 1
+    # inches are no marks
+    assert reader.read('a 5" screen, you moron, and a 7" one')[3] == 0 and reader.read("«moron» 3»")[3] == 1
+
+
+def test_quotations_equal_a_walk_over_all_marks():
+    def walk(text):
+        out, i = [], 0
+        while i < len(text):
+            close = toxicity.QUOTES.get(text[i])
+            if close and not (i and text[i - 1].isalnum()):
+                stop = (text + "\n").index("\n", i)
+                ends = [j for j in range(i + 1, stop) if text[j] == close and not text[j + 1 : j + 2].isalnum()]
+                if ends:
+                    out.append((i, ends[0] + 1))
+                    i = ends[0]
+            i += 1
+        return out
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice('ab "“”„«»\n‘’') for _ in range(rng.randint(0, 40)))
+        assert toxicity.quoted_chars(text) == walk(text)
+
+
+def test_all_terms_with_evidence_are_entries(spark, calls):
+    """A lexicon of 600 unlike words, each in many toxic texts and in no clean one."""
+    rng = random.Random(8)
+    terms = list({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(600)})
+    rows = [(i, " ".join(terms[k % len(terms)] for k in range(i * 37, i * 37 + 60)) + " and so on") for i in range(600)]
+    rows += [(i, " ".join(f"fine{rng.randrange(50)}" for _ in range(60)) + " and so on") for i in range(600, 1200)]
+    model = toxicity.fit_toxicity(calls(rows), spark.createDataFrame([(i, int(i < 600)) for i in range(1200)], "call_id bigint, toxic int"))
+    found = [e.term for e in model.entries]
+    assert len(found) == len(set(found)) and all(sum(t.startswith(f) for f in found) == 1 for t in terms)
+
+
+def test_kept_rows_keep_columns_with_inner_names(spark, calls):
+    df = calls([(1, "good day")]).withColumn("_found", F.lit("mine"))
+    assert [r._found for r in toxicity.keep_civil(df, ToxicityModel(coefficients=[-10.0] + [0.0] * 5)).collect()] == ["mine"]
 
 
 def test_window_finds_the_densest_stretch():
